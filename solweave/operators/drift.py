@@ -20,7 +20,7 @@ from solweave.staging import stage
 #: Files of a feed that are compared in one task; a longer feed is spread over several.
 FILES = 1024
 #: Content of two names at least this alike (0..1) is the same content.
-ALIKE = 0.7
+ALIKE = 0.35
 #: Names that share more than this part of the files of the rarer one are two fields, however alike.
 TOGETHER = 0.02
 
