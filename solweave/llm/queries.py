@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solweave.functions.names import station
-from solweave.llm import mixing, packing
+from solweave.llm import mixing, packing, quality
 from solweave.llm.nearest import nearest_in_time
 from solweave.llm.percentiles import digit_histogram, histogram_percentiles, keyed_values, merge_histograms, radix_percentiles
 from solweave.llm.tokens import token_size
@@ -97,6 +97,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return x.select("source", "size", "max_uses", F.round("demand", 3).alias("demand"), "short")
 
 
+def _shares(spark: SparkSession, d: str) -> DataFrame:
+    return quality.line_shares(_read(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which at most half of the characters are running sentences."""
+    return _shares(spark, d).filter(F.col("prose") <= 0.5).select("doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of prose, list, table and junk lines of each document."""
+    return _shares(spark, d)
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Words, symbols, lines and common words of each document."""
+    return quality.text_statistics(_read(spark, d, "documents"), "doc_id", "text", "lang", _read(spark, d, "common_word"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_percentiles": p1_percentiles,
@@ -109,6 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p8_found": p8_found,
+        "p8_shares": p8_shares,
+        "p8_statistics": p8_statistics,
     }
 
 
@@ -142,4 +164,15 @@ WITH s AS (SELECT lower(trim(source)) AS k, sum(strlen(text)) AS size FROM docum
 m AS (SELECT t.*, coalesce(s.size, 0) AS size FROM mix_target t LEFT JOIN s ON s.k = lower(trim(t.source)))
 SELECT source, CAST(size AS BIGINT) AS size, max_uses, round(target_share * (SELECT sum(size) FROM m), 3) AS demand,
   max_uses * size < target_share * (SELECT sum(size) FROM m) AS short FROM m""",
+        "p8_statistics": """
+WITH c AS (SELECT list(DISTINCT lower(word)) AS c FROM common_word),
+d AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9A-Za-zÀ-ÖØ-öø-ÿ]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l FROM documents)
+SELECT doc_id, length(text) AS chars, CAST(len(w) AS BIGINT) AS words,
+  round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) END, 6) AS word_length,
+  round(CASE WHEN text <> '' THEN length(regexp_replace(text, '[0-9A-Za-zÀ-ÖØ-öø-ÿ \\t\\n\\r]', '', 'g'))::DOUBLE / length(text) END, 6) AS symbol_ratio,
+  CAST(len(l) AS BIGINT) AS lines,
+  round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda s: regexp_matches(rtrim(s), '[.!?]$')))::DOUBLE / len(l) END, 6) AS full_lines,
+  round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(c, lower(x))))::DOUBLE / len(w) END, 6) AS common
+FROM d, c""",
     }
