@@ -1,11 +1,17 @@
 """All queries outside the training-data folder."""
 
-from solweave.plans import problems
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return problems.queries()
+from pyspark.sql import DataFrame, SparkSession
 
+from solweave.plans import problems, solutions
 
-def oracle_sql():
-    return problems.oracle_sql()
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return solutions.queries() | problems.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return solutions.oracle_sql() | problems.oracle_sql()
