@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -73,63 +73,143 @@ FIRST = np.log([0.4, 0.2, 0.2, 0.2])
 NEXT = np.log([[0.88, 0.04, 0.04, 0.04], [0.06, 0.86, 0.04, 0.04], [0.06, 0.04, 0.86, 0.04], [0.06, 0.04, 0.04, 0.86]])
 # ---------------------------------------------------------------------------------------------------
 
-_WORD = re.compile(r"\w+(?:['’]\w+)*")
-_BULLET = re.compile(r"\s*(?:[*•\-+–·o]|\(?\d{1,4}[.):]|\[[ xX]?\])\s+(?=\S)")
-_QUOTE = re.compile(r"(?:\s*>)+ ")
-_RECORD = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[0-9a-f]{6,}\s|</?[a-z]+[ >]|[\w.\[\]]+\s*[=:]\s*\S+\s*[;,]?$|\{|\}|\"[\w ]+\":)")
-_CELL = re.compile(r"\t|\||<t[dhr]>| & |[^\s,],(?=[^\s,])|[^\s;];(?=[^\s;])|\S {2,}(?=\S)|[,;](?=[,;])")
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
-_CODE = re.compile(r"\d|^[a-z]+_[a-z]+$")
-_ODD = re.compile(r"[^\w\s.,;:!?'\"()’%°/±µ-]|_")
-_LONE = re.compile(r"[¼½¶§¤€™œ�¬]")
+_BULLET = re.compile(r"(?:[*•\-+–·o]|\(?\d{1,4}[.):]|\[[ xX]?\])\s+(?=\S)")
+_RECORD = re.compile(r"(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[0-9a-f]{6,}\s|</?[a-z]+[ >]|[\w.\[\]]+\s*[=:]\s*\S+\s*[;,]?$|\{|\}|\"[\w ]+\":)")
+_USUAL = re.compile(r"[^\W_]|[\s.,;:!?'\"()’%°/±µ-]")
+_LONE = frozenset("¼½¶§¤€™œ�¬")
 
+#: Characters that are taken together; more texts or longer ones make more chunks.
+CHUNK = 500_000
+_SPACE, _ODD, _ALONE, _UPPER, _STOP, _WORD, _DIGIT, _UNKNOWN = 1, 2, 4, 8, 16, 32, 64, 128
 
-def _fold(word: str) -> str:
-    return re.sub(r"\d+", "9", word.lower())
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
-def _slot(text: str, size: int) -> int:
-    """A hash that is the same in every process."""
-    h = 2166136261
-    for b in text.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return (h ^ (h >> 15)) % size
 
+@dataclass
+class Words:
+    """The words of a text: hash, line, whether they hold digits or underscores, and whether they are one letter (or number)."""
 
-def _lines(text: str) -> list[str]:
-    return [x for x in text.splitlines() if x.strip()]
+    hash: np.ndarray
+    line: np.ndarray
+    code: np.ndarray
+    single: np.ndarray
 
+    @property
+    def slot(self) -> np.ndarray:
+        return (self.hash >> np.uint64(40)).astype(np.int64) % WORDS
 
-def _tasks(df: DataFrame) -> int:
-    """Texts are read in Python, at a few MB a second, so they are spread over more tasks than reading the files takes."""
-    return max(df.rdd.getNumPartitions(), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the first word, bucket, bucket of the reverse) of neighbouring words of a line."""
+        at = np.flatnonzero(self.line[1:] == self.line[:-1])
+        a, b = self.hash[at], self.hash[at + 1]
+        mixed = lambda a, b: ((_mix(a * np.uint64(3) + _mix(b))) >> np.uint64(40)).astype(np.int64) % PAIRS
+        return at, mixed(a, b), mixed(b, a)
 
 
-class Hasher:
-    """Words and pairs of a text as buckets; remembers the buckets of words it met."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
 
-    def word(self, w: str) -> tuple[int, int]:
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[w] = (_slot(w, WORDS), _slot(w, 1 << 30))
-        return got
+class Reader:
+    """Texts as arrays: characters by class, and words by hash, without a string per word."""
 
-    def line(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of the words, of the pairs of neighbours, and of these pairs in reverse."""
-        at = [self.word(w) for w in words]
-        one = np.array([a for a, _ in at], dtype=np.int64)
-        key = np.array([b for _, b in at], dtype=np.int64)
-        mixed = lambda a, b: ((a * 1_000_003 + b * 7_919) >> 7) % PAIRS
-        return one, mixed(key[:-1], key[1:]), mixed(key[1:], key[:-1])
+    BASE = 0x5851F42D4C957F2D
 
-
-def _words(line: str) -> list[str]:
-    return [_fold(w) for w in _WORD.findall(_MARKUP.sub(" ", line))]
+    def __init__(self) -> None:
+        self.classes = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
+        self.lower = np.zeros(0x110000, dtype=np.uint32)
+        self.power = np.ones((2, 1), dtype=np.uint64)
+
+    def characters(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(code point, class, line) of each character, and the first and end place of each line."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = self.classes[points]
+        if (kind == _UNKNOWN).any():
+            for p in np.unique(points[kind == _UNKNOWN]).tolist():
+                c = chr(p)
+                word = c.isalnum() or c == "_"
+                self.classes[p] = _SPACE * c.isspace() | _ODD * (not _USUAL.match(c)) | _ALONE * (c in _LONE) | _UPPER * c.isupper() | _STOP * (c in ".!?") | _WORD * word | _DIGIT * c.isdigit()
+                self.lower[p] = ord(c.lower()[0])
+            kind = self.classes[points]
+        end = np.r_[np.flatnonzero(points == 10), len(points)]
+        start = np.r_[0, end[:-1] + 1]
+        return points, kind, np.repeat(np.arange(len(start)), end - start + 1)[: len(points)], start, end
+
+    def _powers(self, n: int) -> np.ndarray:
+        if self.power.shape[1] < n:
+            step = np.array([self.BASE, pow(self.BASE, -1, 1 << 64)], dtype=np.uint64)[:, None]
+            table = np.repeat(step, n + 1000, axis=1)
+            table[:, 0] = 1
+            self.power = np.cumprod(table, axis=1, dtype=np.uint64)
+        return self.power
+
+    def words(self, points: np.ndarray, kind: np.ndarray, of: np.ndarray) -> Words:
+        """Words are runs of letters, digits and underscores, also with apostrophes inside; case doesn't matter, a run of
+        digits is one digit, and markup holds no words."""
+        word = (kind & _WORD) > 0
+        quote = (points == 39) | (points == 0x2019)
+        if quote.any():
+            quote[1:-1] &= word[:-2] & word[2:]
+            quote[[0, -1]] = False
+            word |= quote
+        opening = np.flatnonzero(points == ord("<"))
+        if len(opening):
+            word &= ~_markup(points, opening)
+        digit = ((kind & _DIGIT) > 0) & word
+        keep = word.copy()
+        keep[1:] &= ~(digit[1:] & digit[:-1])
+        begin = word.copy()
+        begin[1:] &= ~word[:-1]
+        at = np.flatnonzero(keep)
+        if not len(at):
+            none = np.zeros(0, dtype=np.int64)
+            return Words(none.astype(np.uint64), none, none.astype(bool), none.astype(bool))
+        first = np.flatnonzero(begin[at])
+        letters = np.where(digit[at], np.uint32(57), self.lower[points[at]]).astype(np.uint64)
+        power = self._powers(len(at) + 1)
+        # The hash of a word is the difference of running sums of letter * BASE**place, taken back to place 0.
+        run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((letters + np.uint64(1)) * power[0, : len(at)], dtype=np.uint64)])
+        last = np.r_[first[1:], len(at)]
+        h = _mix((run[last] - run[first]) * power[1, first])
+        odd = np.r_[0, np.cumsum(digit[at] | (points[at] == ord("_")))]
+        return Words(h, of[at[first]], odd[last] > odd[first], last - first == 1)
+
+
+def _markup(points: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """Characters between < and > on a line, where a letter or a slash follows the <."""
+    after = points[np.minimum(opening + 1, len(points) - 1)]
+    opening = opening[(after == ord("/")) | ((after | 32) >= 97) & ((after | 32) <= 122)]
+    stops = np.flatnonzero((points == ord(">")) | (points == ord("<")) | (points == 10))
+    nxt = np.searchsorted(stops, opening, side="right")
+    ok = nxt < len(stops)
+    opening, close = opening[ok], stops[nxt[ok]]
+    real = points[close] == ord(">")
+    step = np.zeros(len(points) + 1, dtype=np.int32)
+    step[opening[real]] += 1
+    step[close[real]] -= 1
+    return np.cumsum(step[:-1]) > 0
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Places and texts that aren't empty, some hundred thousand characters at a time."""
+    where: list[int] = []
+    held: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if t:
+            where.append(i)
+            held.append(t)
+            size += len(t)
+            if size >= CHUNK:
+                yield where, held
+                where, held, size = [], [], 0
+    if held:
+        yield where, held
 
 
 def word_counts(texts: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +221,14 @@ def word_counts(texts: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     distinct = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).repartition(_tasks(texts), F.xxhash64("text")).dropDuplicates(["text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        reader = Reader()
         total = np.zeros(WORDS + PAIRS, dtype=np.int64)
         for b in batches:
-            for t in b["text"].to_pylist():
-                seen: list[np.ndarray] = []
-                for line in _lines(t):
-                    one, pair, _ = hasher.line(_words(line))
-                    seen.append(one)
-                    np.add.at(total, WORDS + pair, 1)
-                if seen:
-                    total[np.unique(np.concatenate(seen))] += 1
+            for _, held in _chunks(b["text"].to_pylist()):
+                words = reader.words(*reader.characters("\n".join(held))[:3])
+                doc = np.repeat(np.arange(len(held)), [t.count("\n") + 1 for t in held])[words.line]
+                np.add.at(total, _distinct(doc * WORDS + words.slot) % WORDS, 1)
+                np.add.at(total, WORDS + words.pairs()[1], 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
@@ -161,119 +238,199 @@ def word_counts(texts: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return total[:WORDS], total[WORDS:]
 
 
-def _phrases(text: str, lines: list[str], words: list[list[str]]) -> list[bool]:
-    """Lines of a block (of three or more lines) without a sentence: none begins with a capital or ends one, or most begin alike."""
-    out: list[bool] = []
-    lower = not any(c.isupper() for c in text)
-    at = 0
-    for block in re.split(r"\n\s*\n", text):
-        n = len(_lines(block))
-        mine, w = lines[at : at + n], words[at : at + n]
-        at += n
-        starts = Counter(x[0] for x in w if x)
-        small = all(not x.strip()[:1].isupper() for x in mine)
-        open_ended = not any(re.search(r"[.!?](?:\s|$)", x) for x in mine)
-        alike = bool(starts) and starts.most_common(1)[0][1] >= 0.6 * n
-        short = all(len(x) <= 14 for x in w)
-        out += [n >= 3 and small and open_ended and short and (alike or not lower)] * n
-    return out + [False] * (len(lines) - len(out))
+def _tasks(df: DataFrame) -> int:
+    """Texts are read in Python, which takes longer than reading files, so they are spread over more tasks."""
+    return max(df.rdd.getNumPartitions(), 4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 class LineModel:
-    """Traits of lines, and the most likely labels of a text's lines."""
+    """Traits of lines, and the most likely labels of the lines of texts."""
 
     def __init__(self, texts: np.ndarray, pairs: np.ndarray) -> None:
         self.texts, self.pairs = texts, pairs
-        self.hasher = Hasher()
-
-    def traits(self, line: str, words: list[str], one: np.ndarray, pair: np.ndarray, turned: np.ndarray, own: Counter, phrases: bool) -> list[str]:
-        out = []
-        quote = _QUOTE.match(line)
-        body = line[quote.end() :] if quote else line
-        bullet = _BULLET.match(body)
-        begin = "quoted" if quote else "bullet" if bullet else "indent" if re.match(r"\s{2,}|\t", body) else "plain"
-        out.append(begin)
-        size, n = max(1, len(body.strip())), len(words)
-
-        cells = len(_CELL.findall(body.strip()))
-        out.append("cells-many" if cells >= 2 and cells * 40 >= size else "cells-some" if cells * 60 >= size else "cells-none")
-
-        # Other texts only: the text's own counts are taken off.
-        plain = [not _CODE.search(w) for w in words]
-        share = lambda k, of: k / of if of else 0.0
-        seen = self.texts[one] > 1 if n else np.zeros(0, dtype=bool)
-        letters = np.array(plain, dtype=bool) if n else np.zeros(0, dtype=bool)
-        known = share(int((seen & letters).sum()), int(letters.sum()))
-        out.append("known-high" if known >= 0.85 else "known-mid" if known >= 0.55 else "known-low")
-
-        # In prose a pair of neighbours is far more frequent than its reverse; words without order have no direction.
-        ok = seen[:-1] & seen[1:] & (pair != turned)
-        if ok.sum() >= 3:
-            there, back = (np.maximum(self.pairs[p] - np.array([own[k] for k in p.tolist()]), 0) for p in (pair[ok], turned[ok]))
-            g = float(np.clip(np.log((there + 0.5) / (back + 0.5)), -3, 3).mean())
-            out.append("order-high" if g > 1.2 else "order-mid" if g > 0.6 else "order-low")
-        else:
-            out.append("order-none")
-
-        odd = (len(_ODD.findall(body)) + 3 * len(_LONE.findall(body))) / size
-        out.append("symbols-low" if odd < 0.05 else "symbols-mid" if odd < 0.15 else "symbols-high")
-        if n >= 8:
-            out.append("variety-low" if len(set(words)) < max(3, min(0.3 * n, 25)) else "variety-high")
-        elif n >= 3 and len(set(words)) == 1:
-            out.append("variety-low")
-        codes = share(n - int(letters.sum()), n) if n else 1.0
-        out.append("codes-low" if codes < 0.25 else "codes-mid" if codes < 0.45 else "codes-high")
-        if n >= 6 and sum(len(w) == 1 for w in words) >= 0.6 * n:
-            out.append("letters-apart")
-        out.append("words-few" if n < 5 else "words-some" if n < 12 else "words-many")
-        out.append("form-record" if _RECORD.match(body[bullet.end() :] if bullet else body) else "form-free")
-        end = body.rstrip()[-1:]
-        out.append("end-full" if end in ".!?…" else "end-half" if end in ",;" else "end-open")
-        if bullet or begin == "indent" or phrases:
-            rest = body[bullet.end() :].strip() if bullet else body.strip()
-            out.append("item-sentence" if rest[:1].isupper() and end in ".!?" and n >= 7 else "item-phrase")
-        else:
-            out.append("item-no")
+        self.reader = Reader()
+        self.names = list(EMISSION)
+        self.table = np.array([*EMISSION.values(), (0.0,) * len(LABELS)])
+        self.at = {n: i for i, n in enumerate([*self.names, ""])}
+
+    def _pick(self, *cases: tuple[np.ndarray | bool, str]) -> np.ndarray:
+        """The trait of the first case that holds, as a row of the table."""
+        return np.select([np.asarray(c, dtype=bool) for c, _ in cases[:-1]], [self.at[n] for _, n in cases[:-1]], self.at[cases[-1][1]])
+
+    def label(self, texts: list[str]) -> np.ndarray:
+        """Characters in lines of each label (texts x labels), and the number of lines in a last column; texts aren't empty."""
+        joined = "\n".join(texts)
+        points, kind, of, start, end = self.reader.characters(joined)
+        doc = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
+        n_lines = len(start)
+        inked = np.flatnonzero((kind & _SPACE) == 0)
+        ink_line = of[inked]
+        per_line = lambda at: np.bincount(of[at], minlength=n_lines)
+        full = np.bincount(ink_line, minlength=n_lines) > 0
+        first, last = np.full(n_lines, 0), np.full(n_lines, 0)
+        first[ink_line[::-1]] = inked[::-1]
+        last[ink_line] = inked
+        size = last - first + 1
+
+        # How lines begin: blanks, quote marks, bullets.
+        pad = np.r_[points, [10, 10, 10]]
+        begin = first.copy()
+        quoted = full & (pad[first] == ord(">")) & np.isin(pad[first + 1], [ord(" "), ord(">")])
+        for _ in range(8):
+            go = quoted & np.isin(pad[begin], [ord(">"), ord(" ")]) & (begin < last)
+            if not go.any():
+                break
+            begin[go] += 1
+        lead = pad[begin]
+        indent = full & ~quoted & ((first - start >= 2) | (pad[start] == 9))
+        rest = begin.copy()
+        maybe = full & (np.isin(lead, [ord(c) for c in "*•-+–·o(["]) | ((lead >= 48) & (lead <= 57)))
+        bullet = np.zeros(n_lines, dtype=bool)
+        for i in np.flatnonzero(maybe).tolist():
+            m = _BULLET.match(joined, begin[i], end[i])
+            if m:
+                bullet[i], rest[i] = True, m.end()
+        signs = per_line(np.flatnonzero((points == ord("=")) | (points == ord(":"))))
+        head = pad[rest]
+        maybe = full & ((signs > 0) | ((head >= 48) & (head <= 57)) | ((head >= 97) & (head <= 102)) | np.isin(head, [ord(c) for c in '<{}"']))
+        record = np.zeros(n_lines, dtype=bool)
+        for i in np.flatnonzero(maybe).tolist():
+            record[i] = _RECORD.match(joined, rest[i], end[i]) is not None
+
+        # Cells: delimiters of table rows.
+        before, after = np.r_[[10], points[:-1]], pad[1 : len(points) + 1]
+        blank = (kind & _SPACE) > 0
+        blank_before, blank_after = np.r_[True, blank[:-1]], np.r_[blank[1:], True]
+        stop = (points == ord(",")) | (points == ord(";"))
+        mark = (points == 9) | (points == ord("|")) | (stop & ~blank_before & ~blank_after)
+        mark |= (points == ord("&")) & (before == 32) & (after == 32)
+        mark |= (points == ord("<")) & (after == ord("t")) & np.isin(pad[2 : len(points) + 2], [ord(c) for c in "dhr"])
+        mark |= ~blank & (before == 32) & (np.r_[[10, 10], points[:-2]][: len(points)] == 32)
+        mark = np.flatnonzero(mark)
+        cells = per_line(mark[mark > begin[of[mark]]]) + per_line(mark[(mark == begin[of[mark]]) & (points[mark] == ord("|"))])
+
+        odd = per_line(np.flatnonzero(kind & _ODD)) + 3 * per_line(np.flatnonzero(kind & _ALONE))
+        odd = (odd - (begin - first) * quoted) / np.maximum(size, 1)
+        tail = pad[last]
+        sentence_end = ((kind & _STOP) > 0) & blank_after
+        ends_inside = per_line(np.flatnonzero(sentence_end)) > 0
+        upper_first = full & ((self.reader.classes[pad[first]] & _UPPER) > 0)
+        upper_rest = full & ((self.reader.classes[pad[np.minimum(rest, last)]] & _UPPER) > 0)
+        has_upper = np.bincount(doc[of[np.flatnonzero(kind & _UPPER)]], minlength=len(texts)) > 0
+
+        # Words: known ones, their variety and order.
+        words = self.reader.words(points, kind, of)
+        line = words.line
+        n = np.bincount(line, minlength=n_lines)
+        plain = ~words.code
+        seen = self.texts[words.slot] > 1  # besides the text itself
+        letters = np.bincount(line, plain, n_lines)
+        known = np.divide(np.bincount(line, seen & plain, n_lines), letters, out=np.zeros(n_lines), where=letters > 0)
+        codes = np.divide(n - letters, n, out=np.ones(n_lines), where=n > 0)
+        singles = np.bincount(line, words.single, n_lines)
+        kinds = np.bincount(_distinct(line << 32 | (words.hash >> np.uint64(32)).astype(np.int64)) >> 32, minlength=n_lines)
+        order, compared = self._order(words, seen, doc, n_lines)
+
+        phrases = self._phrases(doc, start, end, full, upper_first, ends_inside, n, has_upper, words)
+        traits = [
+            self._pick((quoted, "quoted"), (bullet, "bullet"), (indent, "indent"), (True, "plain")),
+            self._pick(((cells >= 2) & (cells * 40 >= size), "cells-many"), (cells * 60 >= size, "cells-some"), (True, "cells-none")),
+            self._pick((known >= 0.85, "known-high"), (known >= 0.55, "known-mid"), (True, "known-low")),
+            self._pick((compared < 3, "order-none"), (order > 1.2, "order-high"), (order > 0.6, "order-mid"), (True, "order-low")),
+            self._pick((odd < 0.05, "symbols-low"), (odd < 0.15, "symbols-mid"), (True, "symbols-high")),
+            self._pick(((n >= 8) & (kinds < np.maximum(3, np.minimum(0.3 * n, 25))) | (n >= 3) & (n < 8) & (kinds == 1), "variety-low"), (n >= 8, "variety-high"), (True, "")),
+            self._pick((codes < 0.25, "codes-low"), (codes < 0.45, "codes-mid"), (True, "codes-high")),
+            self._pick(((n >= 6) & (singles >= 0.6 * n), "letters-apart"), (True, "")),
+            self._pick((n < 5, "words-few"), (n < 12, "words-some"), (True, "words-many")),
+            self._pick((record, "form-record"), (True, "form-free")),
+            self._pick((np.isin(tail, [ord(c) for c in ".!?…"]), "end-full"), (np.isin(tail, [ord(","), ord(";")]), "end-half"), (True, "end-open")),
+            self._pick(
+                ((bullet | indent | phrases) & upper_rest & np.isin(tail, [ord(c) for c in ".!?"]) & (n >= 7), "item-sentence"), (bullet | indent | phrases, "item-phrase"), (True, "item-no")
+            ),
+        ]
+        score = sum(self.table[t] for t in traits)
+        lines_of = np.bincount(doc[full], minlength=len(texts))
+        for d in np.flatnonzero(lines_of >= 6).tolist():  # the same line over and over
+            if len({x for x in texts[d].split("\n") if x.strip()}) <= 0.34 * lines_of[d]:
+                score[doc == d, 0] -= 6.0
+        length = end - start
+        score *= np.clip(length / 80, 1.0, 5.0)[:, None]  # a long line weighs as much as the lines it would be wrapped into
+        use = np.flatnonzero(full)
+        labels = viterbi(score[use], doc[use], FIRST, NEXT)
+        out = np.zeros((len(texts), len(LABELS) + 1))
+        np.add.at(out, (doc[use], labels), length[use])
+        out[:, -1] = lines_of
         return out
 
-    def label(self, text: str) -> list[tuple[int, int]]:
-        """(label, characters) of each line that isn't blank."""
-        lines = _lines(text)
-        if not lines:
-            return []
-        split = [_words(x) for x in lines]
-        at = [self.hasher.line(w) for w in split]
-        own: Counter = Counter()
-        for _, pair, _ in at:
-            own.update(pair.tolist())
-        phrases = _phrases(text, lines, split)
-        # Equal lines have equal traits.
-        memo: dict[str, np.ndarray] = {}
-        score = np.empty((len(lines), len(LABELS)))
-        for i, (x, w, (one, pair, turned)) in enumerate(zip(lines, split, at, strict=True)):
-            got = memo.get(x)
-            if got is None:
-                got = memo[x] = np.sum([EMISSION[t] for t in self.traits(x, w, one, pair, turned, own, phrases[i])], axis=0)
-            score[i] = got
-        if len(lines) >= 6 and len(memo) <= 0.34 * len(lines):  # the same line over and over
-            score[:, 0] -= 6.0
-        # A long line weighs as much as the lines it would be wrapped into.
-        weight = np.clip([len(x) / 80 for x in lines], 1.0, 5.0)[:, None]
-        return list(zip(viterbi(score * weight, FIRST, NEXT), map(len, lines), strict=True))
-
-
-def viterbi(score: np.ndarray, first: np.ndarray, nxt: np.ndarray) -> list[int]:
-    """The most likely labels, given log-likelihoods (lines x labels) and log-probabilities of first and next labels."""
-    best = first + score[0]
-    back = np.zeros(score.shape, dtype=np.int64)
-    for i in range(1, len(score)):
-        via = best[:, None] + nxt
-        back[i] = via.argmax(axis=0)
-        best = via.max(axis=0) + score[i]
-    path = [int(best.argmax())]
-    for i in range(len(score) - 1, 0, -1):
-        path.append(int(back[i, path[-1]]))
-    return path[::-1]
+    def _order(self, words: Words, seen: np.ndarray, doc: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per line the mean log-ratio of its word pairs to their reverses in other texts, and the number of pairs.
+
+        In prose a pair of neighbours is far more frequent than its reverse; words without order have no direction.
+        """
+        at, pair, turned = words.pairs()
+        line = words.line
+        d = doc[line[at]]
+        own, place, times = np.unique(d * PAIRS + pair, return_inverse=True, return_counts=True)
+        back = d * PAIRS + turned
+        spot = np.minimum(np.searchsorted(own, back), max(0, len(own) - 1))
+        own_back = np.where(own[spot] == back, times[spot], 0) if len(own) else np.zeros(0, dtype=np.int64)
+        ok = seen[at] & seen[at + 1] & (pair != turned)
+        there, back = np.maximum(self.pairs[pair] - times[place], 0), np.maximum(self.pairs[turned] - own_back, 0)
+        gain = np.clip(np.log((there + 0.5) / (back + 0.5)), -3, 3)
+        on = line[at][ok]
+        count = np.bincount(on, minlength=n_lines)
+        return np.divide(np.bincount(on, gain[ok], n_lines), count, out=np.zeros(n_lines), where=count > 0), count
+
+    def _phrases(self, doc, start, end, full, upper, ends, n, has_upper, words) -> np.ndarray:
+        """Lines of a block (of three or more lines) without a sentence: no line begins with a capital or ends one, and where
+        the text has no capitals at all, most lines begin with the same word."""
+        same = np.r_[False, (doc[1:] == doc[:-1]) & full[1:] & full[:-1]]
+        block = np.cumsum(~same) - 1
+        of_block = lambda x: np.bincount(block, x & full)
+        count = np.bincount(block, full)
+        fit = (count >= 3) & (of_block(upper) == 0) & (of_block(ends) == 0) & (of_block(n > 14) == 0)
+        out = fit[block] & full
+        lower = out & ~has_upper[doc]
+        if lower.any():
+            head = np.zeros(len(full), dtype=np.uint64)
+            head[words.line[::-1]] = words.hash[::-1]
+            for b in np.unique(block[lower]).tolist():
+                at = np.flatnonzero((block == b) & full)
+                if np.unique(head[at], return_counts=True)[1].max() < 0.6 * len(at):
+                    out[at] = False
+        return out
+
+
+def viterbi(score: np.ndarray, doc: np.ndarray, first: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """The most likely labels of lines (log-likelihoods: lines x labels), text by text; all texts go on at once, line by line."""
+    if not len(score):
+        return np.zeros(0, dtype=np.int64)
+    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    size = np.diff(np.r_[head, len(doc)])
+    order = np.argsort(-size, kind="stable")
+    head, size = head[order], size[order]
+    back = np.zeros(score.shape, dtype=np.int8)
+    best = first + score[head]
+    ends = np.empty(len(head), dtype=np.int64)
+    active = len(head)
+    for i in range(1, int(size[0]) + 1):
+        left = int(np.searchsorted(-size, -i, side="left"))  # texts of more than i lines
+        ends[left:active] = best[left:active].argmax(axis=1)
+        active = left
+        if not active:
+            break
+        via = best[:active, :, None] + nxt
+        at = head[:active] + i
+        back[at] = via.argmax(axis=1)
+        best = via.max(axis=1) + score[at]
+    out = np.empty(len(score), dtype=np.int64)
+    state = ends.copy()
+    for i in range(int(size[0]) - 1, -1, -1):
+        active = int(np.searchsorted(-size, -i, side="left"))  # texts that have line i
+        at = head[:active] + i
+        out[at] = state[:active]
+        state[:active] = back[at, state[:active]]
+    return out
 
 
 def line_shares(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -299,11 +456,9 @@ def _labeller(shared, doc_id: str) -> Callable[[Iterator[pa.RecordBatch]], Itera
         for b in batches:
             share = np.zeros((b.num_rows, len(LABELS)))
             lines = np.zeros(b.num_rows, dtype=np.int64)
-            for i, t in enumerate(b["__text"].to_pylist()):
-                got = model.label(t) if t else []
-                lines[i] = len(got)
-                for k, n in got:
-                    share[i, k] += n
+            for where, held in _chunks(b["__text"].to_pylist()):
+                got = model.label(held)
+                share[where], lines[where] = got[:, :-1], got[:, -1]
             total = share.sum(axis=1, keepdims=True)
             share = np.divide(share, total, out=share, where=total > 0)
             yield pa.RecordBatch.from_arrays([b[doc_id], pa.array(lines), *(pa.array(share[:, k]) for k in range(len(LABELS)))], names=[doc_id, "lines", *LABELS])
