@@ -51,7 +51,7 @@ EMISSION = {
     "codes-mid": (-1.7, -1.1, -0.9, -1.1),
     "codes-high": (-5.5, -1.0, -0.6, -0.7),
     # single letters with blanks between them
-    "letters-apart": (-11.0, -3.0, -3.0, -0.4),
+    "letters-apart": (-20.0, -3.0, -3.0, -0.4),
     # length in words
     "words-few": (-2.8, -0.7, -0.9, -0.9),
     "words-some": (-0.9, -0.8, -0.9, -1.1),
