@@ -84,6 +84,18 @@ def _scan(feed: str, seq: str, file_id: str) -> Callable[[Iterator[pa.RecordBatc
     """Counts per batch: of kinds at each path of a file, and of traits of each field name and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[object, list[tuple[str, str]]] = {}
+
+        def looks_of(v: object) -> list[tuple[str, str]]:
+            if not isinstance(v, str):
+                return traits(v)
+            got = memo.get(v)
+            if got is None:
+                if len(memo) > 50_000:
+                    memo.clear()
+                got = memo[v] = traits(v)
+            return got
+
         for b in batches:
             kinds: Counter = Counter()
             looks: Counter = Counter()
@@ -91,10 +103,14 @@ def _scan(feed: str, seq: str, file_id: str) -> Callable[[Iterator[pa.RecordBatc
                 found = read_object(body)
                 kinds[f, s, i, "", None] += found is not None
                 for name, v in (found or {}).items():
-                    for path, kind in set(_paths(v, name)):
-                        kinds[f, s, i, path, kind] += 1
-                    for family, trait in traits(v):
-                        looks[name, kind_of(v), family, trait] += 1
+                    own = kind_of(v)
+                    if own in ("list", "object"):
+                        for path, kind in set(_paths(v, name)):
+                            kinds[f, s, i, path, kind] += 1
+                    else:
+                        kinds[f, s, i, name, own] += 1
+                    for family, trait in looks_of(v):
+                        looks[name, own, family, trait] += 1
             rows = [(*k, None, None, None, n) for k, n in kinds.items()] + [(None, None, None, None, kind, name, fam, tr, n) for (name, kind, fam, tr), n in looks.items()]
             cols = zip(*rows, strict=True) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES, strict=True)], names=["feed", "seq", "file_id", "path", "kind", "name", "family", "trait", "n"])
