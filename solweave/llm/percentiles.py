@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from solweave.staging import stage
 
@@ -33,12 +34,12 @@ def from_ordered(k: np.ndarray) -> np.ndarray:
     return (k ^ ((k >> np.int64(63)) & _LOW63)).view(np.float64)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def ordered_key(x: pd.Series) -> pd.Series:
     return pd.Series(to_ordered(x.to_numpy(dtype=np.float64, na_value=0.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ordered_value(k: pd.Series) -> pd.Series:
     keys = k.to_numpy(dtype=np.int64)
     x = from_ordered(keys)

@@ -327,7 +327,7 @@ class LineModel:
         letters = np.bincount(line, plain, n_lines)
         known = np.divide(np.bincount(line, seen & plain, n_lines), letters, out=np.zeros(n_lines), where=letters > 0)
         codes = np.divide(n - letters, n, out=np.ones(n_lines), where=n > 0)
-        singles = np.bincount(line, words.single, n_lines)
+        singles = np.bincount(line, words.single & plain, n_lines)
         kinds = np.bincount(_distinct(line << 32 | (words.hash >> np.uint64(32)).astype(np.int64)) >> 32, minlength=n_lines)
         order, compared = self._order(words, seen, doc, n_lines)
 
