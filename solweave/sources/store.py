@@ -22,7 +22,7 @@ class Store:
     """``root/<solset>/<table>/v-<id>`` holds the rows of a table, ``table.json`` beside it names the current version.
 
     A write goes to a new version and is switched to when it is complete, so a table may be read while it is
-    rewritten from itself. ``mode``: ``r`` reads, ``a`` also writes and creates.
+    rewritten from itself; the version before is kept until the next write. ``mode``: ``r`` reads, ``a`` also writes and creates.
     """
 
     def __init__(self, spark: SparkSession, root: str, mode: str = "r") -> None:
@@ -151,10 +151,10 @@ class Store:
         old = self._get(f"{solset}/{table.name}/table.json")
         lead = [table.axes[0]] if table.axes else []
         table.df.sortWithinPartitions(*lead).write.parquet(f"{self.root}/{solset}/{table.name}/{version}")
-        meta = {"kind": table.kind, "axes": list(table.axes), "attrs": table.attrs, "version": version, "history": old.get("history", [])}
+        meta = {"kind": table.kind, "axes": list(table.axes), "attrs": table.attrs, "version": version, "previous": old.get("version"), "history": old.get("history", [])}
         self._put(f"{solset}/{table.name}/table.json", meta)
-        if old.get("version"):
-            self._delete(solset, table.name, old["version"])
+        if old.get("previous"):  # the last version but one; plans made before this write may still read the last
+            self._delete(solset, table.name, old["previous"])
         if note:
             self.add_history(solset, table.name, note)
 
