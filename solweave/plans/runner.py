@@ -9,6 +9,7 @@ import logging
 import re
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from solweave.functions.scalar import quantity
 from solweave.model import Solutions
@@ -144,10 +145,10 @@ operation("FLAG")(lambda store, solset, table, axesToFlag=None, order=None, maxC
     flagging.flag(_referenced(store, solset, table, refAnt), _list(axesToFlag), _list(order), maxCycles, maxRms, maxRmsNoise, fixRms, fixRmsNoise, windowNoise, replace, preflagzeros, mode)])
 operation("FLAGEXTEND")(lambda store, solset, table, axesToExt=None, size=None, percent=50.0, maxCycles=3: [flagging.extend_flags(table, _list(axesToExt), _list(size), percent, maxCycles)])
 operation("SMOOTH")(lambda store, solset, table, axesToSmooth=None, size=None, mode="runningmedian", degree=1, replace=False, log=False, refAnt="": [smoothing.smooth(_referenced(store, solset, table, refAnt), _list(axesToSmooth), _list(size), mode, degree, replace, log)])
-operation("REFERENCE")(lambda store, solset, table, refAnt="", refDir="", preservePol=False: [referencing.reference(table, refAnt or None, refDir or None, store.side(solset, "antenna"), store.side(solset, "source"), not preservePol and False)])
+operation("REFERENCE")(lambda store, solset, table, refAnt="", refDir="", preservePol=False: [referencing.reference(table, refAnt or None, refDir or None, store.side(solset, "antenna"), store.side(solset, "source"), bool(preservePol))])
 operation("RESIDUALS")(lambda store, solset, table, soltabsToSub=None, ratio=False: [_residuals.residuals(table, _sub(store, solset, soltabsToSub), ratio)])
 operation("INTERPOLATE")(lambda store, solset, table, outsoltab=None, axisToRegrid=None, newdelta=None, delta="", maxFlaggedWidth=0, log=False: [
-    smoothing.interpolate(table, axisToRegrid, newdelta, delta or "", maxFlaggedWidth, log).put(smoothing.interpolate(table, axisToRegrid, newdelta, delta or "", maxFlaggedWidth, log).df, name=outsoltab or table.name)])
+    replace(smoothing.interpolate(table, axisToRegrid, newdelta, delta or "", maxFlaggedWidth, log), name=outsoltab or table.name)])
 operation("TEC")(lambda store, solset, table, soltabOut="tec000", refAnt="", maxResidualFlag=2.5, maxResidualProp=1.0: [fits.tec(table, refAnt or "", maxResidualFlag, maxResidualProp, name=soltabOut)])
 operation("FARADAY")(lambda store, solset, table, soltabOut="rotationmeasure000", refAnt="", maxResidual=1.0: [fits.faraday(table, refAnt or "", maxResidual, soltabOut)])
 operation("POLALIGN")(lambda store, solset, table, soltabOut="phasediff", minFreq=0.0, refAnt="": [fits.align_polarisations(table, minFreq, refAnt or "", soltabOut)])
