@@ -23,6 +23,8 @@ FILES = 1024
 ALIKE = 0.35
 #: Names that share more than this part of the files of the rarer one are two fields, however alike.
 TOGETHER = 0.02
+#: Content this alike makes names one field without a rename between them.
+SAME = 0.6
 
 KINDS = {"text": "text", "whole": "whole number", "real": "real number", "bool": "true/false", "list": "list", "object": "object"}
 SEP = "\x1f"
@@ -184,28 +186,36 @@ class Drift:
         both = both.select("a", F.explode("come").alias("b")).filter(F.col("a.kind").isNull() | F.col("b.kind").isNull() | (F.col("a.kind") == F.col("b.kind")))
         wanted = both.select(F.col("a.path").alias("old"), F.col("b.path").alias("new"), F.coalesce("a.kind", "b.kind").alias("wanted")).distinct()
 
+        pairs = wanted.select("old", "new").distinct()
+        alike = self._alike(pairs)
+        apart = self._together(pairs).filter(F.col("together") <= TOGETHER * F.least("na", "nb")).select("old", "new")
+        by_kind = wanted.join(alike, ["old", "new"], "left").filter(F.col("wanted").isNull() | F.col("kind").isNull() | (F.col("wanted") == F.col("kind")))
+        score = by_kind.groupBy("old", "new", "wanted").agg(F.max(F.coalesce("alike", F.lit(0.0))).alias("alike"))
+        return score.join(apart, ["old", "new"])
+
+    def _alike(self, pairs: DataFrame | None = None) -> DataFrame:
+        """(old, new, kind, alike): likeness of content of pairs of names, or of all that share a trait."""
         looks = self.scan.filter(F.col("name").isNotNull() & F.col("kind").isNotNull()).groupBy("name", "kind", "family", "trait").agg(F.sum("n").alias("n"))
         whole = Window.partitionBy("name", "kind", "family")
         looks = looks.select("name", "kind", "family", "trait", (F.col("n") / F.sum("n").over(whole)).alias("p"))
         families = looks.groupBy("name", "kind").agg(F.collect_set("family").alias("families"))
-
         a = looks.select(F.col("name").alias("old"), "kind", "family", "trait", F.col("p").alias("pa"))
         b = looks.select(F.col("name").alias("new"), "kind", "family", "trait", F.col("p").alias("pb"))
-        pairs = wanted.select("old", "new").distinct()
-        shared = pairs.join(a, "old").join(b, ["new", "kind", "family", "trait"]).groupBy("old", "new", "kind").agg(F.sum(F.sqrt(F.col("pa") * F.col("pb"))).alias("s"))
+        both = a.join(b, ["kind", "family", "trait"]).filter(F.col("old") < F.col("new")) if pairs is None else pairs.join(a, "old").join(b, ["new", "kind", "family", "trait"])
+        shared = both.groupBy("old", "new", "kind").agg(F.sum(F.sqrt(F.col("pa") * F.col("pb"))).alias("s"))
         fa = families.select(F.col("name").alias("old"), "kind", F.col("families").alias("fa"))
         fb = families.select(F.col("name").alias("new"), "kind", F.col("families").alias("fb"))
-        alike = shared.join(fa, ["old", "kind"]).join(fb, ["new", "kind"]).withColumn("alike", F.col("s") / F.size(F.array_union("fa", "fb")))
+        return shared.join(fa, ["old", "kind"]).join(fb, ["new", "kind"]).select("old", "new", "kind", (F.col("s") / F.size(F.array_union("fa", "fb"))).alias("alike"))
 
+    def _together(self, pairs: DataFrame) -> DataFrame:
+        """(old, new, together, na, nb): in how many files both names of a pair are, and each of them."""
         # Files with equal sets of names are counted before names are paired.
-        sets = self.files.select(F.transform(top("fields"), lambda f: f.path).alias("names")).groupBy("names").agg(F.count(F.lit(1)).alias("n"))
+        top = F.filter("fields", lambda f: ~f.path.contains(SEP))
+        sets = self.files.select(F.transform(top, lambda f: f.path).alias("names")).groupBy("names").agg(F.count(F.lit(1)).alias("n"))
         one = sets.select(F.explode("names").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("files"))
         held = sets.select(F.explode("names").alias("old"), "names", "n").join(pairs, "old").filter(F.array_contains("names", F.col("new"))).groupBy("old", "new").agg(F.sum("n").alias("together"))
-        apart = pairs.join(held, ["old", "new"], "left").join(one.withColumnsRenamed({"name": "old", "files": "na"}), "old").join(one.withColumnsRenamed({"name": "new", "files": "nb"}), "new")
-        apart = apart.filter(F.coalesce("together", F.lit(0)) <= TOGETHER * F.least("na", "nb")).select("old", "new")
-        by_kind = wanted.join(alike.select("old", "new", "kind", "alike"), ["old", "new"], "left").filter(F.col("wanted").isNull() | F.col("kind").isNull() | (F.col("wanted") == F.col("kind")))
-        score = by_kind.groupBy("old", "new", "wanted").agg(F.max(F.coalesce("alike", F.lit(0.0))).alias("alike"))
-        return score.join(apart, ["old", "new"])
+        x = pairs.join(held, ["old", "new"], "left").join(one.withColumnsRenamed({"name": "old", "files": "na"}), "old").join(one.withColumnsRenamed({"name": "new", "files": "nb"}), "new")
+        return x.withColumn("together", F.coalesce("together", F.lit(0)))
 
     def changes(self) -> DataFrame:
         """Every step of every script: ``feed, file_id, depth, field, to, change``; paths are joined by dots."""
@@ -221,7 +231,7 @@ class Drift:
         return work.mapInPandas(_scripts, "feed string, file_id bigint, depth int, field string, to string, change string")
 
     def canonical(self, changes: DataFrame, most: int = 10_000) -> dict[str, str]:
-        """The name that stands for each field name: the most frequent of those that renames link.
+        """The name that stands for each field name: the most frequent of those that renames, or like content in different files, link.
 
         The field names of a feed are a vocabulary, not data; more than ``most`` are refused.
         """
@@ -229,20 +239,34 @@ class Drift:
         count = {r.name: r.n for r in top.limit(most + 1).collect()}
         if len(count) > most:
             raise ValueError(f"more than {most} field names")
-        links = changes.filter((F.col("change") == "renamed") & (F.col("depth") == 1)).select("field", "to").distinct().collect()
-        root = {n: n for n in count}
-
-        def find(x: str) -> str:
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for r in links:
-            a, b = find(r.field), find(r.to)
-            if a != b:
-                a, b = sorted((a, b), key=lambda n: (-count[n], n))
-                root[b] = a
-        return {n: find(n) for n in count}
+        renamed = changes.filter((F.col("change") == "renamed") & (F.col("depth") == 1)).groupBy(F.col("field").alias("old"), F.col("to").alias("new")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+        # Names of like content that chance would have brought together, but that never are, stand for one field, too.
+        alike = self._alike().groupBy("old", "new").agg(F.max("alike").alias("alike")).filter(F.col("alike") >= SAME)
+        feeds = self.files.select("feed", F.explode("fields").alias("f")).select("feed", F.col("f.path").alias("name")).groupBy("name").agg(F.countDistinct("feed").alias("feeds"))
+        size = lambda c: feeds.withColumnsRenamed({"name": c, "feeds": f"feeds_{c}"})
+        apart = self._together(alike.select("old", "new")).filter(F.col("together") == 0).join(alike, ["old", "new"]).join(size("old"), "old").join(size("new"), "new")
+        whole = self.files.agg(F.countDistinct("feed").alias("whole"))
+        apart = apart.join(F.broadcast(whole), how="cross").filter(F.col("feeds_old") * F.col("feeds_new") >= 2 * F.col("whole"))  # one row
+        # Links between names of a vocabulary of at most ``most``; renames first.
+        links = [(1, r.w, r.old, r.new) for r in renamed.collect()] + [(0, r.alike, r.old, r.new) for r in apart.select("old", "new", "alike").collect()]
+        linked = sorted({n for _, _, a, b in links for n in (a, b)})
+        member = {n: {n} for n in count}
+        if linked:
+            top_names = F.transform(F.filter("fields", lambda f: ~f.path.contains(SEP)), lambda f: f.path)
+            sets = self.files.select(F.array_intersect(top_names, F.array(*[F.lit(n) for n in linked])).alias("names")).groupBy("names").agg(F.count(F.lit(1)).alias("n"))
+            met = sets.select(F.explode("names").alias("a"), "names", "n").select("a", F.explode("names").alias("b"), "n").filter("a < b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+            met = {(r.a, r.b): r.n for r in met.collect()}
+        for _, _, a, b in sorted(links, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            one, two = member[a], member[b]
+            if one is two:
+                continue
+            # Names found in the same files are different fields, and so are those that stand for them.
+            if any(met.get((min(x, y), max(x, y)), 0) > TOGETHER * min(count[x], count[y]) for x in one for y in two):
+                continue
+            one |= two
+            for n in two:
+                member[n] = one
+        return {n: max(m, key=lambda x: (count[x], x)) for n, m in member.items()}
 
     def table(self, projection: dict[str, str]) -> DataFrame:
         """One row per readable line, with a column per canonical name: numbers as they are written, other values as JSON text.
