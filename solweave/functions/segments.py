@@ -122,12 +122,12 @@ def wavelet_details(x: np.ndarray, seg: np.ndarray, levels: int) -> list[np.ndar
     return out
 
 
-def running_median(x: np.ndarray, seg: np.ndarray, half: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Median of the values within ``half`` places in the series, NaN left out; for the places ``at`` or all."""
+def running_median(x: np.ndarray, seg: np.ndarray, half: int, at: np.ndarray | None = None, ahead: int | None = None) -> np.ndarray:
+    """Median of the values from ``half`` places back to ``ahead`` (default: as many) places on in the series, NaN left out; for the places ``at`` or all."""
     lo, hi = _ends(seg)
     at = np.arange(len(x)) if at is None else at
     out = np.empty(len(at))
-    offsets = np.arange(-half, half + 1)
+    offsets = np.arange(-half, (half if ahead is None else ahead) + 1)
     for k in range(0, len(at), 200_000):
         part = at[k : k + 200_000]
         pos = part[:, None] + offsets
@@ -136,6 +136,6 @@ def running_median(x: np.ndarray, seg: np.ndarray, half: int, at: np.ndarray | N
         near.sort(axis=1)  # NaN goes last
         count = (~np.isnan(near)).sum(axis=1)
         rows = np.arange(len(part))
-        mid = (near[rows, np.maximum(count - 1, 0) // 2] + near[rows, np.minimum(count // 2, 2 * half)]) / 2
+        mid = (near[rows, np.maximum(count - 1, 0) // 2] + near[rows, np.minimum(count // 2, len(offsets) - 1)]) / 2
         out[k : k + 200_000] = np.where(count > 0, mid, np.nan)
     return out

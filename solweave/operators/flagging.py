@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solweave.functions import grids
+from solweave.functions import segments as S
 from solweave.functions.scalar import log10_positive, wrap
 from solweave.model import Solutions, good, with_stats
 
@@ -135,6 +137,8 @@ def flag(
     df = table.df
     if preflag_defaults:
         df = df.withColumn("weight", F.when(F.col("val") == table.default, 0.0).otherwise(F.col("weight")))
+    if len(axes) == 1 and mode == "smooth" and not (max_rms_noise or fix_rms_noise):
+        return table.put(_flag_lines(df, keys, table, axes[0], order[0], kind, cycles, max_rms, fix_rms, replace))
     names, limits = list(axes), (cycles, max_rms, max_rms_noise, fix_rms, fix_rms_noise, window_noise, replace)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,6 +155,57 @@ def flag(
     return table.put(out.withColumn("val", F.when(~F.isnan("val"), F.col("val"))))
 
 
+def _flag_lines(df: DataFrame, keys: Sequence[str], table: Solutions, axis: str, order: int, kind: str, cycles: int, max_rms: float, fix_rms: float, replace: bool) -> DataFrame:
+    """The rule of ``flag_cube`` for running medians along one axis, for many groups at once on flat arrays."""
+
+    def work(rows: pa.Table, seg: np.ndarray) -> Iterator[pa.RecordBatch]:
+        val, weight = S.floats(rows["val"]), np.nan_to_num(S.floats(rows["weight"]))
+        n_seg = int(seg[-1]) + 1
+        w = np.where(np.isnan(val), 0.0, weight)
+        centre = np.zeros(n_seg)
+        if kind == "phase":
+            known = np.nan_to_num(val)
+            centre = np.arctan2(np.bincount(seg, w * np.sin(known), n_seg), np.bincount(seg, w * np.cos(known), n_seg))
+            x = _wrap(val - centre[seg])
+        elif kind == "amplitude":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                x = np.log10(np.where(val > 0, val, np.nan))
+            w[np.isnan(x)] = 0.0
+        else:
+            x = val
+        idle = np.bincount(seg, w > 0, n_seg) == 0  # nothing to judge: left as they are
+        first, model = w.copy(), np.full(len(x), np.nan)
+        for _ in range(cycles):
+            y = np.where(w > 0, x, np.nan)
+            model = S.medians(y, seg, n_seg)[seg] if order == 0 else S.running_median(y, seg, order // 2, ahead=order - 1 - order // 2)
+            off = np.abs(_wrap(x - model) if kind == "phase" else x - model)
+            limit = np.full(n_seg, fix_rms) if fix_rms else max_rms * 1.4826 * S.medians(np.where(w > 0, off, np.nan), seg, n_seg)
+            with np.errstate(invalid="ignore"):
+                new = (w > 0) & (limit[seg] > 0) & (off > limit[seg])
+            if not new.any():
+                break
+            w[new] = 0.0
+        out = val.copy()
+        if replace:
+            fresh = (first > 0) & (w == 0) & ~np.isnan(model)
+            back = _wrap(model + centre[seg]) if kind == "phase" else 10**model if kind == "amplitude" else model
+            out[fresh], w[fresh] = back[fresh], first[fresh]
+        w = np.where(idle[seg], weight, w)
+        for name, data in (("val", pa.array(out, from_pandas=True)), ("weight", pa.array(w))):
+            rows = rows.set_column(rows.column_names.index(name), name, data)
+        yield from rows.combine_chunks().to_batches()
+
+    cols, schema = _kernel_schema(table)
+    lines = df.select(*cols).repartition(*keys) if keys else df.select(*cols).coalesce(1)
+    # Rows of one group may straddle batches; without keys all rows are one group.
+    group = list(keys)
+    lines = lines.sortWithinPartitions(*keys, axis)
+    if not group:
+        lines = lines.withColumn("__all", F.lit(1))
+        schema, group = schema + ", __all int", ["__all"]
+    return lines.mapInArrow(lambda batches: S.whole_groups(batches, group, work), schema)
+
+
 def extend_flags(table: Solutions, axes: Sequence[str], size: Sequence[int], percent: float = 50.0, cycles: int = 3) -> Solutions:
     """Flag cells around which more than ``percent`` of a box of ``size`` cells (0: all) is flagged, until that settles.
 

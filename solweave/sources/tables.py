@@ -231,7 +231,7 @@ def from_gain_record(spark: SparkSession, path: str) -> dict[str, Solutions]:
         ants = [a.decode() if isinstance(a, bytes) else str(a) for a in z["StationNames"]]
     times = (sols["t0"] + sols["t1"]) / 2
     if len(times) > 3:  # the first and last intervals may be cut
-        step = float(np.median(np.diff(times)))
+        step = float(np.median(np.diff(times[1:-1])))
         times[0], times[-1] = times[1] - step, times[-2] + step
     g = sols["G"]
     t, f, a, d, p, q = np.indices(g.shape)

@@ -43,8 +43,10 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
 def _drop_staged() -> None:
     for spark, path in _staged:
         try:
+            if spark.sparkContext._jsc is None:  # the session ended before
+                return
             jvm = spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended before
+        except Exception:  # the gateway is closing
             return

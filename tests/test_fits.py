@@ -123,3 +123,25 @@ def test_quantities():
     assert [quantity(x) for x in ("10s", "2 ks", "100kHz", "1.5MHz", 7, "3ms")] == [10.0, 2000.0, 1e5, 1.5e6, 7.0, 3e6]
     with pytest.raises(ValueError):
         quantity("ten")
+
+
+@pytest.mark.parametrize("kind", ["amplitude", "phase", "clock"])
+@pytest.mark.parametrize("order", [0, 4, 5])
+@pytest.mark.parametrize("replace", [False, True])
+def test_lines_at_once_equal_lines_one_by_one(spark, kind, order, replace):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(12):
+        for t in range(int(rng.integers(1, 60))):
+            v = abs(rng.normal(3, 0.3)) + (20 if rng.random() < 0.06 else 0) if g != 5 else 2.0
+            rows.append((f"a{g}", float(t), None if rng.random() < 0.05 else float(v if rng.random() > 0.02 else -v), float(rng.random() > 0.1) if g != 3 else 0.0))
+    t = Solutions.of(spark.createDataFrame(rows, "ant string, time double, val double, weight double"), ["ant", "time"], kind)
+    fast = {(r.ant, r.time): (r.val, r.weight) for r in flagging.flag(t, ["time"], [order], cycles=4, max_rms=4, replace=replace).df.collect()}
+    how = "phase" if kind == "phase" else "amplitude" if kind == "amplitude" else "plain"
+    for g in {r[0] for r in rows}:
+        mine = sorted(r for r in rows if r[0] == g)
+        val, w = np.array([np.nan if r[2] is None else r[2] for r in mine]), np.array([r[3] for r in mine])
+        new, flags = flagging.flag_cube(val, w, [np.array([r[1] for r in mine])], [order], how, "smooth", 4, 4.0, 0.0, 0.0, 0.0, 11, replace)
+        for r, v, f in zip(mine, new, flags, strict=True):
+            got = fast[g, r[1]]
+            assert got[1] == f and (got[0] == pytest.approx(v, abs=1e-12) if not np.isnan(v) else got[0] is None)
