@@ -100,8 +100,31 @@ x AS (SELECT g.* FROM g ANTI JOIN o USING (solset, ant, pol, chan, slot))
 """
 
 
+def _wrong_sql(turns: int = 5) -> str:
+    """Brute force: every reading against the running median of its series, again and again without the spikes found."""
+    series = "solset, ant, pol, freq"
+    q = f"""
+WITH r AS (SELECT DISTINCT cell_id, solset, upper(trim(ant)) AS ant, pol, freq, time, val, weight FROM cells),
+k AS (SELECT * FROM r WHERE val IS NOT NULL AND NOT isnan(val)),
+e AS (SELECT *, coalesce(val <> lag(val) OVER (PARTITION BY {series} ORDER BY time, cell_id), TRUE)::INT AS b FROM k),
+g AS (SELECT *, sum(b) OVER (PARTITION BY {series} ORDER BY time, cell_id) AS run FROM e),
+n AS (SELECT *, count(*) OVER (PARTITION BY {series}, run) AS len FROM g),
+v AS (SELECT *, count(*) OVER (PARTITION BY {series}) AS many FROM n WHERE len < 6 AND val > 0 AND NOT isinf(val)),
+x0 AS (SELECT cell_id, {series}, time, val, FALSE AS o FROM v WHERE many >= 8)"""
+    for i in range(turns):
+        q += f""",
+m{i} AS (SELECT *, coalesce(median(CASE WHEN NOT o THEN val END) OVER (PARTITION BY {series} ORDER BY time, cell_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING),
+  median(CASE WHEN NOT o THEN val END) OVER (PARTITION BY {series})) AS mid FROM x{i}),
+u{i} AS (SELECT *, 1.4826 * median(abs(val - mid)) FILTER (NOT o) OVER (PARTITION BY {series}) AS mad, 1.2533 * avg(abs(val - mid)) FILTER (NOT o) OVER (PARTITION BY {series}) AS mean FROM m{i}),
+x{i + 1} AS (SELECT cell_id, {series}, time, val, coalesce(abs(val - mid) > 10 * CASE WHEN mad > 0 THEN mad ELSE mean END AND (mad > 0 OR mean > 0), FALSE) AS o FROM u{i})"""
+    return q + f"""
+SELECT cell_id FROM x{turns} WHERE o UNION SELECT cell_id FROM n WHERE len >= 6 UNION SELECT cell_id FROM k WHERE val <= 0 OR isinf(val)
+UNION SELECT cell_id FROM r WHERE weight < 0 OR (weight > 1 AND NOT isnan(weight))"""
+
+
 def oracle_sql():
     return {
+        "p4_found": _wrong_sql(),
         "p3_found": _GRID + "SELECT solset, ant, pol, chan, slot FROM x",
         "p3_coverage": _GRID + ", a AS (SELECT solset, count(*) AS slots FROM g GROUP BY 1), b AS (SELECT solset, count(*) AS missing FROM x GROUP BY 1) "
         "SELECT solset, slots, coalesce(missing, 0) AS missing FROM a LEFT JOIN b USING (solset)",
