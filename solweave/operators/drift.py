@@ -186,6 +186,7 @@ class Drift:
         both = both.select("a", F.explode("come").alias("b")).filter(F.col("a.kind").isNull() | F.col("b.kind").isNull() | (F.col("a.kind") == F.col("b.kind")))
         wanted = both.select(F.col("a.path").alias("old"), F.col("b.path").alias("new"), F.coalesce("a.kind", "b.kind").alias("wanted")).distinct()
 
+        wanted = stage(wanted, "wanted")  # pairs of field names: read four times
         pairs = wanted.select("old", "new").distinct()
         alike = self._alike(pairs)
         apart = self._together(pairs).filter(F.col("together") <= TOGETHER * F.least("na", "nb")).select("old", "new")
@@ -220,7 +221,7 @@ class Drift:
     def changes(self) -> DataFrame:
         """Every step of every script: ``feed, file_id, depth, field, to, change``; paths are joined by dots."""
         differ = self.pairs.filter(F.col("old") != F.col("new"))
-        alike = self.likeness().filter(F.col("alike") >= ALIKE)
+        alike = stage(self.likeness().filter(F.col("alike") >= ALIKE), "alike")
         gone = differ.select("feed", "file_id", "new", F.explode("old").alias("a"))
         gone = gone.filter(~F.col("a.path").contains(SEP) & ~F.exists("new", lambda g: g.path == F.col("a.path")))
         cand = gone.select("feed", "file_id", "new", F.col("a.path").alias("old"), F.col("a.kind").alias("ka"))
