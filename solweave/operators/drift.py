@@ -144,7 +144,8 @@ class Drift:
             known = known & F.col(c).isNotNull()
         rows = lines.filter(known).select(F.col(feed).cast("string").alias(feed), F.col(seq).cast("bigint").alias(seq), F.col(file_id).cast("bigint").alias(file_id), F.col(line_no).alias("__line"), F.col(body).alias("__body"))
         # A file's lines stay together, thousand by thousand.
-        self.lines = rows.repartition(file_id, F.floor(F.col("__line") / 1000)).dropDuplicates([file_id, "__line"])
+        rows = rows.withColumn("__thousand", F.floor(F.col("__line") / 1000)).repartition(file_id, "__thousand")
+        self.lines = rows.dropDuplicates([file_id, "__thousand", "__line"]).drop("__thousand")
         types = "feed string, seq bigint, file_id bigint, path string, kind string, name string, family string, trait string, n bigint"
         scanned = self.lines.mapInArrow(_scan(feed, seq, file_id), types)
         self.scan = stage(scanned, "scan")
