@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,6 +16,8 @@ from solweave.functions import segments as S
 from solweave.functions.scalar import log10_positive, wrap
 from solweave.model import Solutions, good, with_stats
 
+log = logging.getLogger(__name__)
+
 
 def _kernel_schema(table: Solutions) -> tuple[list[str], str]:
     cols = [*table.axes, "val", "weight"]
@@ -317,55 +320,162 @@ def bounded_lsq(a: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray,
     return x
 
 
+#: Bandpass models by band: range of the median frequency, inner knots, coefficients, and how far these may go down and up.
+BANDS = {
+    "lba": (
+        (0.0, 90e6), [10850524.0, 20e6, 30e6, 40e6, 50e6, 55e6, 56e6, 60e6, 62e6, 63e6, 64e6, 70e6, 77610779.0],
+        [-0.19996913, -0.10604762, -0.29063847, -0.17248618, 0.05588799, 0.21518069, 0.46090289, 0.59503671, 0.6278482, 0.42936404, 0.43576633, 0.29100915, -0.00448301, -0.16566164, -0.3667639],
+        [0.1, 0.2, 0.25, 0.2, 0.05, 0.05, 0.05, 0.1, 0.1, 0.16, 0.2, 0.15, 0.15, 0.25, 0.3],
+        [0.1, 0.3, 0.4, 0.3, 0.15, 0.05, 0.05, 0.05, 0.08, 0.05, 0.08, 0.15, 0.15, 0.25, 0.35],
+    ),
+    "hba_low": (
+        (110e6, 180e6), [115e6, 130e6, 138e6, 148e6, 160e6, 168e6, 178e6, 190e6],
+        [-0.01460369, 0.05062699, 0.02827004, 0.03738518, -0.05729109, 0.02303295, -0.03550487, -0.0803113, -0.2394929, -0.358301],
+        [0.06, 0.05, 0.04, 0.04, 0.04, 0.04, 0.1, 0.1, 0.2, 0.5],
+        [0.06, 0.1, 0.1, 0.1, 0.04, 0.04, 0.04, 0.04, 0.05, 0.06],
+    ),
+}
+
+#: Accepted median levels (least, most), by whether the median of the station is above 1 (new correlator) or not.
+LEVELS = {True: (50.0, 325.0), False: (0.0004, 0.0018)}
+
+#: The relative noise of a channel that doesn't count.
+LOST = 1e8
+
+
+def band_basis(freq: np.ndarray, knots: Sequence[float]) -> np.ndarray:
+    """Cubic B-splines on inner knots; beyond the ends the first or last one alone goes on as a cubic."""
+    k = np.asarray(knots, dtype=float)
+    b = spline_basis(freq, 0, k)
+    low, high = freq < k[0], freq >= k[-1]
+    b[low | high] = 0.0
+    b[low, 0] = ((k[1] - freq[low]) / (k[1] - k[0])) ** 3
+    b[high, -1] = ((freq[high] - k[-2]) / (k[-1] - k[-2])) ** 3
+    return b
+
+
+def _fit_bandpass(a: np.ndarray, y: np.ndarray, noise: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The bandpass of bounded coefficients; those that no channel tells stay at ``start``."""
+    use = noise < 0.1 * LOST
+    if not use.any():
+        return a @ start
+    w = 1 / noise[use]
+    return a @ (start + bounded_lsq(a[use] * w[:, None], (y - a @ start)[use] * w, -low, high))
+
+
+def judge_bandpass(
+    m: np.ndarray, noise: np.ndarray, cells: np.ndarray, good_cells: np.ndarray, a: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray,
+    max_std: float, least: float, most: float, sigma: float, cycles: int,
+) -> tuple[np.ndarray, bool]:
+    """Bad channels of one station and polarisation, and whether its level is still to be looked at."""
+    known = ~np.isnan(m)
+    y = np.where(known, np.log10(np.where(known, m, 1.0) / np.nanmedian(m)), 0.0)
+    first = np.where(known, noise, LOST)
+    model = a @ start
+    y = y - np.median(y - model)
+    now = np.where(np.abs(y - model) > 0.2, LOST, first)
+    if (now > 0.1 * LOST).all():
+        return np.ones(len(m), dtype=bool), False
+    std = 0.0
+    for _ in range(cycles):
+        off = y - _fit_bandpass(a, y, now, start, low, high)
+        std = float(np.sqrt(np.average(off**2, weights=now**-2.0)))
+        bad = np.abs(off) > max(sigma * min(max_std, std), 1e-9)
+        if bad.sum() in (0, known.sum()):
+            break
+        now = np.where(bad, LOST, first)
+    bad = now >= LOST
+    share = good_cells[bad].sum() / cells.sum()
+    if std > sigma * max_std or share > most:
+        return np.ones(len(m), dtype=bool), False
+    if 0 < share < least:
+        return np.zeros(len(m), dtype=bool), False
+    return bad, True
+
+
 def flag_stations_bandpass(
-    table: Solutions, max_std: float = 0.01, most: float = 0.5, sigma: float = 5.0, intervals: int = 7, amp_range: tuple[float, float] | None = None,
-    cycles: int = 5, deepest: float = 1.5,
+    table: Solutions, max_std: float | None = 0.01, most: float = 0.5, sigma: float = 5.0, intervals: int | None = None, amp_range: Sequence[float] | None = None,
+    cycles: int = 2, deepest: float = 1.5, least: float = 0.0, skip: Sequence[str] = (), skip_international: bool = False, telescope: str = "lofar",
 ) -> Solutions:
     """Flag channels and stations whose amplitudes over frequency don't follow a smooth bandpass.
 
-    Medians over time are taken per station, polarisation and channel; a station whose polarisations differ in level by more than a factor
-    2 is flagged. The log of the normalised medians is fitted with cubic B-splines whose coefficients are bounded to ``deepest``; cells 0.2 dex off, then
-    those ``sigma`` deviations off are left out and flagged, up to ``cycles`` times. A station and polarisation is flagged
-    altogether if the deviation stays above ``10 * max_std``, more than ``most`` of the channels are bad, or its median lies outside ``amp_range``.
+    Medians over time are taken per station, polarisation (and direction) and channel; a station with a polarisation whose level differs from that of
+    the first (XX or RR, else the first by name) by more than a factor 2 is flagged. The log of the normalised medians is fitted with the bandpass model of the band
+    (LBA below 90 MHz, HBA-low between 110 and 180 MHz by the median channel; elsewhere, and for other telescopes, nothing is judged), whose
+    coefficients are bounded, or with cubic B-splines on ``intervals`` equal intervals bounded to ``deepest``. Channels 0.2 dex off are left out, then those off
+    by more than ``sigma`` times the deviation (at most ``max_std``) in each of ``cycles`` fits. A channel flagged at more than half of its times is flagged at all.
+
+    A station and polarisation is flagged altogether if the deviation stays above ``sigma * max_std``, if more than ``most`` of its cells are newly flagged,
+    or if the median of what is left lies outside ``amp_range`` (unset or 0, 0: 50 to 325 where the station's median is above 1, else 0.0004 to 0.0018); with
+    a share of new flags below ``least`` it keeps its flags. Stations in ``skip``, and with ``skip_international`` those neither core nor remote, aren't judged.
+    At the end a fully flagged polarisation flags all polarisations of its station. Null values are flagged; values of 0 or less don't count.
     """
-    if not table.is_amplitude or "freq" not in table.axes:
-        raise ValueError("bandpass flagging works for amplitudes over frequency")
-    keys = [a for a in table.axes if a not in ("time", "t", "freq")]
+    if not table.is_amplitude or not {"ant", "freq"} <= set(table.axes):
+        raise ValueError("bandpass flagging works for amplitudes of antennas over frequency")
     from solweave.functions.medians import group_medians
 
-    x = table.df.withColumn("__v", F.when(F.col("val") > 0, good()))
-    meds = group_medians(x, [*keys, "freq"], "__v", "__m")
-    level = group_medians(meds, keys, "__m", "__level")
-    ratio = level.groupBy(*[k for k in keys if k != "pol"]).agg((F.max("__level") / F.min("__level")).alias("__ratio")) if "pol" in keys else None
+    max_std = max_std if max_std is not None and max_std > 0 else 0.01
+    amp_range = None if amp_range is None or not any(amp_range) else tuple(amp_range)
+    keys = [a for a in table.axes if a not in ("time", "t", "freq")]
+    station = [k for k in keys if k != "pol"]
+    df = table.df.withColumn("weight", F.when(F.col("val").isNull(), 0.0).otherwise(F.col("weight")))
+    middle = df.select("freq").distinct().agg(F.median(F.col("freq").cast("double")).alias("f")).first().f
+    band = None if middle is None or telescope.lower() != "lofar" else next((b for b, (r, *_) in BANDS.items() if r[0] < middle < r[1]), None)
+    if band is None and intervals is None:
+        log.warning("no bandpass model for %s at %s Hz: nothing is judged", telescope, middle)
+        return table.put(_all_pols(table, df))
+    x = df.filter(~F.col("ant").isin(list(skip))) if skip else df
+    if skip_international and telescope.lower() == "lofar":
+        x = x.filter(F.col("ant").rlike("CS|RS"))
+    x = x.withColumn("__v", F.when(F.col("val") > 0, good()))
+    x = x.withColumn("__noise", F.when(F.col("__v").isNotNull(), 1 / F.sqrt("weight")).otherwise(LOST))
+    channel = [*keys, "freq"]
+    cells = x.groupBy(*channel).agg(F.count(F.lit(1)).alias("__cells"), F.sum((F.col("weight") != 0).cast("bigint")).alias("__good"))
+    cells = cells.join(group_medians(x, channel, "__noise", "__s"), channel).join(group_medians(x, channel, "__v", "__m"), channel, "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, m = pdf["freq"].to_numpy(float), pdf["__m"].to_numpy(float)
-        y = np.log10(m / np.median(m))
-        u = (f - f.min()) / (np.ptp(f) or 1.0)
-        a = spline_basis(u, max(1, min(intervals, len(f) // 4)))
-        ok = np.abs(y - np.median(y)) <= 0.2
-        std = 0.0
-        bound = np.full(a.shape[1], deepest)
-        for _ in range(cycles):
-            if ok.sum() < a.shape[1]:
-                break
-            r = y - a @ bounded_lsq(a[ok], y[ok], -bound, bound)
-            std = float(np.std(r[ok]))
-            now = np.abs(r) <= max(sigma * std, 1e-9)
-            if (now == ok).all():
-                break
-            ok = now
-        out_of = amp_range is not None and not amp_range[0] <= float(np.median(m)) <= amp_range[1]
-        dead = std > 10 * max_std or (~ok).mean() > most or out_of
-        pdf["__bad"] = ~ok | dead
-        return pdf[[*keys, "freq", "__bad"]]
-
-    kinds = dict(meds.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "freq"]) + ", __bad boolean"
-    bad = meds.filter(F.col("__m") > 0).groupBy(*keys).applyInPandas(run, schema)
-    out = table.df.join(bad, [*keys, "freq"], "left")
-    hit = F.coalesce(F.col("__bad"), F.lit(False))
-    if ratio is not None:
-        out = out.join(ratio, [k for k in keys if k != "pol"], "left")
-        hit = hit | F.coalesce(F.col("__ratio") > 2, F.lit(False))
-    return table.put(out.withColumn("weight", F.when(hit, 0.0).otherwise(F.col("weight"))))
+        pdf["__bad"], pdf["__open"] = False, False
+        pols = [p for _, p in pdf.groupby("pol", sort=False)] if "pol" in keys else [pdf]
+        pols = sorted((p for p in pols if p["__m"].notna().any()), key=lambda p: (p["pol"].iloc[0] not in ("XX", "RR"), p["pol"].iloc[0]) if "pol" in keys else 0)
+        levels = np.array([p["__m"].median() for p in pols])
+        if len(levels) and (np.abs(np.log10(levels / levels[0])) > np.log10(2)).any():
+            pdf["__bad"] = True
+            return pdf[[*channel, "__bad", "__open"]]
+        for p in pols:
+            f = p["freq"].to_numpy(float)
+            if intervals is None:
+                _, knots, start, low, high = BANDS[band]
+                a, (start, low, high) = band_basis(f, knots), np.array([start, low, high])
+            else:
+                a = spline_basis((f - f.min()) / (np.ptp(f) or 1.0), max(1, min(intervals, len(f) // 4)))
+                start, low = np.zeros(a.shape[1]), np.full(a.shape[1], deepest)
+                high = low
+            numbers = [p[c].to_numpy(float) for c in ("__m", "__s", "__cells", "__good")]
+            bad, still = judge_bandpass(*numbers, a, start, low, high, max_std, least, most, sigma, cycles)
+            pdf.loc[p.index, "__bad"], pdf.loc[p.index, "__open"] = bad, still
+        return pdf[[*channel, "__bad", "__open"]]
+
+    kinds = dict(cells.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in channel) + ", __bad boolean, __open boolean"
+    judged = cells.groupBy(*station).applyInPandas(run, schema)
+    out = df.join(judged, channel, "left").withColumn("weight", F.when(F.coalesce("__bad", F.lit(False)), 0.0).otherwise(F.col("weight")))
+    level = group_medians(out.filter(F.col("__open") & (F.col("weight") > 0)), keys, "val", "__level")
+    if amp_range is None:
+        level = level.join(group_medians(x, station, "__v", "__usual"), station)
+        most_of = lambda i: F.when(F.col("__usual") > 1, LEVELS[True][i]).otherwise(LEVELS[False][i])
+        bounds = most_of(0), most_of(1)
+    else:
+        bounds = F.lit(float(amp_range[0])), F.lit(float(amp_range[-1]))
+    extreme = level.filter(~F.col("__level").between(*bounds)).select(*keys, F.lit(True).alias("__dead"))
+    out = out.join(extreme, keys, "left").withColumn("weight", F.when(F.col("__dead"), 0.0).otherwise(F.col("weight")))
+    return table.put(_all_pols(table, out))
+
+
+def _all_pols(table: Solutions, df: DataFrame) -> DataFrame:
+    """Flag the stations that have a fully flagged polarisation."""
+    df = df.select(*table.df.columns)
+    if "pol" not in table.axes:
+        return df
+    dead = df.groupBy("ant", "pol").agg(F.max(F.abs("weight")).alias("__top")).filter(F.col("__top") == 0).select("ant", F.lit(True).alias("__dead")).distinct()
+    out = df.join(dead, "ant", "left")
+    return out.withColumn("weight", F.when(F.col("__dead"), 0.0).otherwise(F.col("weight"))).select(*table.df.columns)

@@ -160,12 +160,13 @@ def _clocktec(store, solset, table, tecsoltabOut="tec000", clocksoltabOut="clock
 
 
 @operation("FLAGSTATION")
-def _flagstation(store, solset, table, mode="relative", minFlaggedFraction=0.0, maxFlaggedFraction=0.5, nSigma=5.0, maxStddev=None, ampRange=None, thresholdBaddata=0.5, skipInternational=False, skipAnts=None, refAnt="", soltabExport=""):
+def _flagstation(store, solset, table, mode="relative", minFlaggedFraction=0.0, maxFlaggedFraction=0.5, nSigma=5.0, maxStddev=None, ampRange=None, thresholdBaddata=0.5, telescope="lofar", skipInternational=False, skipAnts=None, refAnt="", soltabExport=""):
+    cap = maxStddev if maxStddev and maxStddev > 0 else None
     if mode == "resid":
-        done = flagging.flag_stations_residual(_referenced(store, solset, table, refAnt), minFlaggedFraction, maxFlaggedFraction, nSigma, maxStddev)
+        done = flagging.flag_stations_residual(_referenced(store, solset, table, refAnt), minFlaggedFraction, maxFlaggedFraction, nSigma, cap)
         out = table.put(table.df.drop("weight").join(done.df.select(*table.axes, "weight"), list(table.axes)))
     elif mode == "bandpass":
-        out = flagging.flag_stations_bandpass(table, maxStddev or 0.01, maxFlaggedFraction, nSigma, amp_range=tuple(ampRange) if ampRange else None)
+        out = flagging.flag_stations_bandpass(table, cap, maxFlaggedFraction, nSigma, amp_range=_list(ampRange) or None, least=minFlaggedFraction, skip=_list(skipAnts), skip_international=skipInternational, telescope=telescope)
     else:
         out = flagging.flag_stations_relative(table, nSigma, thresholdBaddata, _list(skipAnts), skipInternational)
     more = [flagging.export_station_flags(out, t) for t in _sub(store, solset, soltabExport)] if soltabExport else []
