@@ -11,6 +11,8 @@ import time
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from solweave.functions.scalar import quantity
 from solweave.model import Solutions
 from solweave.operators import cells, fits, flagging, plotting, referencing, smoothing
@@ -145,7 +147,7 @@ operation("FLAG")(lambda store, solset, table, axesToFlag=None, order=None, maxC
     flagging.flag(_referenced(store, solset, table, refAnt), _list(axesToFlag), _list(order), maxCycles, maxRms, maxRmsNoise, fixRms, fixRmsNoise, windowNoise, replace, preflagzeros, mode)])
 operation("FLAGEXTEND")(lambda store, solset, table, axesToExt=None, size=None, percent=50.0, maxCycles=3: [flagging.extend_flags(table, _list(axesToExt), _list(size), percent, maxCycles)])
 operation("SMOOTH")(lambda store, solset, table, axesToSmooth=None, size=None, mode="runningmedian", degree=1, replace=False, log=False, refAnt="": [smoothing.smooth(_referenced(store, solset, table, refAnt), _list(axesToSmooth), _list(size), mode, degree, replace, log)])
-operation("REFERENCE")(lambda store, solset, table, refAnt="", refDir="", preservePol=False: [referencing.reference(table, refAnt or None, refDir or None, store.side(solset, "antenna"), store.side(solset, "source"), bool(preservePol))])
+operation("REFERENCE")(lambda store, solset, table, refAnt="", refDir="", preservePol=False: [referencing.reference(table, _known(table, "ant", refAnt), _known(table, "dir", refDir), store.side(solset, "antenna"), store.side(solset, "source"), bool(preservePol))])
 operation("RESIDUALS")(lambda store, solset, table, soltabsToSub=None, ratio=False: [_residuals.residuals(table, _sub(store, solset, soltabsToSub), ratio)])
 operation("INTERPOLATE")(lambda store, solset, table, outsoltab=None, axisToRegrid=None, newdelta=None, delta="", maxFlaggedWidth=0, log=False: [
     replace(smoothing.interpolate(table, axisToRegrid, newdelta, delta or "", maxFlaggedWidth, log), name=outsoltab or table.name)])
@@ -163,7 +165,10 @@ def _clocktec(store, solset, table, tecsoltabOut="tec000", clocksoltabOut="clock
 def _flagstation(store, solset, table, mode="relative", minFlaggedFraction=0.0, maxFlaggedFraction=0.5, nSigma=5.0, maxStddev=None, ampRange=None, thresholdBaddata=0.5, telescope="lofar", skipInternational=False, skipAnts=None, refAnt="", soltabExport=""):
     cap = maxStddev if maxStddev and maxStddev > 0 else None
     if mode == "resid":
-        done = flagging.flag_stations_residual(_referenced(store, solset, table, refAnt), minFlaggedFraction, maxFlaggedFraction, nSigma, cap)
+        if refAnt and not table.is_phase:
+            log.warning("only phases are referenced: refAnt is ignored for %s", table.name)
+            refAnt = ""
+        done = flagging.flag_stations_residual(_referenced(store, solset, table, "closest" if refAnt == "nearest" else refAnt), minFlaggedFraction, maxFlaggedFraction, nSigma, cap)
         out = table.put(table.df.drop("weight").join(done.df.select(*table.axes, "weight"), list(table.axes)))
     elif mode == "bandpass":
         out = flagging.flag_stations_bandpass(table, cap, maxFlaggedFraction, nSigma, amp_range=_list(ampRange) or None, least=minFlaggedFraction, skip=_list(skipAnts), skip_international=skipInternational, telescope=telescope)
@@ -215,4 +220,11 @@ def _beam(store, solset, table):
 
 
 def _referenced(store: Store, solset: str, table: Solutions, ref: str | None) -> Solutions:
-    return referencing.reference(table, ref, antennas=store.side(solset, "antenna")) if ref else table
+    return referencing.reference(table, _known(table, "ant", ref), antennas=store.side(solset, "antenna")) if ref else table
+
+
+def _known(table: Solutions, axis: str, ref: str | None) -> str | None:
+    """The name of a reference, which has to be in the table unless it is looked for."""
+    if ref and ref not in ("auto", "closest", "center") and not table.df.filter(F.col(axis) == ref).limit(1).count():
+        raise ValueError(f"{table.name} has no {axis} {ref}")
+    return ref or None

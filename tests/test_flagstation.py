@@ -3,6 +3,8 @@ import pytest
 
 from solweave.model import Solutions
 from solweave.operators import flagging
+from solweave.plans import runner
+from solweave.sources.store import Store
 
 SCHEMA = "ant string, pol string, time double, freq double, val double, weight double"
 FREQS = {"lba": np.linspace(12e6, 76e6, 64), "hba_low": np.linspace(118e6, 188e6, 64)}
@@ -71,3 +73,19 @@ def test_basis_beyond_the_knots():
     b = flagging.band_basis(np.array([110e6, 115e6, 150e6, 190e6, 196e6]), knots)
     assert b.shape == (5, 10) and np.allclose(b[1:4].sum(axis=1), 1)
     assert b[0, 0] == pytest.approx((20 / 15) ** 3) and b[4, 9] == pytest.approx(1.5**3) and not b[0, 1:].any() and not b[4, :9].any()
+
+
+def test_residuals_against_the_nearest_antenna(spark, tmp_path, caplog):
+    where = {"CS001": 0.0, "CS002": 10.0, "RS001": 500.0, "RS002": 510.0}
+    s = Store(spark, str(tmp_path / "s"), "a")
+    s.make_solset(None, spark.createDataFrame([(a, [x, 0.0, 0.0]) for a, x in where.items()], "name string, position array<float>"), None)
+    phi = lambda a, t: (0.4 * np.sin(t) if a[0] == "R" else 0.0) + (1.0 if (a, t) == ("RS001", 5) else 0.0)
+    rows = [(a, "XX", float(t), 1e8, float(phi(a, t)), 1.0) for a in where for t in range(30)]
+    s.make_table("sol000", spark.createDataFrame(rows, SCHEMA), ["ant", "pol", "time", "freq"], "phase")
+    step = "soltab = sol000/phase000\n[f]\noperation = FLAGSTATION\nmode = resid\nrefAnt = {}\n"
+    assert runner.run(step.format("RS009"), s) == [] and "has no ant RS009" in caplog.text
+    assert s.table("sol000/phase000").df.filter("weight = 0").count() == 0
+    assert len(runner.run(step.format("nearest"), s)) == 1
+    done = s.table("sol000/phase000").df
+    assert {(r.ant, r.time) for r in done.filter("weight = 0").collect()} == {("RS001", 5.0), ("RS002", 5.0)}
+    assert done.filter("val = 1 OR val IS NULL").count() == 0  # the values stay as they were
