@@ -12,6 +12,27 @@ from pyspark.sql import functions as F
 from solweave.functions.scalar import LIGHT, TEC3_PHASE, TEC_PHASE, wrap
 from solweave.model import Solutions, good
 
+#: The noise (SEFD) of low-band stations at 100 frequencies.
+LOW_BAND = np.linspace(28.5e6, 81e6, 100), np.array(
+    [
+        29940.300806269457, 29138.743157924673, 28486.373118639956, 27934.571276243045, 27261.12344516823, 26566.750939258804, 25971.96672786273, 25713.649299335677,
+        25467.259992662184, 25140.84102040381, 24865.16674111212, 24670.080785550545, 24568.919344020906, 24499.060410427395, 24411.52557008937, 24352.84099484204,
+        24281.30362751188, 24123.781872900636, 23981.72239664983, 23959.88451670274, 24300.454907727853, 24710.318004850422, 23861.103640991463, 23536.902960848907,
+        23368.033448578546, 23375.4912213226, 22825.59852902077, 22888.574686251835, 22939.012907979475, 22792.013997004513, 22635.75546276593, 22343.81817033494,
+        22010.908871950473, 21675.11043603119, 21260.23280379924, 20944.715008990217, 20763.100867166202, 20724.521479612555, 20725.24703336138, 20246.239703372674,
+        20249.02352195448, 20421.57956576801, 20612.334368904216, 20524.60108698517, 20444.766531987058, 20296.096961977735, 20119.80530139794, 20006.52821604121,
+        19724.91939080056, 19707.622884411874, 19632.802985681396, 19471.780747634348, 19303.111306540766, 19308.803889101328, 18965.543595891926, 18974.919315659663,
+        18991.07079252672, 18973.871822828194, 19105.035458433736, 19409.545486370713, 19841.35252611626, 20147.50239689877, 20450.961112458946, 21023.282790437956,
+        21257.87547095409, 21656.6502671062, 22195.869348363827, 22516.1856568403, 22569.826097678902, 22994.870466990884, 23603.991010539237, 24528.39877523586,
+        24753.356313683937, 25418.184555420223, 26323.39058027763, 27222.600786585077, 28092.488828677604, 28693.24085220565, 29370.626520009806, 29758.762530211116,
+        30233.813876156797, 30780.959875494424, 31362.89409735725, 31941.91655745387, 32567.73533922633, 33235.385382537905, 34083.04345233587, 35324.381512893764,
+        36110.54891041759, 36779.27807149001, 37429.28695890053, 38310.19856693005, 39423.488538461, 39708.18633546015, 40552.20533173038, 41742.17174788208,
+        43718.78037581652, 43666.883850263876, 44419.329396768495, 45138.269432353016,
+    ]
+)
+#: (frequency, relative weight) of channels: the inverse of the noise, at most 1.
+SENSITIVITY = np.stack([LOW_BAND[0], LOW_BAND[1].min() / LOW_BAND[1]], axis=1)
+
 
 def _wrap(x: np.ndarray) -> np.ndarray:
     return np.mod(x + np.pi, 2 * np.pi) - np.pi
@@ -91,13 +112,14 @@ def faraday(table: Solutions, ref_ant: str = "", max_residual: float = 1.0, name
 
 
 def tec(
-    table: Solutions, ref_ant: str = "", max_residual_flag: float = 2.5, max_residual_track: float = 1.0, sensitivity: Sequence[tuple[float, float]] = (), name: str = "tec000"
+    table: Solutions, ref_ant: str = "", max_residual_flag: float = 2.5, max_residual_track: float = 1.0, sensitivity: Sequence[tuple[float, float]] | None = None, name: str = "tec000"
 ) -> Solutions:
     """Differential electron content per station (and direction) along time, from phases without polarisations.
 
     The weighted deviation of the wrapped residual is minimised on 1000 points between -0.5 and 0.5, or, after a
     fit with a residual below ``max_residual_track``, on 100 points within 0.05 of it, then between points and by Gauss-Newton steps. Channels count by
-    ``sensitivity`` (frequency, relative noise: interpolated; default equal). Fewer than 10 channels or a residual of at least ``max_residual_flag`` (0: no
+    ``sensitivity`` (frequency, relative weight: interpolated, 0 below and 1 above; by default that of low-band stations, and equal if empty). Fewer than 10
+    channels, none that counts, or a residual of at least ``max_residual_flag`` (0: no
     check) give weight 0. The reference station has 0 with weight 1. The fit goes on in time, so a station and direction is one group.
     """
     if "pol" in table.axes:
@@ -108,7 +130,7 @@ def tec(
         on = [a for a in table.axes if a != "ant"]
         ref = x.filter(F.col("ant") == ref_ant).select(*on, F.col("val").alias("__r"), F.col("weight").alias("__w"))
         x = x.join(ref, on, "left").withColumn("val", F.col("val") - F.col("__r")).withColumn("weight", F.when(F.coalesce(F.col("__w"), F.lit(0.0)) == 0, 0.0).otherwise(F.col("weight")))
-    table_f = np.array(sensitivity, dtype=float).reshape(-1, 2)
+    table_f = np.array(SENSITIVITY if sensitivity is None else sensitivity, dtype=float).reshape(-1, 2)
 
     def best_of(cost: Callable, grid: np.ndarray, k: np.ndarray, phi: np.ndarray, w: np.ndarray) -> float:
         v = refine(cost, float(grid[cost(grid).argmin()]), float(grid[1] - grid[0]))
@@ -129,7 +151,10 @@ def tec(
                 continue
             nu, phi = part["freq"].to_numpy(float)[ok], part["val"].to_numpy(float)[ok]
             w = np.interp(nu, table_f[:, 0], table_f[:, 1], left=0.0, right=1.0) if len(table_f) else np.ones(len(nu))
-            w = w / (w.mean() or 1.0)
+            if not w.any():
+                rows.append((t, 0.0, 0.0))
+                continue
+            w = w / w.mean()
             k = TEC_PHASE / nu
             cost = lambda v, k=k, phi=phi, w=w: np.std(w * _wrap(np.outer(v, k) - phi), axis=1)
             grid = np.linspace(-0.5, 0.5, 1000) if last is None else np.linspace(last - 0.05, last + 0.05, 100)

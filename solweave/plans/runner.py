@@ -132,6 +132,12 @@ def _list(x: object) -> list:
     return [] if x is None else list(x) if isinstance(x, (list, tuple)) else [x]
 
 
+def _pairs(x: object) -> list[tuple[float, float]] | None:
+    """Pairs of ``[a, b, a, b]``; none at all for ``equal``."""
+    flat = [] if x == "equal" else [float(v) for v in _list(x)]
+    return None if x is None else list(zip(flat[::2], flat[1::2], strict=True))
+
+
 def _sub(store: Store, solset: str, names: object) -> list[Solutions]:
     return [store.table(n if "/" in str(n) else f"{solset}/{n}") for n in _list(names)]
 
@@ -151,7 +157,7 @@ operation("REFERENCE")(lambda store, solset, table, refAnt="", refDir="", preser
 operation("RESIDUALS")(lambda store, solset, table, soltabsToSub=None, ratio=False: [_residuals.residuals(table, _sub(store, solset, soltabsToSub), ratio)])
 operation("INTERPOLATE")(lambda store, solset, table, outsoltab=None, axisToRegrid=None, newdelta=None, delta="", maxFlaggedWidth=0, log=False: [
     replace(smoothing.interpolate(table, axisToRegrid, newdelta, delta or "", maxFlaggedWidth, log), name=outsoltab or table.name)])
-operation("TEC")(lambda store, solset, table, soltabOut="tec000", refAnt="", maxResidualFlag=2.5, maxResidualProp=1.0: [fits.tec(table, refAnt or "", maxResidualFlag, maxResidualProp, name=soltabOut)])
+operation("TEC")(lambda store, solset, table, soltabOut="tec000", refAnt="", maxResidualFlag=2.5, maxResidualProp=1.0, sensitivity=None: [fits.tec(table, refAnt or "", maxResidualFlag, maxResidualProp, _pairs(sensitivity), name=soltabOut)])
 operation("FARADAY")(lambda store, solset, table, soltabOut="rotationmeasure000", refAnt="", maxResidual=1.0: [fits.faraday(table, refAnt or "", maxResidual, soltabOut)])
 operation("POLALIGN")(lambda store, solset, table, soltabOut="phasediff", minFreq=0.0, refAnt="": [fits.align_polarisations(table, minFreq, refAnt or "", soltabOut)])
 
