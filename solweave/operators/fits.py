@@ -330,7 +330,8 @@ def interpolate_directions(table: Solutions, sources: DataFrame, wanted: Sequenc
 
 
 def clock_tec(
-    table: Solutions, fit_third: bool = False, combine_pols: bool = False, flag_channels: bool = True, cut: float = 5.0, chi2_cut: float = 3000.0, names: Sequence[str] = ("tec000", "clock000", "phase_offset000", "tec3rd000")
+    table: Solutions, fit_third: bool = False, combine_pols: bool = False, flag_channels: bool = True, cut: float = 5.0, chi2_cut: float = 3000.0, names: Sequence[str] = ("tec000", "clock000", "phase_offset000", "tec3rd000"),
+    antennas: DataFrame | None = None, remove_wraps: bool = True, circular: bool = False,
 ) -> dict[str, Solutions]:
     """Separate phases of each station and polarisation into clock (seconds), electron content (and its third-order term) and a constant offset.
 
@@ -338,6 +339,10 @@ def clock_tec(
     are left out. Along time each spectrum is unwrapped from the prediction of the one before, or started from a search over
     whole turns, then solved by least squares; a misfit above ``chi2_cut`` (square degrees per channel) starts a new search and, if it remains, flags. Turns
     that differ between neighbours in time are taken out. Weights are 0 where there is no fit.
+
+    With ``remove_wraps`` and the positions of ``antennas``, whole turns of stations are found from a linear screen of electron content over longitude and latitude
+    (``screen_turns``), and all spectra are solved again from there; then only this second fit is held to ``chi2_cut``. The stations of a polarisation are one group in it.
+    Without positions each station stands alone. ``circular`` with ``combine_pols`` adds the phases of both polarisations, searches twice as far and halves the results.
     """
     axes = [a for a in ("ant", "pol") if a in table.axes]
     x = table.df.filter((F.col("weight") != 0) & F.col("val").isNotNull())
@@ -345,7 +350,7 @@ def clock_tec(
         pols = sorted(r.pol for r in x.select("pol").distinct().limit(5).collect())
         if len(pols) == 4:
             x = x.filter(F.col("pol").isin(pols[0], pols[3]))
-        if combine_pols:
+        if combine_pols and not circular:
             x = x.groupBy("ant", "time", "freq").agg(F.atan2(F.sum(F.sin("val")), F.sum(F.cos("val"))).alias("val"))
             axes = ["ant"]
     rest = [a for a in axes if a != "ant"]
@@ -355,53 +360,128 @@ def clock_tec(
         inner = x.filter(F.col("ant") == first)
     ref = inner.groupBy(*rest, "time", "freq").agg(F.atan2(F.sum(F.sin("val")), F.sum(F.cos("val"))).alias("__r"))
     x = x.join(ref, [*rest, "time", "freq"]).withColumn("val", wrap(F.col("val") - F.col("__r")))
+    twice = circular and combine_pols and "pol" in table.axes
+    if twice:
+        both = x.groupBy("ant", "time", "freq").agg(F.sum("val").alias("val"), F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == min(len(pols), 2))
+        x, axes, rest = both.withColumn("val", wrap(F.col("val"))), ["ant"], []
+    part_of = 2.0 if twice else 1.0
     if flag_channels:
         spread = x.groupBy(*rest, "ant", "freq").agg((1 - F.hypot(F.avg(F.cos("val")), F.avg(F.sin("val")))).alias("s")).groupBy("freq").agg(F.avg("s").alias("s"))
         usual = spread.agg(F.avg("s").alias("m"))
         bad = spread.join(F.broadcast(usual), how="cross").filter(F.col("s") >= cut * F.col("m"))
         x = x.join(bad.select("freq"), "freq", "left_anti")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, last = [], None
-        for t, part in pdf.sort_values(["time", "freq"], kind="stable").groupby("time", sort=False):
-            nu, phi = part["freq"].to_numpy(float), part["val"].to_numpy(float)
-            if len(nu) < 8:
-                rows.append((t, None, None, None, None, 0.0))
-                continue
-            a = np.stack([TEC_PHASE / nu, 2e-9 * np.pi * nu] + ([TEC3_PHASE / nu**3] if fit_third else []), axis=1)
-            p, chi2 = _solve_turns(a, nu, phi, last)
-            if last is not None and chi2 > chi2_cut:
-                p, chi2 = _solve_turns(a, nu, phi, None)
-            good_fit = chi2 <= chi2_cut
-            rows.append((t, p[0], p[1], p[2] if fit_third else 0.0, 0.0, float(good_fit)))
-            last = p if good_fit else None
-        out = pd.DataFrame(rows, columns=["time", "tec", "clock", "third", "offset", "weight"])
-        for c in axes:
-            out[c] = pdf[c].iloc[0]
-        return out[[*axes, "time", "tec", "clock", "third", "offset", "weight"]]
+    def solver(cut_at: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            begin = pdf[["__tec", "__clock", "__third"][: 2 + fit_third]].iloc[0].to_numpy(float) if "__tec" in pdf else None
+            begin = None if begin is None or np.isnan(begin).any() else begin
+            shift = float(np.nan_to_num(pdf["__shift"].iloc[0])) if "__shift" in pdf else 0.0
+            rows, last = [], begin
+            for t, part in pdf.sort_values(["time", "freq"], kind="stable").groupby("time", sort=False):
+                nu, phi = part["freq"].to_numpy(float), part["val"].to_numpy(float) + shift
+                if len(nu) < 8:
+                    rows.append((t, None, None, None, None, 0.0))
+                    continue
+                a = np.stack([TEC_PHASE / nu, 2e-9 * np.pi * nu] + ([TEC3_PHASE / nu**3] if fit_third else []), axis=1)
+                # Turns that are settled aren't looked for again.
+                p, chi2 = _solve_turns(a, nu, phi, last, part_of, 1 if begin is None else 0)
+                if last is not begin and chi2 > cut_at:
+                    p, chi2 = _solve_turns(a, nu, phi, begin, part_of, 0)
+                good_fit = chi2 <= cut_at
+                rows.append((t, p[0], p[1], p[2] if fit_third else 0.0, 0.0, float(good_fit)))
+                last = p if good_fit else begin
+            out = pd.DataFrame(rows, columns=["time", "tec", "clock", "third", "offset", "weight"])
+            for c in axes:
+                out[c] = pdf[c].iloc[0]
+            return out[[*axes, "time", "tec", "clock", "third", "offset", "weight"]]
+
+        return run
 
     kinds = dict(x.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*axes, "time"]) + ", tec double, clock double, third double, offset double, weight double"
-    fitted = x.select(*axes, "time", "freq", "val").groupBy(*axes).applyInPandas(run, schema)
+    screened = remove_wraps and antennas is not None
+    spectra = x.select(*axes, "time", "freq", "val")
+    fitted = spectra.groupBy(*axes).applyInPandas(solver(FIRST_CUT if screened else chi2_cut), schema)
+    if screened:
+        nus = np.array([float(r.freq) for r in x.select("freq").distinct().orderBy("freq").collect()])  # the channels
+        steps = np.linalg.pinv(np.stack([TEC_PHASE / nus, 2e-9 * np.pi * nus], axis=1)) @ np.full(len(nus), 2 * np.pi)
+        pos = antennas.select(F.col("name").alias("ant"), *[F.col("position")[k].cast("double").alias(f"__{c}") for k, c in enumerate("xyz")]).dropna().dropDuplicates(["ant"])
+
+        def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+            tecs = pdf.pivot(index="time", columns="ant", values="tec")
+            firsts = pdf.sort_values("time").groupby("ant").first().reindex(tecs.columns)
+            turns, shift = screen_turns(tecs.to_numpy(float), firsts[["__x", "__y", "__z"]].to_numpy(float), float(steps[0]))
+            out = pd.DataFrame({"ant": tecs.columns, "__tec": firsts["tec"].to_numpy() + turns * steps[0], "__clock": firsts["clock"].to_numpy() + turns * steps[1], "__third": firsts["third"].to_numpy(), "__shift": shift})
+            for c in rest:
+                out[c] = pdf[c].iloc[0]
+            return out[[*axes, "__tec", "__clock", "__third", "__shift"]]
+
+        kept = fitted.filter(F.col("weight") > 0).join(pos, "ant", "left")
+        begin = kept.groupBy(*rest).applyInPandas(starts, ", ".join(f"`{c}` {kinds[c]}" for c in axes) + ", __tec double, __clock double, __third double, __shift double")
+        fitted = spectra.join(begin, axes, "left").groupBy(*axes).applyInPandas(solver(chi2_cut), schema)
     grid = table.df.select(*axes, "time").distinct()
     fitted = grid.join(fitted, [*axes, "time"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     full = (*axes, "time")
     out = {
-        names[0]: Solutions(fitted.select(*full, F.col("tec").alias("val"), "weight"), full, "tec", names[0]),
-        names[1]: Solutions(fitted.select(*full, (F.col("clock") * 1e-9).alias("val"), "weight"), full, "clock", names[1]),
+        names[0]: Solutions(fitted.select(*full, (F.col("tec") / part_of).alias("val"), "weight"), full, "tec", names[0]),
+        names[1]: Solutions(fitted.select(*full, (F.col("clock") * 1e-9 / part_of).alias("val"), "weight"), full, "clock", names[1]),
     }
     model = x.join(fitted.filter(F.col("weight") > 0), [*axes, "time"])
     nu = F.col("freq").cast("double")
     resid = F.col("val") - TEC_PHASE * F.col("tec") / nu - 2e-9 * np.pi * F.col("clock") * nu
-    off = model.groupBy(*axes).agg(F.atan2(F.sum(F.sin(resid)), F.sum(F.cos(resid))).alias("val"))
+    off = model.groupBy(*axes).agg((F.atan2(F.sum(F.sin(resid)), F.sum(F.cos(resid))) / part_of).alias("val"))
     stations = table.df.select(*axes).distinct().join(off, axes, "left")
     out[names[2]] = Solutions(stations.select(*axes, "val", F.when(F.col("val").isNotNull(), 1.0).otherwise(0.0).alias("weight")), tuple(axes), "phase_offset", names[2])
     if fit_third:
-        out[names[3]] = Solutions(fitted.select(*full, F.col("third").alias("val"), "weight"), full, "tec3rd", names[3])
+        out[names[3]] = Solutions(fitted.select(*full, (F.col("third") / part_of).alias("val"), "weight"), full, "tec3rd", names[3])
     return out
 
 
-def _solve_turns(a: np.ndarray, nu: np.ndarray, phi: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, float]:
+#: Misfit (square degrees per channel) allowed before the turns of the stations are settled.
+FIRST_CUT = 30_000.0
+
+#: Degrees from the first station within which electron content is taken for a plane.
+NEAR = 0.5
+
+
+def screen_turns(tec: np.ndarray, pos: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whole turns that bring each station onto a linear screen of electron content, and the phase that is left over.
+
+    ``tec`` is (times, stations), NaN where there is no fit; ``step`` is the electron content of a turn. At each time a plane through the first station with a position is fitted
+    to those within ``NEAR``; the mean distance from it over the times that fit well is rounded to turns, twice. Other stations keep their turns.
+    """
+    turns, shift = np.zeros(tec.shape[1]), np.zeros(tec.shape[1])
+    placed = np.flatnonzero(~np.isnan(pos).any(axis=1))
+    if not len(placed):
+        return turns, shift
+    first = placed[0]
+    at = np.degrees(np.stack([np.arctan2(pos[:, 1], pos[:, 0]), np.arctan2(pos[:, 2], np.hypot(pos[:, 0], pos[:, 1]))], axis=1))
+    at = at - at[first]
+    near = np.hypot(at[:, 0], at[:, 1]) <= NEAR
+    x = np.where(near[:, None], at, 0.0)
+    for _ in range(2):
+        y = tec - tec[:, [first]] + step * (turns - turns[first])
+        ok = ~np.isnan(y) & near
+        y = np.where(ok, y, 0.0)
+        slope = np.einsum("tij,tj->ti", np.linalg.pinv(np.einsum("ts,si,sj->tij", ok, x, x)), y @ x)
+        off = np.where(ok, y - slope @ x.T, 0.0)
+        # A station that is off at all times doesn't make a time bad.
+        usual = off.sum(axis=0) / np.maximum(ok.sum(axis=0), 1)
+        chi2 = np.where(ok.any(axis=1), (np.where(ok, off - usual, 0.0) ** 2).sum(axis=1) / tec.shape[1], np.nan)
+        if np.isnan(chi2).all():
+            break
+        fine = chi2 <= np.nanmean(chi2) * (1 + 1e-9)
+        fine = chi2 <= np.nanmean(chi2[fine]) * (1 + 1e-9)
+        n = ok[fine].sum(axis=0)
+        shift = -np.where(n > 0, off[fine].sum(axis=0) / np.maximum(n, 1), usual) * 2 * np.pi / step
+        more = np.round(shift / (2 * np.pi))
+        turns = turns + more
+        if not more.any():
+            break
+    return turns, shift
+
+
+def _solve_turns(a: np.ndarray, nu: np.ndarray, phi: np.ndarray, start: np.ndarray | None, reach_of: float = 1.0, turns: int = 1) -> tuple[np.ndarray, float]:
     """Least squares of a spectrum whose whole turns are unknown: from a prediction, or from the best of many starts."""
     fit = np.linalg.pinv(a)
 
@@ -421,13 +501,13 @@ def _solve_turns(a: np.ndarray, nu: np.ndarray, phi: np.ndarray, start: np.ndarr
         return min((polish(p + n * turn_step) for n in range(-reach, reach + 1)), key=lambda r: r[1])
 
     if start is not None:
-        return beside(np.asarray(start, dtype=float), 1)
+        return beside(np.asarray(start, dtype=float), turns)
     # A grid over electron content; for each the delay follows from the transform of the derotated spectrum.
-    tecs = np.arange(-1.0, 1.0001, 0.01)
-    delays = np.arange(-200.0, 200.0, 0.25 / (np.ptp(nu) * 1e-9) / 2 + 0.05)
+    tecs = np.arange(-1.0 * reach_of, 1.0001 * reach_of, 0.01)
+    delays = np.arange(-200.0 * reach_of, 200.0 * reach_of, 0.25 / (np.ptp(nu) * 1e-9) / 2 + 0.05)
     turn = np.exp(-1j * np.outer(delays, 2e-9 * np.pi * nu))
     spectra = np.exp(1j * (phi - np.outer(tecs, a[:, 0])))
     power = (spectra @ turn.T).real
-    best = np.argsort(power.ravel())[::-1][:60:6]
+    best = np.argsort(power.ravel())[::-1][:60]
     starts = [np.r_[tecs[k // len(delays)], delays[k % len(delays)], np.zeros(a.shape[1] - 2)] for k in best]
     return beside(min((polish(s) for s in starts), key=lambda r: r[1])[0], 3)

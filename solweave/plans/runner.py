@@ -163,8 +163,8 @@ operation("POLALIGN")(lambda store, solset, table, soltabOut="phasediff", minFre
 
 
 @operation("CLOCKTEC")
-def _clocktec(store, solset, table, tecsoltabOut="tec000", clocksoltabOut="clock000", offsetsoltabOut="phase_offset000", tec3rdsoltabOut="tec3rd000", flagBadChannels=True, flagCut=5.0, chi2cut=3000.0, combinePol=False, fit3rdorder=False):
-    return list(fits.clock_tec(table, fit3rdorder, combinePol, flagBadChannels, flagCut, chi2cut, (tecsoltabOut, clocksoltabOut, offsetsoltabOut, tec3rdsoltabOut)).values())
+def _clocktec(store, solset, table, tecsoltabOut="tec000", clocksoltabOut="clock000", offsetsoltabOut="phase_offset000", tec3rdsoltabOut="tec3rd000", flagBadChannels=True, flagCut=5.0, chi2cut=3000.0, combinePol=False, fit3rdorder=False, removePhaseWraps=True, circular=False):
+    return list(fits.clock_tec(table, fit3rdorder, combinePol, flagBadChannels, flagCut, chi2cut, (tecsoltabOut, clocksoltabOut, offsetsoltabOut, tec3rdsoltabOut), store.side(solset, "antenna"), removePhaseWraps, circular).values())
 
 
 @operation("FLAGSTATION")
