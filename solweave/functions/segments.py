@@ -104,24 +104,34 @@ def _ends(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begin, length), np.repeat(begin + length - 1, length)
 
 
-def wavelet_details(x: np.ndarray, seg: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Undecimated wavelet details by the cubic-spline filter (1, 4, 6, 4, 1)/16, mirrored at the ends of a series."""
-    lo, hi = _ends(seg)
-    at = np.arange(len(x))
-    smooth, out = x, []
+def spline_smooths(x: np.ndarray, counts: np.ndarray, seg: np.ndarray, levels: int) -> list[np.ndarray]:
+    """The smooth parts 1..``levels`` of an undecimated wavelet decomposition (filter 1, 4, 6, 4, 1 over 16, holes of 2**level).
+
+    Only places where ``counts`` is true are averaged; the others, and those beyond a series' ends, have no weight, and the weights of the
+    rest are scaled up. NaN where nothing is within reach. A value depends on ``reach(levels)`` places on either side.
+    """
+    num, den, out = np.where(counts, x, 0.0), counts.astype(float), []
+    alike: dict[int, np.ndarray] = {}
     for j in range(levels):
-        nxt = smooth * (6 / 16)
-        for tap, weight in ((1, 4 / 16), (2, 1 / 16)):
-            for sign in (-1, 1):
-                pos = at + sign * tap * 2**j
-                pos = np.where(pos < lo, 2 * lo - pos, pos)
-                pos = np.where(pos > hi, 2 * hi - pos, pos)
-                nxt = nxt + weight * smooth[np.clip(pos, lo, hi)]
-        out.append(smooth - nxt)
-        smooth = nxt
+        a, b = num * (6 / 16), den * (6 / 16)
+        for tap, part in ((1, 4 / 16), (2, 1 / 16)):
+            k = tap * 2**j
+            if k >= len(x):
+                continue
+            same = alike.setdefault(k, seg[k:] == seg[:-k])
+            for side, wide in ((a, num), (b, den)):
+                side[:-k] += np.where(same, wide[k:] * part, 0.0)
+                side[k:] += np.where(same, wide[:-k] * part, 0.0)
+        num, den = a, b
+        out.append(np.divide(num, den, out=np.full(len(x), np.nan), where=den > 0))
     return out
 
 
+def reach(levels: int) -> int:
+    """How many places on either side a smooth part of that level looks at."""
+    return 2 * (2**levels - 1)
+
+
 def running_median(x: np.ndarray, seg: np.ndarray, half: int, at: np.ndarray | None = None, ahead: int | None = None) -> np.ndarray:
     """Median of the values from ``half`` places back to ``ahead`` (default: as many) places on in the series, NaN left out; for the places ``at`` or all."""
     lo, hi = _ends(seg)

@@ -100,8 +100,8 @@ x AS (SELECT g.* FROM g ANTI JOIN o USING (solset, ant, pol, chan, slot))
 """
 
 
-def _wrong_sql(turns: int = 5) -> str:
-    """Brute force: every reading against the running median of its series, again and again without the spikes found."""
+def _wrong_sql(levels: int = 3, turns: int = 2) -> str:
+    """The wavelet rule by window functions: two decompositions, the second without the readings of large details."""
     series = "solset, ant, pol, freq"
     q = f"""
 WITH r AS (SELECT DISTINCT cell_id, solset, upper(trim(ant)) AS ant, pol, freq, time, val, weight FROM cells),
@@ -109,16 +109,38 @@ k AS (SELECT * FROM r WHERE val IS NOT NULL AND NOT isnan(val)),
 e AS (SELECT *, coalesce(val <> lag(val) OVER (PARTITION BY {series} ORDER BY time, cell_id), TRUE)::INT AS b FROM k),
 g AS (SELECT *, sum(b) OVER (PARTITION BY {series} ORDER BY time, cell_id) AS run FROM e),
 n AS (SELECT *, count(*) OVER (PARTITION BY {series}, run) AS len FROM g),
-v AS (SELECT *, count(*) OVER (PARTITION BY {series}) AS many FROM n WHERE len < 6 AND val > 0 AND NOT isinf(val)),
-x0 AS (SELECT cell_id, {series}, time, val, FALSE AS o FROM v WHERE many >= 8)"""
+v AS (SELECT *, len < 6 AND val > 0 AND NOT isinf(val) AS ok FROM n),
+u AS (SELECT cell_id, {series}, time, CASE WHEN ok THEN val END AS val, ok AND count(*) FILTER (ok) OVER (PARTITION BY {series}) >= 8 AS use FROM v)"""
+
+    def smooths(source: str, flag: str, to: str) -> str:
+        out = f""",
+{to}0 AS (SELECT *, CASE WHEN {flag} THEN val ELSE 0 END AS a0, ({flag})::INT::DOUBLE AS b0 FROM {source})"""
+        for j in range(levels):
+            terms = {}
+            for c in "ab":
+                near = [f"coalesce({f}({c}{j}, {k * 2**j}) OVER w, 0) * {p} / 16" for k, p in ((1, 4), (2, 1)) for f in ("lead", "lag")]
+                terms[c] = f"{c}{j} * 6 / 16 + " + " + ".join(near)
+            out += f""",
+{to}{j + 1} AS (SELECT *, {terms['a']} AS a{j + 1}, {terms['b']} AS b{j + 1} FROM {to}{j} WINDOW w AS (PARTITION BY {series} ORDER BY time, cell_id))"""
+        return out
+
+    part = lambda j: f"CASE WHEN b{j} > 0 THEN a{j} / b{j} END"
+    q += smooths("u", "use", "x")
+    details = ", ".join(f"CASE WHEN use THEN abs({part(j) if j else 'val'} - {part(j + 1)}) END AS d{j}" for j in range(levels))
+    usual = ", ".join(f"median(d{j}) OVER (PARTITION BY {series}) AS m{j}" for j in range(levels))
+    large = " OR ".join(f"d{j} > 5 * 1.4826 * m{j}" for j in range(levels))
+    q += f""",
+d AS (SELECT cell_id, {series}, time, val, use, {details} FROM x{levels}),
+m AS (SELECT *, {usual} FROM d),
+f0 AS (SELECT cell_id, {series}, time, val, use, use AND NOT coalesce({large}, FALSE) AS free FROM m)"""
     for i in range(turns):
-        q += f""",
-m{i} AS (SELECT *, coalesce(median(CASE WHEN NOT o THEN val END) OVER (PARTITION BY {series} ORDER BY time, cell_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING),
-  median(CASE WHEN NOT o THEN val END) OVER (PARTITION BY {series})) AS mid FROM x{i}),
-u{i} AS (SELECT *, 1.4826 * median(abs(val - mid)) FILTER (NOT o) OVER (PARTITION BY {series}) AS mad, 1.2533 * avg(abs(val - mid)) FILTER (NOT o) OVER (PARTITION BY {series}) AS mean FROM m{i}),
-x{i + 1} AS (SELECT cell_id, {series}, time, val, coalesce(abs(val - mid) > 10 * CASE WHEN mad > 0 THEN mad ELSE mean END AND (mad > 0 OR mean > 0), FALSE) AS o FROM u{i})"""
+        q += smooths(f"f{i}", "free", f"y{i}_") + f""",
+l{i} AS (SELECT cell_id, {series}, time, val, use, free, abs(val - coalesce({part(levels)}, median(val) FILTER (free) OVER (PARTITION BY {series}))) AS rest FROM y{i}_{levels}),
+s{i} AS (SELECT *, 1.4826 * median(rest) FILTER (free) OVER (PARTITION BY {series}) AS mad, 1.2533 * avg(rest) FILTER (free) OVER (PARTITION BY {series}) AS mean FROM l{i}),
+f{i + 1} AS (SELECT cell_id, {series}, time, val, use, use AND NOT coalesce(rest > 5 * CASE WHEN mad > 0 THEN mad ELSE mean END, FALSE) AS free FROM s{i})"""
     return q + f"""
-SELECT cell_id FROM x{turns} WHERE o UNION SELECT cell_id FROM n WHERE len >= 6 UNION SELECT cell_id FROM k WHERE val <= 0 OR isinf(val)
+SELECT cell_id FROM s{turns - 1} WHERE use AND rest > 10 * CASE WHEN mad > 0 THEN mad ELSE mean END AND (mad > 0 OR mean > 0)
+UNION SELECT cell_id FROM n WHERE len >= 6 UNION SELECT cell_id FROM k WHERE val <= 0 OR isinf(val)
 UNION SELECT cell_id FROM r WHERE weight < 0 OR (weight > 1 AND NOT isnan(weight))"""
 
 

@@ -19,8 +19,8 @@ def series(name, n, level, scatter, first, seed=0):
     return [[first + i, name, float(i), float(level + 0.3 * scatter * np.sin(i / 9) + r.normal(0, scatter)), 1.0] for i in range(n)]
 
 
-@pytest.mark.parametrize("max_series", [100_000, 60])
-def test_kinds_of_wrong_readings(spark, max_series):
+@pytest.mark.parametrize("block", [100_000, 60, 7])
+def test_kinds_of_wrong_readings(spark, block):
     a, b = series("a", 200, 50, 0.5, 0, 1), series("b", 200, 4000, 90, 1000, 2)
     for i, (at, by) in enumerate([(20, 12), (21, 13), (80, -30), (81, -28), (82, -33), (150, 400)]):
         a[at][3] += by * (1 if i < 5 else 0.05)
@@ -33,7 +33,7 @@ def test_kinds_of_wrong_readings(spark, max_series):
     b[50][3], b[51][3] = None, NAN
     rows = a + b + a[:30] + [[3000, "c", 1.0, -5.0, 1.0], [3001, None, 2.0, 1.0, 2.0], [3002, "a", None, -1.0, 1.0], [3003, "a", None, 7777.0, 1.0]]
     random.Random(0).shuffle(rows)
-    got = run(spark, rows, max_series=max_series)
+    got = run(spark, rows, block=block)
     assert {i for i, r in got.items() if r.spike} == {20, 21, 80, 81, 82, 150}
     assert {i for i, r in got.items() if r.stuck} == set(range(1100, 1107))
     assert {i for i, r in got.items() if r.impossible} == {1010, 1011, 1012, 3000, 3002}
@@ -68,3 +68,34 @@ def test_against_brute_force(spark):
 def test_empty_and_short(spark):
     assert run(spark, []) == {}
     assert run(spark, [[i, "a", float(i), v, 1.0] for i, v in enumerate([1.0, 1.1, 900.0])]) == {}
+
+
+def test_the_same_for_every_block_size(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for k in range(3):
+        s = series(f"s{k}", 90, 40.0, 1.0, k * 1000, 20 + k)
+        for at in r.choice(90, 9, replace=False):
+            s[at][3] = [None, NAN, -2.0, float("inf"), s[at][3] + 30, s[at][3] - 25, s[at][3] + 8][int(r.integers(0, 7))]
+        for at in range(50, 50 + int(r.integers(4, 30))):
+            s[at][3] = 41.5
+        s[5][2] = s[6][2]
+        s[70][4], s[71][2] = 3.0, None
+        rows += s + s[::13]
+    rows += [[None, "s0", 3.5, 40.0, 1.0], [None, "s0", 3.5, 40.0, 1.0], [None, "s0", 4.5, -40.0, 1.0]]
+    key = lambda got: sorted(map(repr, (tuple(x) for x in got)))
+    df = spark.createDataFrame([(*x, "clash", 1) for x in rows], SCHEMA)
+    whole = key(flag_implausible(df, ["ant"], "t", "v", "id", weight="w").collect())
+    assert len(whole) > 20
+    for block in (200, 40, 9, 1):
+        assert key(flag_implausible(df, ["ant"], "t", "v", "id", weight="w", block=block).collect()) == whole
+
+
+def test_the_details_decide(spark):
+    s = series("a", 60, 50, 0.5, 0, 3)
+    for at, by in [(20, 9.0), (21, 9.0), (22, 9.0), (40, 7.0)]:
+        s[at][3] += by
+    found = lambda **kw: {i for i, r in run(spark, s, **kw).items() if r.spike}
+    assert found() == {20, 21, 22, 40}
+    assert found(detail=1e9) != found()  # nothing is left out of the smooth part, which follows the spikes
+    assert found(spike=30.0) == set()

@@ -52,11 +52,16 @@ def test_medians_and_runs(rows, back, ahead):
             assert r[i] == b - a + 1
 
 
-def test_wavelet_details_add_up_and_vanish_on_constants():
+def test_spline_smooths_average_what_counts():
     rng = np.random.default_rng(0)
     seg = np.repeat([0, 1, 2], [40, 3, 17])
-    x = rng.normal(size=60)
-    d = S.wavelet_details(x, seg, 3)
-    smooth = x - sum(d)
-    assert np.std(smooth[:40]) < np.std(x[:40])
-    assert all(np.allclose(v, 0) for v in S.wavelet_details(np.where(seg == 1, 5.0, 2.0), seg, 3))
+    x, counts = rng.normal(size=60), rng.random(60) < 0.8
+    smooth = S.spline_smooths(x, counts, seg, 3)
+    assert np.nanstd(smooth[-1][:40]) < np.std(x[:40])
+    for s in S.spline_smooths(np.where(seg == 1, 5.0, 2.0), counts, seg, 3):
+        np.testing.assert_allclose(s[~np.isnan(s)], np.where(seg == 1, 5.0, 2.0)[~np.isnan(s)])
+    # A value depends on the places within reach alone.
+    r = S.reach(3)
+    np.testing.assert_array_equal(S.spline_smooths(x[: 20 + r], counts[: 20 + r], seg[: 20 + r], 3)[-1][:20], smooth[-1][:20])
+
+
