@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solweave.functions.names import label
+from solweave.staging import stage
 
 #: Cuts of a source's stream for its running total; the total within one cut is taken in one task.
 CUTS = 4096
@@ -63,8 +64,9 @@ def mix(
 
     ``targets`` has ``source, target_share, max_uses``, one row per source (fixed and small: read to the
     driver, at most 10,000 rows). Sources are equal regardless of letter case and blanks around them.
-    Returns the drawn documents, sorted by training position, as ``position, source, <doc_id>, use, size``,
-    and the report ``source, target_share, max_uses, size, demand, drawn, uses, actual_share, short``.
+    Returns the drawn documents, range-sorted by training position, as ``position, source, <doc_id>, use, size``,
+    and the report ``source, target_share, max_uses, size, demand, drawn, uses, first, last, actual_share, short``. The mix is made once and
+    written to the shared folder; both results read that table, so the report counts the documents that got a position.
 
     The demand of a source is its share of the size of all documents of the sources in ``targets``. Its
     stream holds its documents in the order of a hash, a second time in another order, and so on, up to
@@ -85,7 +87,7 @@ def mix(
         raise ValueError("targets: at most 10,000 sources, each once")
     spark = docs.sparkSession
     goal = spark.createDataFrame([(r.k, r.source, r.w, r.u if r.u is not None else 1) for r in rows], "k string, source string, target_share double, max_uses int")
-    plans = {r.k: Schedule(ramp({x.k: x.w for x in rows})[r.k]) for r in rows}
+    plans = {k: Schedule(knots) for k, knots in ramp({r.k: r.w for r in rows}).items()}
     for name, knots in (schedules or {}).items():
         plans[name.strip().lower()] = Schedule(knots)
 
@@ -109,6 +111,7 @@ def mix(
     per_cut = uses.groupBy("k", "use", "cut").agg(F.sum("size").alias("cut_size"))
     before = Window.partitionBy("k").orderBy("use", "cut").rowsBetween(Window.unboundedPreceding, -1)
     per_cut = per_cut.select("k", "use", "cut", F.coalesce(F.sum("cut_size").over(before), F.lit(0)).alias("base"))
+    per_cut = per_cut.join(facts.select("k", "demand"), "k").filter(F.col("base") < F.col("demand")).drop("demand")  # cuts beyond the demand aren't sorted
     within = Window.partitionBy("k", "use", "cut").orderBy("h", "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = uses.join(per_cut, ["k", "use", "cut"]).withColumn("end", F.col("base") + F.sum("size").over(within))
     placed = placed.withColumn("begin", F.col("end") - F.col("size")).filter(F.col("begin") < F.col("demand"))
@@ -121,14 +124,16 @@ def mix(
         return pd.Series(out)
 
     middle = F.least((F.col("begin") + F.col("end")) / 2, F.col("demand")) / F.col("demand")
-    drawn = placed.select((when("k", middle) * float(whole)).alias("position"), "k", "source", "__id", "use", "size")
-    out = drawn.select("position", "source", F.col("__id").alias(doc_id), "use", "size").orderBy("position", "source", doc_id, "use")
-    sums = drawn.groupBy("k").agg(F.sum("size").alias("drawn"), F.max("use").alias("uses"))
+    drawn = placed.select((when("k", middle) * float(whole)).alias("position"), "source", F.col("__id").alias(doc_id), "use", "size")
+    out = stage(drawn.orderBy("position", "source", doc_id, "use"), "mix")
+    placed_sums = out.filter(F.col("position").between(0.0, float(whole))).groupBy("source").agg(
+        F.sum("size").alias("drawn"), F.max("use").alias("uses"), F.min("position").alias("first"), F.max("position").alias("last")
+    )
     all_drawn = Window.partitionBy(F.lit(1))  # over the targets, one row each
-    report = goal.join(report_base, "k").join(sums, "k", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    report = goal.join(report_base, "k").join(placed_sums, "source", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     report = report.select(
         "source", "target_share", "max_uses", F.col("have").alias("size"), "demand", "drawn",
-        F.coalesce("uses", F.lit(0)).alias("uses"),
+        F.coalesce("uses", F.lit(0)).alias("uses"), "first", "last",
         F.try_divide(F.col("drawn").cast("double"), F.sum("drawn").over(all_drawn)).alias("actual_share"),
         (F.col("drawn") < F.col("demand")).alias("short"),
     )

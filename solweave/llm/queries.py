@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solweave.functions.names import station
+from solweave.functions.names import label, station
 from solweave.llm import mixing, packing, quality
 from solweave.llm.nearest import nearest_in_time
 from solweave.llm.percentiles import digit_histogram, histogram_percentiles, keyed_values, merge_histograms, radix_percentiles
@@ -57,8 +57,7 @@ def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents").select("doc_id", token_size("text").alias("size"))
-    boxes = [(r.box, r.capacity) for r in _read(spark, d, "box_spec").select("box", "capacity").dropDuplicates().limit(1000).collect()]
-    return packing.pack(docs, "doc_id", "size", boxes)
+    return packing.pack(docs, "doc_id", "size", packing.box_kinds(_read(spark, d, "box_spec"), "box", "capacity"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +75,13 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p6_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Items, pieces and tokens of each kind of box, and whether bins hold no more than their capacity and are at most 2 % (and one) above the least number."""
+    x = packing.fill_report(_packed(spark, d))
+    least = F.ceil(F.col("tokens") / F.col("capacity"))
+    return x.select("box", "items", "cut_items", "pieces", "tokens", (F.col("fullest") <= F.col("capacity")).alias("within"), (F.col("bins") <= least * 1.02 + 1).alias("tight"))
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = _read(spark, d, "documents").select("doc_id", "source", token_size("text").alias("size"))
     return mixing.mix(docs, "doc_id", "source", "size", _read(spark, d, "mix_target"))
@@ -97,6 +103,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return x.select("source", "size", "max_uses", F.round("demand", 3).alias("demand"), "short")
 
 
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    """How often every document of a source was drawn, the documents drawn once more, and whether positions follow the order of the stream."""
+    drawn, report = _mixed(spark, d)
+    docs = _read(spark, d, "documents").groupBy(label("source").alias("k")).agg(F.count(F.lit(1)).alias("docs"))
+    by_use = drawn.groupBy("source", "use").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
+    by_use = by_use.join(docs, label("source") == F.col("k"))
+    whole = by_use.groupBy("source").agg(F.count(F.when(F.col("n") == F.col("docs"), 1)).alias("whole_uses"), F.max("docs").alias("docs"))
+    x = report.join(whole, "source", "left")
+    over = F.greatest(F.col("drawn") - F.col("demand"), F.lit(0.0))
+    longest = _read(spark, d, "documents").groupBy(label("source").alias("k")).agg(F.max(token_size("text")).alias("longest"))
+    x = x.join(longest, label("source") == F.col("k"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return x.select("source", zero("docs"), zero("whole_uses"), (F.col("short") | (over < F.col("longest"))).alias("within_a_document"))
+
+
 def _shares(spark: SparkSession, d: str) -> DataFrame:
     return quality.line_shares(_read(spark, d, "documents"), "doc_id", "text")
 
@@ -125,9 +146,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": p6_found,
         "p6_boxes": p6_boxes,
         "p6_fill": p6_fill,
+        "p6_bound": p6_bound,
         "p7_found": p7_found,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p7_uses": p7_uses,
         "p8_found": p8_found,
         "p8_shares": p8_shares,
         "p8_statistics": p8_statistics,
@@ -155,6 +178,9 @@ SELECT ant, pol, q, n, val AS value FROM k JOIN p ON rn = greatest(1, CAST(ceil(
         "p2_found": _NEAREST + "SELECT tec_id, clock_id FROM n WHERE d <= 5.0",
         "p2_coverage": _NEAREST + "SELECT count(*) AS solutions, count(*) FILTER (WHERE d <= 5.0) AS paired FROM n",
         "p6_found": "SELECT box, doc_id FROM documents, box_spec WHERE strlen(text) > capacity",
+        "p6_bound": """
+SELECT box, count(*) AS items, count(*) FILTER (strlen(text) > capacity) AS cut_items, CAST(sum(greatest(1, ceil(strlen(text) / capacity))) AS BIGINT) AS pieces,
+  CAST(sum(strlen(text)) AS BIGINT) AS tokens, TRUE AS within, TRUE AS tight FROM documents, box_spec GROUP BY box""",
         "p7_found": """
 WITH s AS (SELECT lower(trim(source)) AS k, sum(strlen(text)) AS size FROM documents GROUP BY 1),
 m AS (SELECT t.*, coalesce(s.size, 0) AS size FROM mix_target t LEFT JOIN s ON s.k = lower(trim(t.source)))
@@ -164,6 +190,11 @@ WITH s AS (SELECT lower(trim(source)) AS k, sum(strlen(text)) AS size FROM docum
 m AS (SELECT t.*, coalesce(s.size, 0) AS size FROM mix_target t LEFT JOIN s ON s.k = lower(trim(t.source)))
 SELECT source, CAST(size AS BIGINT) AS size, max_uses, round(target_share * (SELECT sum(size) FROM m), 3) AS demand,
   max_uses * size < target_share * (SELECT sum(size) FROM m) AS short FROM m""",
+        "p7_uses": """
+WITH s AS (SELECT lower(trim(source)) AS k, sum(strlen(text)) AS size, count(*) AS docs FROM documents GROUP BY 1),
+m AS (SELECT t.*, coalesce(s.size, 0) AS size, docs FROM mix_target t LEFT JOIN s ON s.k = lower(trim(t.source)))
+SELECT source, coalesce(docs, 0) AS docs, CASE WHEN docs IS NULL THEN 0 ELSE CAST(least(max_uses, floor(target_share * (SELECT sum(size) FROM m) / size)) AS BIGINT) END AS whole_uses,
+  TRUE AS within_a_document FROM m""",
         "p8_statistics": """
 WITH c AS (SELECT list(DISTINCT lower(word)) AS c FROM common_word),
 d AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9A-Za-zÀ-ÖØ-öø-ÿ]+') AS w,

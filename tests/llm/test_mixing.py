@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from solweave.llm.mixing import Schedule, mix, ramp
 
@@ -61,8 +62,13 @@ def test_shares_uses_and_positions(spark):
             assert mine.drawn == most * mine.size
     assert rep["tiny"].short and not rep["Big"].short and not rep["absent"].short
     assert sum(r.actual_share for r in rep.values()) == pytest.approx(1)
-    pos = [x.position for x in rows]
+    # Files hold successive ranges of positions, each in order.
+    files = defaultdict(list)
+    for x in drawn.select("position", F.input_file_name().alias("f")).collect():
+        files[x.f].append(x.position)
+    pos = [p for f in sorted(files) for p in files[f]]
     assert pos == sorted(pos) and 0 <= pos[0] and pos[-1] <= whole
+    assert rep["Big"].first == min(x.position for x in rows if x.source == "Big") and rep["absent"].last is None
     # The large source weighs more in the first half than in the second, the small one less.
     half = lambda s: sum(x.size for x in rows if x.source == s and x.position < whole / 2)
     assert half("Big") > 0.53 * rep["Big"].drawn and half("small") < 0.47 * rep["small"].drawn
