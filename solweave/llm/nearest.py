@@ -7,34 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solweave.staging import stage
+#: Width of the cells by which rows are spread, in tolerances. Right rows near a cell's ends go to the next cell, too.
+CELL = 16
+#: Buckets are this much wider than needed, so that rounding loses no match at the ends.
+SLACK = 1.001
 
 
-def _ring(points: DataFrame, right: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
-    """The nearest right time of each point within half a bucket, looked for in its bucket and the nearer neighbour.
+def _ring(x: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
+    """Look for the matches of open left rows within ``radius``: in their bucket of width 2r and in that of a second grid, half a bucket further.
 
-    Both sides are laid into (keys, bucket) and each bucket is read once in the order of time, forwards and
-    backwards, so that no pairs of rows are built however full a bucket is.
+    One of the two reaches r back and the other r ahead. Each bucket is read once in the order of time, forwards and backwards, so that
+    no pairs of rows are built however full it is.
     """
-    at = F.col("t") / F.lit(width)
-    own = F.floor(at)
-    side = F.when(at - own < 0.5, own - 1).otherwise(own + 1)
-    none = F.lit(None)
-    left_rows = points.select(*keys, "t", F.explode(F.array(own, side)).alias("bucket"), none.cast("double").alias("rt"), none.cast("bigint").alias("rid"))
-    right_rows = right.select(*keys, "t", own.alias("bucket"), F.col("t").alias("rt"), "rid")
-    both = left_rows.unionByName(right_rows)
-    part = Window.partitionBy(*keys, "bucket")
-    # At equal times the right row must come first in either direction: rt is null on the left.
-    fore = part.orderBy(F.col("t").asc(), F.col("rt").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    back = part.orderBy(F.col("t").desc(), F.col("rt").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.when(F.col("rid").isNotNull(), F.struct("rt", "rid"))
-    seen = both.select(*keys, "t", "rid", F.last(hit, ignorenulls=True).over(fore).alias("a"), F.last(hit, ignorenulls=True).over(back).alias("b"))
-    seen = seen.filter(F.col("rid").isNull())
+    right = F.col("side") == 0
+    hit = F.when(right, F.struct("t", "id"))
+    width = F.lit(2 * SLACK * radius)
+    found = []
+    for name, bucket in (("b0", F.floor(F.col("t") / width)), ("b1", F.floor(F.col("t") / width + 0.5))):
+        # Rows that found their match stand aside, in a bucket of nulls.
+        x = x.withColumn(name, F.when(F.col("best").isNull(), bucket))
+        part = Window.partitionBy(*keys, "cell", name)
+        # At equal times the right row comes first in either direction.
+        for way, order in (("f", F.col("t").asc()), ("b", F.col("t").desc())):
+            x = x.withColumn(name + way, F.last(hit, ignorenulls=True).over(part.orderBy(order, "side").rowsBetween(Window.unboundedPreceding, 0)))
+            found.append(name + way)
 
     def scored(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.rt") - F.col("t")).alias("dist"), F.col(f"{c}.rid").alias("rid"), F.col(f"{c}.rt").alias("rt")))
+        return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("t")).alias("dist"), F.col(f"{c}.id").alias("id")))
 
-    return seen.groupBy(*keys, "t").agg(F.min(F.least(scored("a"), scored("b"))).alias("best"))
+    near = F.least(*[scored(c) for c in found])
+    best = F.when(~right, F.coalesce("best", F.when(near.dist <= radius, near)))
+    return x.withColumn("best", best).drop("b0", "b1", *found)
 
 
 def nearest_in_time(
@@ -52,43 +55,38 @@ def nearest_in_time(
 
     A ring of radius r uses buckets of width 2r; a match at a distance of at most r is provably the nearest.
     Left rows without one go on to a ring of twice the radius, the last having the radius ``tolerance``
-    (inclusive). ``start`` is the first radius (default ``tolerance / 16``).
+    (inclusive). ``start`` is the first radius (default ``tolerance / 4``).
 
     Rows with a null key, or a null, NaN or infinite time on either side, match nothing and are left out;
     so are null ids. A repeated id counts once. Right records at the same time stand for the smallest id
-    of theirs, and of two right times equally far the smaller id wins. Left records at the same time
-    share one search. Empty tables give empty results. Columns other than those named are not read, so
-    clashing names do no harm.
+    of theirs, and of two right times equally far the smaller id wins. Empty tables give empty results. Columns
+    other than those named are not read, so clashing names do no harm. Both ids are whole numbers.
+
+    Rows are shuffled once, by (keys, cell of ``CELL`` tolerances), so a hot key is spread over time; right rows within a tolerance of a
+    cell's end go to both. All rings and the removal of repeats take place within that partitioning.
     """
     if tolerance <= 0:
         raise ValueError("tolerance must be positive")
     names = [f"k{i}" for i in range(len(keys))]
+    wide = F.lit(CELL * tolerance)
 
-    def usable(df: DataFrame, time: str, row_id: str) -> DataFrame:
+    def usable(df: DataFrame, time: str, row_id: str, side: int) -> DataFrame:
         t = F.col(time).cast("double")
-        x = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], (t + F.lit(0.0)).alias("t"), F.col(row_id).alias("id"))
+        x = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], (t + F.lit(0.0)).alias("t"), F.col(row_id).alias("id"), F.lit(side).alias("side"))
         ok = F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < float("inf")) & F.col("id").isNotNull()
         for n in names:
             ok = ok & F.col(n).isNotNull()
         return x.filter(ok)
 
-    lhs = stage(usable(left, left_time, left_id).distinct(), "left")
-    rhs = stage(usable(right, right_time, right_id).groupBy(*names, "t").agg(F.min("id").cast("bigint").alias("rid")), "right")
-    radius = tolerance / 16 if start is None else min(start, tolerance)
-    rounds: list[DataFrame] = []
-    open_points = lhs.select(*names, "t").distinct()
-    while True:
-        last = radius >= tolerance
-        ring = _ring(open_points, rhs, names, 2 * radius)
-        near = F.col("best").isNotNull() & (F.col("best.dist") <= F.lit(min(radius, tolerance)))
-        ring = stage(ring.withColumn("near", F.coalesce(near, F.lit(False))), "ring")
-        rounds.append(ring.filter("near").select(*names, "t", F.col("best.rid").alias("rid"), F.col("best.dist").alias("dist")))
-        if last:
-            break
-        open_points = ring.filter(~F.col("near")).select(*names, "t")
+    lhs = usable(left, left_time, left_id, 1).withColumn("cell", F.floor(F.col("t") / wide))
+    ends = F.floor((F.col("t") - SLACK * tolerance) / wide), F.floor((F.col("t") + SLACK * tolerance) / wide)
+    rhs = usable(right, right_time, right_id, 0).withColumn("cell", F.explode(F.sequence(*ends)))
+    both = lhs.unionByName(rhs).repartition(*names, "cell")
+    x = both.groupBy(*names, "cell", "t", "side", F.when(F.col("side") == 1, F.col("id")).alias("left_id")).agg(F.min("id").alias("id")).drop("left_id")
+    x = x.withColumn("best", F.lit(None).cast("struct<dist:double,id:bigint>"))
+    radius = tolerance / 4 if start is None else min(start, tolerance)
+    while radius < tolerance:
+        x = _ring(x, names, radius)
         radius *= 2
-    matched = rounds[0]
-    for r in rounds[1:]:
-        matched = matched.unionByName(r)
-    out = lhs.join(matched, [*names, "t"], "left")
-    return out.select(F.col("id").alias(left_id), F.col("rid").alias(right_id), "dist")
+    x = _ring(x, names, tolerance).filter(F.col("side") == 1)
+    return x.select(F.col("id").alias(left_id), F.col("best.id").alias(right_id), F.col("best.dist").alias("dist"))
