@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solweave.functions import segments as S
+from solweave.staging import stage
 
 #: Slots of a series that are handled as one row; a longer series is spread over several.
 BLOCK = 1024
@@ -51,7 +52,7 @@ def regular_series(
     zero or negative step or number of slots leaves its rows out. Other columns aren't read.
 
     Rows are spread by (series, block of ``BLOCK`` slots), so a long or hot series takes many tasks; only the
-    block summaries of a series meet in one.
+    summaries of its blocks (a few dozen numbers each) meet in one. The packed blocks are written to the shared folder.
     """
     num = lambda c: F.col(c).cast("double")
     x = readings.select(
@@ -72,19 +73,31 @@ def regular_series(
     packed = x.mapInArrow(
         _pack(keys, harmonics),
         f"{key_types}, __sid bigint, __block int, __t0 double, __dt double, __n bigint, __period double, "
-        "slots array<bigint>, vals array<double>, counts array<int>, sums array<double>, first struct<s:bigint,v:double>, last struct<s:bigint,v:double>",
+        f"slots array<bigint>, vals array<double>, counts array<int>, sums array<double>, first {_POINT}, last {_POINT}",
     )
+    packed = stage(packed, "blocks")
+    # A grid of one block needs nothing from elsewhere; of longer ones only the summaries of blocks meet, and are joined back.
+    alone = packed.filter(F.col("__n") <= BLOCK).withColumns({
+        "normal": F.col("sums"), "prev": F.lit(None).cast(_POINT), "next": F.lit(None).cast(_POINT), "block_before": F.lit(None).cast("int"), "block_after": F.lit(None).cast("int"),
+    })
+    long = packed.filter(F.col("__n") > BLOCK)
     size = terms * (terms + 1) // 2 + terms
-    series = Window.partitionBy("__sid", *keys)
-    line = series.orderBy("__block")
+    on = ["__sid", *keys, "__block"]
+    summaries = long.select(*on, "sums", "first", "last")
+    line = Window.partitionBy("__sid", *keys).orderBy("__block")
     up = line.rowsBetween(Window.unboundedPreceding, -1)
-    down = line.rowsBetween(1, Window.unboundedFollowing)
-    packed = packed.select(
-        "*", F.array(*[F.sum(F.col("sums")[i]).over(series) for i in range(size)]).alias("normal"),
-        F.last("last", ignorenulls=True).over(up).alias("prev"), F.first("first", ignorenulls=True).over(down).alias("next"),
+    down = Window.partitionBy("__sid", *keys).orderBy(F.col("__block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summaries.select(
+        *on, F.last("last", ignorenulls=True).over(up).alias("prev"), F.last("first", ignorenulls=True).over(down).alias("next"),
         F.lag("__block").over(line).alias("block_before"), F.lead("__block").over(line).alias("block_after"),
-    ).drop("sums", "first", "last")
-    return packed.mapInArrow(_fill(keys, harmonics, ridge), f"{key_types}, slot bigint, time double, val double, n int, state string")
+    )
+    normal = summaries.groupBy("__sid", *keys).agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("normal"))
+    spread = long.join(carried, on).join(normal, ["__sid", *keys])
+    both = alone.drop("sums", "first", "last").unionByName(spread.drop("sums", "first", "last"))
+    return both.mapInArrow(_fill(keys, harmonics, ridge), f"{key_types}, slot bigint, time double, val double, n int, state string")
+
+
+_POINT = "struct<s:bigint,v:double>"
 
 
 def _basis(slot: np.ndarray, n: np.ndarray, dt: np.ndarray, period: np.ndarray, harmonics: int) -> np.ndarray:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solweave.functions.medians import group_medians
 from solweave.functions.names import station
 from solweave.operators.drift import Drift
 from solweave.operators.implausible import flag_implausible
-from solweave.operators.regular import regular_series
+from solweave.operators.regular import regular_series, slot_of
+
+
+#: Seconds of the season that the readings are fitted with: the levels of the amplitudes wander within an hour or so.
+SEASON = 3600.0
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -37,14 +42,19 @@ def _grids(spark: SparkSession, d: str) -> DataFrame:
     return meta.groupBy("solset", "soltab").agg(*[F.max(c).alias(c) for c in names])
 
 
-def _on_grid(spark: SparkSession, d: str) -> DataFrame:
+def _gridded(spark: SparkSession, d: str, hide: Column | None) -> DataFrame:
     cells = _read(spark, d, "cells").select("cell_id", "solset", "soltab", station("ant").alias("ant"), "pol", "freq", "time", "val")
     cells = cells.filter(F.col("ant").isNotNull() & F.col("pol").isNotNull() & F.col("val").isNotNull() & ~F.isnan("val"))
     x = cells.join(_grids(spark, d), ["solset", "soltab"])
     chan = F.rint((F.col("freq") - F.col("freq_start")) / F.col("freq_step"))
     x = x.withColumn("chan", F.least(F.greatest(chan, F.lit(0.0)), F.col("n_freq") - 1.0).cast("bigint"))
-    x = x.select("cell_id", "solset", "ant", "pol", "chan", "time", "val", "time_start", "time_step", "n_time")
-    return regular_series(x, ["solset", "ant", "pol", "chan"], "time", "val", "time_start", "time_step", "n_time", row_id="cell_id")
+    x = x.select("cell_id", "solset", "ant", "pol", "chan", "time", "val", "time_start", "time_step", "n_time", F.lit(SEASON).alias("season"))
+    return x if hide is None else x.filter(hide)
+
+
+def _on_grid(spark: SparkSession, d: str, hide: Column | None = None) -> DataFrame:
+    x = _gridded(spark, d, hide)
+    return regular_series(x, ["solset", "ant", "pol", "chan"], "time", "val", "time_start", "time_step", "n_time", row_id="cell_id", period="season")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +72,31 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _on_grid(spark, d).groupBy("solset").agg(F.count(F.lit(1)).alias("slots"), F.sum((F.col("state") != "observed").cast("bigint")).alias("missing"))
 
 
+def p3_states(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of each solset and antenna by state, the readings in them, and how many have a value."""
+    x = _on_grid(spark, d)
+    return x.groupBy("solset", "ant", "state").agg(F.count(F.lit(1)).alias("slots"), F.sum(F.col("n").cast("bigint")).alias("readings"), F.count("val").alias("valued"))
+
+
+def p3_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """What filled values are off: every tenth reading is hidden, its slot filled, and the error set against the scatter of its series.
+
+    Per state: slots, median error in units of the median distance of the series' readings from their median, and the same of
+    the regression's rival, the series' median.
+    """
+    hidden = F.pmod(F.xxhash64("cell_id"), F.lit(10)) == 0
+    told, kept = _gridded(spark, d, hidden), _on_grid(spark, d, ~hidden)
+    keys = ["solset", "ant", "pol", "chan"]
+    t, t0, dt = F.col("time"), F.col("time_start"), F.col("time_step")
+    told = told.filter(F.abs("val") < float("inf")).select(*keys, slot_of(t, t0, dt).alias("slot"), F.col("val").alias("true"))
+    seen = kept.filter("state = 'observed' AND abs(val) < double('inf')")
+    mid = group_medians(seen, keys, "val", "middle")
+    away = group_medians(seen.join(mid, keys).withColumn("away", F.abs(F.col("val") - F.col("middle"))), keys, "away", "usual").join(mid, keys).filter("usual > 0")
+    x = told.join(kept.filter("n = 0 AND val IS NOT NULL"), [*keys, "slot"]).join(away, keys)
+    off = lambda c: F.percentile_approx(F.abs(F.col("true") - F.col(c)) / F.col("usual"), 0.5)
+    return x.groupBy("state").agg(F.count(F.lit(1)).alias("slots"), off("val").alias("error"), off("middle").alias("error_of_median"))
+
+
 def _drift(spark: SparkSession, d: str) -> Drift:
     return Drift(_read(spark, d, "header_records"), "feed", "file_seq", "file_id", "line_no", "body")
 
@@ -84,16 +119,16 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {"p3_found": p3_found, "p3_series": p3_series, "p3_coverage": p3_coverage, "p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_changes": p5_changes, "p5_table": p5_table}
+    return {"p3_found": p3_found, "p3_series": p3_series, "p3_coverage": p3_coverage, "p3_states": p3_states, "p3_holdout": p3_holdout, "p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_changes": p5_changes, "p5_table": p5_table}
 
 
 _GRID = """
 WITH m AS (SELECT solset, soltab, max(time_start) t0, max(time_step) dt, max(n_time) n, max(freq_start) f0, max(freq_step) df, max(n_freq) nf
   FROM soltab_meta WHERE n_time IS NOT NULL AND n_freq IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT c.solset, upper(trim(c.ant)) AS ant, c.pol, CAST(least(greatest(round_even((c.freq - m.f0) / m.df, 0), 0), nf - 1) AS BIGINT) AS chan,
+r AS (SELECT c.cell_id, c.val, c.solset, upper(trim(c.ant)) AS ant, c.pol, CAST(least(greatest(round_even((c.freq - m.f0) / m.df, 0), 0), nf - 1) AS BIGINT) AS chan,
   c.time, m.t0, m.dt, m.n, CAST(floor((c.time - m.t0) / m.dt) AS BIGINT) AS k
   FROM cells c JOIN m USING (solset, soltab) WHERE c.ant IS NOT NULL AND c.pol IS NOT NULL AND c.val IS NOT NULL AND NOT isnan(c.val)),
-o AS (SELECT solset, ant, pol, chan, n, CASE WHEN time < t0 + k * dt THEN k - 1 WHEN time >= t0 + (k + 1) * dt THEN k + 1 ELSE k END AS slot FROM r),
+o AS (SELECT cell_id, val, solset, ant, pol, chan, n, CASE WHEN time < t0 + k * dt THEN k - 1 WHEN time >= t0 + (k + 1) * dt THEN k + 1 ELSE k END AS slot FROM r),
 s AS (SELECT solset, ant, pol, chan, max(n) AS n FROM o GROUP BY ALL),
 g AS (SELECT solset, ant, pol, chan, unnest(range(CAST(n AS BIGINT))) AS slot FROM s),
 x AS (SELECT g.* FROM g ANTI JOIN o USING (solset, ant, pol, chan, slot))
@@ -148,6 +183,12 @@ def oracle_sql():
     return {
         "p4_found": _wrong_sql(),
         "p3_found": _GRID + "SELECT solset, ant, pol, chan, slot FROM x",
+        "p3_states": _GRID + """,
+f AS (SELECT o.solset, o.ant, o.pol, o.chan, o.slot, count(DISTINCT o.cell_id) AS n, count(*) FILTER (NOT isinf(o.val)) AS finite FROM o WHERE slot BETWEEN 0 AND n - 1 GROUP BY ALL),
+e AS (SELECT solset, ant, pol, chan, min(slot) FILTER (finite > 0) AS lo, max(slot) FILTER (finite > 0) AS hi FROM f GROUP BY ALL),
+z AS (SELECT g.solset, g.ant, coalesce(f.n, 0) AS n, CASE WHEN f.n > 0 THEN 'observed' WHEN e.lo IS NULL THEN 'marked' WHEN g.slot > e.lo AND g.slot < e.hi THEN 'bridged' ELSE 'extended' END AS state
+  FROM g LEFT JOIN f USING (solset, ant, pol, chan, slot) LEFT JOIN e USING (solset, ant, pol, chan))
+SELECT solset, ant, state, count(*) AS slots, CAST(sum(n) AS BIGINT) AS readings, count(*) FILTER (state <> 'marked') AS valued FROM z GROUP BY ALL""",
         "p3_coverage": _GRID + ", a AS (SELECT solset, count(*) AS slots FROM g GROUP BY 1), b AS (SELECT solset, count(*) AS missing FROM x GROUP BY 1) "
         "SELECT solset, slots, coalesce(missing, 0) AS missing FROM a LEFT JOIN b USING (solset)",
     }
