@@ -133,6 +133,11 @@ def radix_percentiles(
         near = near.alias("k").join(alive.alias("a"), _same(keys, "k", "a") & (F.col("k.parent") == F.col("a.parent")), "left_semi")
         hist = near.groupBy(*keys, "parent", F.shiftright("key", 64 - depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
         found = stage(_follow(hist, keys, found, probs), "digit")
+        if depth == 2 * digit_bits < bits:  # what shares two digits with a target is a small part: later passes read that alone
+            alive = found.select(*keys, F.col("prefix").alias("parent")).distinct()
+            last = keyed.withColumn("parent", F.shiftright("key", 64 - depth)).alias("k")
+            last = last.join(alive.alias("a"), _same(keys, "k", "a") & (F.col("k.parent") == F.col("a.parent")), "left_semi")
+            keyed = stage(last.select(*keys, "key"), "radix")
     return _bounds(found, keys, bits)
 
 

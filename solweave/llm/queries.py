@@ -30,13 +30,37 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return x.select("ant", "pol", "q", "n", "value")
 
 
+#: Depth of the summaries that are stored per day: sign, exponent and 8 bits of the fraction, so bounds are 2**-8 of the value apart.
+SUMMARY_BITS = 20
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of each day: how many values of an antenna and polarisation lie in each interval."""
+    x = _read(spark, d, "cells").select("cell_id", F.floor(F.col("time") / 86400).alias("day"), station("ant").alias("ant"), "pol", "val")
+    return digit_histogram(keyed_values(x, ["day", "ant", "pol"], "val", "cell_id"), ["day", "ant", "pol"], SUMMARY_BITS)
+
+
 def p1_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The same from one histogram per solset, merged: bounds that are 2**-20 of the value apart."""
-    bits = 32
-    keyed = keyed_values(_readings(spark, d), ["solset", "ant", "pol"], "val", "cell_id")
-    per_solset = digit_histogram(keyed, ["solset", "ant", "pol"], bits)
-    merged = merge_histograms(per_solset, ["ant", "pol"])
-    return histogram_percentiles(merged, ["ant", "pol"], PROBS, bits).select("ant", "pol", "q", "n", "lo", "hi")
+    """The same from one summary per day, merged: bounds that are 2**-8 of the value apart."""
+    merged = merge_histograms(_days(spark, d), ["ant", "pol"])
+    return histogram_percentiles(merged, ["ant", "pol"], PROBS, SUMMARY_BITS).select("ant", "pol", "q", "n", "lo", "hi")
+
+
+def p1_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The exact percentiles, whether the bounds of the merged days hold them, and whether these are as narrow as stated."""
+    same = ["ant", "pol", "q"]
+    exact, merged = p1_percentiles(spark, d).alias("e"), p1_merged(spark, d).alias("m")
+    on = F.lit(True)
+    for c in same:
+        on = on & F.col(f"e.{c}").eqNullSafe(F.col(f"m.{c}"))
+    v, lo, hi = F.col("e.value"), F.col("m.lo"), F.col("m.hi")
+    narrow = (hi - lo <= F.abs(v) * 2.0 ** (12 - SUMMARY_BITS)) | (F.abs(v) == float("inf"))
+    return exact.join(merged, on).select("e.ant", "e.pol", "e.q", "m.n", "e.value", ((lo <= v) & (v <= hi)).alias("held"), narrow.alias("narrow"))
+
+
+def p1_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Values and intervals of the summary of each day."""
+    return _days(spark, d).groupBy("day").agg(F.sum("n").alias("readings"), F.count(F.lit(1)).alias("intervals"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -141,6 +165,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_percentiles": p1_percentiles,
         "p1_merged": p1_merged,
+        "p1_bounds": p1_bounds,
+        "p1_sizes": p1_sizes,
         "p2_found": p2_found,
         "p2_coverage": p2_coverage,
         "p6_found": p6_found,
@@ -169,12 +195,15 @@ n AS (SELECT a.tec_id, CASE WHEN b.d IS NULL OR a.d < b.d THEN a.clock_id WHEN a
 
 def oracle_sql() -> dict[str, str]:
     probs = ", ".join(f"({p}::DOUBLE)" for p in PROBS)
-    return {
-        "p1_percentiles": f"""
+    exact = f"""
 WITH r AS (SELECT DISTINCT cell_id, upper(trim(ant)) AS ant, pol, val + 0.0 AS val FROM cells WHERE val IS NOT NULL AND NOT isnan(val)),
 k AS (SELECT ant, pol, val, row_number() OVER (PARTITION BY ant, pol ORDER BY val) AS rn, count(*) OVER (PARTITION BY ant, pol) AS n FROM r),
-p(q) AS (VALUES {probs})
-SELECT ant, pol, q, n, val AS value FROM k JOIN p ON rn = greatest(1, CAST(ceil(q * n) AS BIGINT))""",
+p(q) AS (VALUES {probs}),
+e AS (SELECT ant, pol, q, n, val AS value FROM k JOIN p ON rn = greatest(1, CAST(ceil(q * n) AS BIGINT)))
+"""
+    return {
+        "p1_percentiles": exact + "SELECT ant, pol, q, n, value FROM e",
+        "p1_bounds": exact + "SELECT ant, pol, q, n, value, TRUE AS held, TRUE AS narrow FROM e",
         "p2_found": _NEAREST + "SELECT tec_id, clock_id FROM n WHERE d <= 5.0",
         "p2_coverage": _NEAREST + "SELECT count(*) AS solutions, count(*) FILTER (WHERE d <= 5.0) AS paired FROM n",
         "p6_found": "SELECT box, doc_id FROM documents, box_spec WHERE strlen(text) > capacity",
