@@ -12,67 +12,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solweave.functions.names import label
+from solweave.staging import stage
 
 LABELS = ("prose", "list", "table", "junk")
 
 #: Buckets of the hashed counts of single words and of word pairs. They bound what is sent to the executors.
 WORDS, PAIRS = 1 << 18, 1 << 20
 
-# Fixed values of the model -------------------------------------------------------------------------
-#: Log-likelihood of each trait of a line under (prose, list, table, junk).
-EMISSION = {
-    # how the line begins
-    "bullet": (-4.0, -0.6, -4.0, -2.5),
-    "quoted": (-2.0, -4.5, -5.0, -3.0),
-    "indent": (-5.0, -1.0, -2.0, -2.0),
-    "plain": (-0.3, -1.5, -0.3, -0.3),
-    # cells: delimiters of a table row against words
-    "cells-many": (-7.0, -4.0, -0.3, -2.0),
-    "cells-some": (-3.0, -1.5, -1.2, -1.8),
-    "cells-none": (-0.1, -0.4, -2.5, -0.7),
+# Where fitting starts, and what it is held to ------------------------------------------
+#: Log-likelihood of each trait of a line under (prose, list, table, junk), family by family; each family is scaled to add up to 1.
+START = {
+    "beginning": {"bullet": (-4.0, -0.6, -4.0, -2.5), "quoted": (-2.0, -4.5, -5.0, -3.0), "indent": (-5.0, -1.0, -2.0, -2.0), "plain": (-0.3, -1.5, -0.3, -0.3)},
+    # delimiters of a table row against words
+    "cells": {"cells-many": (-7.0, -4.0, -0.3, -2.0), "cells-some": (-3.0, -1.5, -1.2, -1.8), "cells-none": (-0.1, -0.4, -2.5, -0.7)},
     # words that also occur in other texts
-    "known-high": (-0.15, -0.6, -1.0, -1.4),
-    "known-mid": (-2.3, -1.4, -1.0, -1.4),
-    "known-low": (-5.5, -1.8, -1.1, -0.7),
+    "known": {"known-high": (-0.15, -0.6, -1.0, -1.4), "known-mid": (-2.3, -1.4, -1.0, -1.4), "known-low": (-5.5, -1.8, -1.1, -0.7)},
     # the direction of neighbouring words
-    "order-high": (-0.25, -1.0, -2.0, -4.0),
-    "order-mid": (-2.5, -1.2, -1.4, -1.4),
-    "order-low": (-11.0, -1.8, -1.4, -0.5),
-    "order-none": (-3.5, -1.0, -0.6, -0.9),
+    "order": {"order-high": (-0.25, -1.0, -2.0, -4.0), "order-mid": (-2.5, -1.2, -1.4, -1.4), "order-low": (-11.0, -1.8, -1.4, -0.5), "order-none": (-3.5, -1.0, -0.6, -0.9)},
     # characters other than letters, digits, blanks and the usual punctuation
-    "symbols-low": (-0.1, -0.5, -0.9, -0.9),
-    "symbols-mid": (-2.5, -1.1, -0.8, -1.2),
-    "symbols-high": (-6.0, -3.0, -1.6, -0.7),
+    "symbols": {"symbols-low": (-0.1, -0.5, -0.9, -0.9), "symbols-mid": (-2.5, -1.1, -0.8, -1.2), "symbols-high": (-6.0, -3.0, -1.6, -0.7)},
     # different words among all, for lines of several words
-    "variety-high": (-0.2, -0.2, -0.3, -0.8),
-    "variety-low": (-9.0, -1.6, -1.2, -0.6),
+    "variety": {"variety-high": (-0.2, -0.2, -0.3, -0.8), "variety-low": (-9.0, -1.6, -1.2, -0.6)},
     # numbers, codes and marked-up names among the words
-    "codes-low": (-0.2, -0.7, -1.6, -0.9),
-    "codes-mid": (-1.7, -1.1, -0.9, -1.1),
-    "codes-high": (-5.5, -1.0, -0.6, -0.7),
+    "codes": {"codes-low": (-0.2, -0.7, -1.6, -0.9), "codes-mid": (-1.7, -1.1, -0.9, -1.1), "codes-high": (-5.5, -1.0, -0.6, -0.7)},
     # single letters with blanks between them
-    "letters-apart": (-20.0, -3.0, -3.0, -0.4),
+    "letters": {"letters-apart": (-20.0, -3.5, -3.5, -1.5), "letters-joined": (0.0, -0.03, -0.03, -0.25)},
     # length in words
-    "words-few": (-2.8, -0.7, -0.9, -0.9),
-    "words-some": (-0.9, -0.8, -0.9, -1.1),
-    "words-many": (-0.4, -2.2, -1.6, -1.0),
+    "words": {"words-few": (-2.8, -0.7, -0.9, -0.9), "words-some": (-0.9, -0.8, -0.9, -1.1), "words-many": (-0.4, -2.2, -1.6, -1.0)},
     # settings, log lines and markup
-    "form-record": (-6.5, -0.9, -1.2, -0.8),
-    "form-free": (-0.02, -0.5, -0.5, -0.6),
+    "form": {"form-record": (-6.5, -0.9, -1.2, -0.8), "form-free": (-0.02, -0.5, -0.5, -0.6)},
     # end of the line
-    "end-full": (-0.5, -2.3, -3.0, -2.0),
-    "end-half": (-3.2, -0.9, -2.0, -1.8),
-    "end-open": (-1.1, -0.6, -0.2, -0.3),
+    "end": {"end-full": (-0.5, -2.3, -3.0, -2.0), "end-half": (-3.2, -0.9, -2.0, -1.8), "end-open": (-1.1, -0.6, -0.2, -0.3)},
     # a phrase without the length and shape of a sentence after a bullet
-    "item-phrase": (-4.5, -0.3, -3.5, -2.5),
-    "item-sentence": (-0.3, -2.5, -4.0, -3.0),
-    "item-no": (-0.1, -0.9, -0.1, -0.1),
+    "item": {"item-phrase": (-4.5, -0.3, -3.5, -2.5), "item-sentence": (-0.3, -2.5, -4.0, -3.0), "item-no": (-0.1, -0.9, -0.1, -0.1)},
+    # the same lines over and over in the text
+    "again": {"again-yes": (-7.0, -2.0, -2.0, -1.0), "again-no": (0.0, -0.15, -0.15, -0.45)},
 }
 #: Log-probability of the first label, and of going from one (row) to the next (column).
 FIRST = np.log([0.4, 0.2, 0.2, 0.2])
 NEXT = np.log([[0.88, 0.04, 0.04, 0.04], [0.06, 0.86, 0.04, 0.04], [0.06, 0.04, 0.86, 0.04], [0.06, 0.04, 0.04, 0.86]])
 # ---------------------------------------------------------------------------------------------------
 
+#: Traits by number, the family of each, and the number of a trait that says nothing.
+TRAITS = [t for f in START.values() for t in f]
+FAMILY = np.array([i for i, f in enumerate(START.values()) for _ in f])
+NOTHING = len(TRAITS)
+_NUMBER = {t: i for i, t in enumerate(TRAITS)} | {"": NOTHING}
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Log-probabilities of a hidden Markov model over the labels: of traits (traits x labels), of the first label, of the next."""
+
+    emission: np.ndarray
+    first: np.ndarray
+    next: np.ndarray
+
+    def scores(self, traits: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Log-likelihood of lines (traits: lines x families) under each label."""
+        table = np.vstack([self.emission, np.zeros(len(LABELS))])
+        return table[traits].sum(axis=1) * weight[:, None]
+
+
+def _scaled(logs: np.ndarray) -> np.ndarray:
+    p = np.exp(logs)
+    for f in range(len(START)):
+        p[FAMILY == f] /= p[FAMILY == f].sum(axis=0)
+    return p
+
+
+def start_tables() -> Tables:
+    return Tables(np.log(_scaled(np.array([v for f in START.values() for v in f.values()]))), FIRST, NEXT)
+
+
 _BULLET = re.compile(r"(?:[*•\-+–·o]|\(?\d{1,4}[.):]|\[[ xX]?\])\s+(?=\S)")
 _RECORD = re.compile(r"(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[0-9a-f]{6,}\s|</?[a-z]+[ >]|[\w.\[\]]+\s*[=:]\s*\S+\s*[;,]?$|\{|\}|\"[\w ]+\":)")
 _USUAL = re.compile(r"[^\W_]|[\s.,;:!?'\"()’%°/±µ-]")
@@ -218,7 +230,7 @@ def word_counts(texts: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     Every task counts into arrays of fixed size and hands on what isn't 0, so the result has at most
     WORDS + PAIRS numbers however many texts there are.
     """
-    distinct = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).repartition(_tasks(texts), F.xxhash64("text")).dropDuplicates(["text"])
+    distinct = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).dropDuplicates(["text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -238,27 +250,25 @@ def word_counts(texts: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return total[:WORDS], total[WORDS:]
 
 
-def _tasks(df: DataFrame) -> int:
-    """Texts are read in Python, which takes longer than reading files, so they are spread over more tasks."""
-    return max(df.rdd.getNumPartitions(), 4 * df.sparkSession.sparkContext.defaultParallelism)
+def _spread(df: DataFrame) -> DataFrame:
+    """Texts as they lie in their files; where these give less than a task for each core, they are spread over more."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
 
 
-class LineModel:
-    """Traits of lines, and the most likely labels of the lines of texts."""
+class LineReader:
+    """Traits of the lines of texts."""
 
     def __init__(self, texts: np.ndarray, pairs: np.ndarray) -> None:
         self.texts, self.pairs = texts, pairs
         self.reader = Reader()
-        self.names = list(EMISSION)
-        self.table = np.array([*EMISSION.values(), (0.0,) * len(LABELS)])
-        self.at = {n: i for i, n in enumerate([*self.names, ""])}
 
     def _pick(self, *cases: tuple[np.ndarray | bool, str]) -> np.ndarray:
-        """The trait of the first case that holds, as a row of the table."""
-        return np.select([np.asarray(c, dtype=bool) for c, _ in cases[:-1]], [self.at[n] for _, n in cases[:-1]], self.at[cases[-1][1]])
+        """The number of the trait of the first case that holds."""
+        return np.select([np.asarray(c, dtype=bool) for c, _ in cases[:-1]], [_NUMBER[n] for _, n in cases[:-1]], _NUMBER[cases[-1][1]])
 
-    def label(self, texts: list[str]) -> np.ndarray:
-        """Characters in lines of each label (texts x labels), and the number of lines in a last column; texts aren't empty."""
+    def traits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines that aren't blank: text, length in characters, traits (lines x families); texts aren't empty."""
         joined = "\n".join(texts)
         points, kind, of, start, end = self.reader.characters(joined)
         doc = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
@@ -340,27 +350,29 @@ class LineModel:
             self._pick((odd < 0.05, "symbols-low"), (odd < 0.15, "symbols-mid"), (True, "symbols-high")),
             self._pick(((n >= 8) & (kinds < np.maximum(3, np.minimum(0.3 * n, 25))) | (n >= 3) & (n < 8) & (kinds == 1), "variety-low"), (n >= 8, "variety-high"), (True, "")),
             self._pick((codes < 0.25, "codes-low"), (codes < 0.45, "codes-mid"), (True, "codes-high")),
-            self._pick(((n >= 6) & (singles >= 0.6 * n), "letters-apart"), (True, "")),
+            self._pick(((n >= 6) & (singles >= 0.6 * n), "letters-apart"), (True, "letters-joined")),
             self._pick((n < 5, "words-few"), (n < 12, "words-some"), (True, "words-many")),
             self._pick((record, "form-record"), (True, "form-free")),
             self._pick((np.isin(tail, [ord(c) for c in ".!?…"]), "end-full"), (np.isin(tail, [ord(","), ord(";")]), "end-half"), (True, "end-open")),
             self._pick(
                 ((bullet | indent | phrases) & upper_rest & np.isin(tail, [ord(c) for c in ".!?"]) & (n >= 7), "item-sentence"), (bullet | indent | phrases, "item-phrase"), (True, "item-no")
             ),
+            self._pick((self._again(points, doc, start, end, full, len(texts)), "again-yes"), (True, "again-no")),
         ]
-        score = sum(self.table[t] for t in traits)
-        lines_of = np.bincount(doc[full], minlength=len(texts))
-        for d in np.flatnonzero(lines_of >= 6).tolist():  # the same line over and over
-            if len({x for x in texts[d].split("\n") if x.strip()}) <= 0.34 * lines_of[d]:
-                score[doc == d, 0] -= 6.0
-        length = end - start
-        score *= np.clip(length / 80, 1.0, 5.0)[:, None]  # a long line weighs as much as the lines it would be wrapped into
         use = np.flatnonzero(full)
-        labels = viterbi(score[use], doc[use], FIRST, NEXT)
-        out = np.zeros((len(texts), len(LABELS) + 1))
-        np.add.at(out, (doc[use], labels), length[use])
-        out[:, -1] = lines_of
-        return out
+        return doc[use], (end - start)[use], np.stack(traits, axis=1)[use].astype(np.uint8)
+
+    def _again(self, points: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, full: np.ndarray, n_docs: int) -> np.ndarray:
+        """Lines of texts of which a third or less of the lines are different."""
+        power = self.reader._powers(len(points) + 1)
+        run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[0, : len(points)], dtype=np.uint64)])
+        use = np.flatnonzero(full)
+        h = _mix((run[end[use]] - run[start[use]]) * power[1, start[use]])
+        order = np.lexsort((h, doc[use]))
+        h, d = h[order], doc[use][order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, dtype=bool)
+        kinds, lines = np.bincount(d[new], minlength=n_docs), np.bincount(d, minlength=n_docs)
+        return (kinds <= 0.34 * lines)[doc] & full
 
     def _order(self, words: Words, seen: np.ndarray, doc: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
         """Per line the mean log-ratio of its word pairs to their reverses in other texts, and the number of pairs.
@@ -433,63 +445,176 @@ def viterbi(score: np.ndarray, doc: np.ndarray, first: np.ndarray, nxt: np.ndarr
     return out
 
 
-def line_shares(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per document the shares of its characters in prose, list, table and junk lines: ``<doc_id>, lines, prose, list, table, junk``.
+def expectations(score: np.ndarray, weight: np.ndarray, doc: np.ndarray, traits: np.ndarray, tables: Tables) -> np.ndarray:
+    """Expected counts of traits, first labels and steps (one after another, flat) over the texts, by the forward-backward algorithm.
 
-    Lines are labelled together by a hidden Markov model over line statistics. Two of these, whether words are known and whether
-    they stand in their usual order, come from counts over all documents (equal texts once, a document's own
-    counts taken off). Blank lines don't count. A null, empty or blank text has no lines and shares of 0.
-    Whole texts are read, of any length. One row per input row; null ids are kept; an empty table gives none.
+    All texts go on at once, line by line; each line counts by its weight.
     """
+    k = len(LABELS)
+    emitted, firsts, steps = np.zeros((NOTHING + 1, k)), np.zeros(k), np.zeros((k, k))
+    if len(score):
+        like = np.exp(score - score.max(axis=1, keepdims=True))
+        move = np.exp(tables.next)
+        head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        size = np.diff(np.r_[head, len(doc)])
+        order = np.argsort(-size, kind="stable")
+        head, size = head[order], size[order]
+        longest = int(size[0])
+        longer = [int(np.searchsorted(-size, -i, side="left")) for i in range(longest)]  # texts that have line i
+        ahead = np.empty(score.shape)
+        ahead[head] = _share(np.exp(tables.first) * like[head])
+        for i in range(1, longest):
+            at = head[: longer[i]] + i
+            ahead[at] = _share((ahead[at - 1] @ move) * like[at])
+        behind = np.ones(score.shape)
+        for i in range(longest - 1, 0, -1):
+            at = head[: longer[i]] + i
+            back = like[at] * behind[at]
+            behind[at - 1] = _share(back @ move.T)
+            both = ahead[at - 1][:, :, None] * move * back[:, None, :]
+            steps += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        posterior = _share(ahead * behind)
+        firsts = posterior[head].sum(axis=0)
+        for f in range(traits.shape[1]):
+            for c in range(k):
+                emitted[:, c] += np.bincount(traits[:, f], posterior[:, c] * weight, NOTHING + 1)
+    return np.concatenate([emitted[:NOTHING].ravel(), firsts, steps.ravel()])
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(x.sum(axis=1, keepdims=True), 1e-300)
+
+
+def refit(counts: np.ndarray, hold: float) -> Tables:
+    """Tables from expected counts, mixed with the starting ones by the share ``hold``; a label or family without counts keeps those."""
+    k, start = len(LABELS), start_tables()
+    emitted, firsts, steps = counts[: NOTHING * k].reshape(NOTHING, k), counts[NOTHING * k : NOTHING * k + k], counts[NOTHING * k + k :].reshape(k, k)
+
+    def mixed(new: np.ndarray, total: np.ndarray, old: np.ndarray) -> np.ndarray:
+        fresh = np.divide(new, total, out=np.exp(old), where=total > 0)
+        return np.log(hold * np.exp(old) + (1 - hold) * fresh)
+
+    total = np.stack([emitted[FAMILY == f].sum(axis=0) for f in range(len(START))])[FAMILY]
+    emission = mixed(emitted, total, start.emission)
+    return Tables(emission, mixed(firsts, np.full(k, firsts.sum()), start.first), mixed(steps, np.repeat(steps.sum(axis=1, keepdims=True), k, axis=1), start.next))
+
+
+def line_traits(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per document: ``<doc_id>, lengths, traits``, a length and a trait of each family for each line, packed; written to the shared folder."""
     counts = word_counts(docs, text)
     # Fixed in size: WORDS + PAIRS numbers, whatever the data.
     shared = docs.sparkSession.sparkContext.broadcast(tuple(c.astype(np.int32) if c.size and c.max() < 2**31 else c for c in counts))
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"`{doc_id}` {kind}, lines bigint, prose double, list double, table double, junk double"
-    rows = docs.select(F.col(doc_id), F.col(text).alias("__text")).repartition(_tasks(docs), F.xxhash64(doc_id, "__text"))
-    return rows.mapInArrow(_labeller(shared, doc_id), schema)
+    rows = _spread(docs.select(F.col(doc_id), F.col(text).alias("__text")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = LineReader(*(c.astype(np.int64) for c in shared.value))
+        for b in batches:
+            lengths, traits = [b""] * b.num_rows, [b""] * b.num_rows
+            for where, held in _chunks(b["__text"].to_pylist()):
+                doc, length, trait = reader.traits(held)
+                length = length.astype(np.int32)
+                cut = np.searchsorted(doc, np.arange(len(held) + 1)).tolist()
+                for i, a, z in zip(where, cut[:-1], cut[1:], strict=True):
+                    lengths[i], traits[i] = length[a:z].tobytes(), trait[a:z].tobytes()
+            yield pa.RecordBatch.from_arrays([b[doc_id], pa.array(lengths, pa.binary()), pa.array(traits, pa.binary())], names=[doc_id, "lengths", "traits"])
 
+    return stage(rows.mapInArrow(read, f"`{doc_id}` {kind}, lengths binary, traits binary"), "traits")
+
+
+def _lines(b: pa.RecordBatch, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, length, weight, traits, score) of the lines of a batch of ``line_traits``; a line weighs as much as the lines it would be wrapped into."""
+    length = np.frombuffer(b"".join(b["lengths"].to_pylist()), dtype=np.int32)
+    traits = np.frombuffer(b"".join(b["traits"].to_pylist()), dtype=np.uint8).reshape(-1, len(START))
+    doc = np.repeat(np.arange(b.num_rows), np.array([len(x) // 4 for x in b["lengths"].to_pylist()], dtype=np.int64))
+    weight = np.maximum(length / 80, 1.0)
+    return doc, length, weight, traits, tables.scores(traits, weight)
+
+
+def fit_tables(traits: DataFrame, rounds: int = 3, hold: float = 0.5) -> Tables:
+    """Fit the model to unlabelled lines by expectation and maximisation, over all documents, from the starting tables.
+
+    ``hold`` is the share of the starting tables in those of every round, at every size of the data: they say what the labels mean.
+    """
+    tables = start_tables()
+    for _ in range(rounds):
+
+        def expect(batches: Iterator[pa.RecordBatch], tables: Tables = tables) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(NOTHING * len(LABELS) + len(LABELS) + len(LABELS) ** 2)
+            for b in batches:
+                doc, _, weight, t, score = _lines(b, tables)
+                total += expectations(score, weight, doc, t, tables)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
+
+        got = traits.mapInArrow(expect, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()  # some hundred numbers
+        counts = np.zeros(NOTHING * len(LABELS) + len(LABELS) + len(LABELS) ** 2)
+        for r in got:
+            counts[r.at] = r.n
+        tables = refit(counts, hold)
+    return tables
+
+
+def line_shares(docs: DataFrame, doc_id: str, text: str, tables: Tables | None = None) -> DataFrame:
+    """Per document the shares of its characters in prose, list, table and junk lines: ``<doc_id>, lines, prose, list, table, junk``.
+
+    Lines are labelled together by a hidden Markov model over line statistics, whose tables are fitted to these documents without labels
+    (``fit_tables``) unless they are given. Two of the statistics, whether words are known and whether
+    they stand in their usual order, come from counts over all documents (equal texts once, a document's own
+    counts taken off). Blank lines don't count. A null, empty or blank text has no lines and shares of 0.
+    Whole texts are read, of any length. One row per input row; null ids are kept; an empty table gives none.
+    """
+    traits = line_traits(docs, doc_id, text)
+    model = tables or fit_tables(traits)
+    kind = docs.schema[doc_id].dataType.simpleString()
 
-def _labeller(shared, doc_id: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LineModel(*(c.astype(np.int64) for c in shared.value))
         for b in batches:
+            doc, length, _, _, score = _lines(b, model)
             share = np.zeros((b.num_rows, len(LABELS)))
-            lines = np.zeros(b.num_rows, dtype=np.int64)
-            for where, held in _chunks(b["__text"].to_pylist()):
-                got = model.label(held)
-                share[where], lines[where] = got[:, :-1], got[:, -1]
+            np.add.at(share, (doc, viterbi(score, doc, model.first, model.next)), length)
             total = share.sum(axis=1, keepdims=True)
             share = np.divide(share, total, out=share, where=total > 0)
+            lines = np.bincount(doc, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b[doc_id], pa.array(lines), *(pa.array(share[:, k]) for k in range(len(LABELS)))], names=[doc_id, "lines", *LABELS])
 
-    return run
+    return traits.mapInArrow(run, f"`{doc_id}` {kind}, lines bigint, prose double, list double, table double, junk double")
 
 
-_TOKEN = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ]+"
+_TOKEN = r"[\p{L}\p{N}]+"
 
 
-def text_statistics(docs: DataFrame, doc_id: str, text: str, lang: str, common: DataFrame) -> DataFrame:
+def text_statistics(docs: DataFrame, doc_id: str, text: str, lang: str, common: DataFrame, most: int = 100_000) -> DataFrame:
     """Counts per document: ``<doc_id>, chars, words, word_length, symbol_ratio, lines, full_lines, common``.
 
-    Words are runs of letters and digits; ``symbol_ratio`` is the share of characters that are neither these nor blanks or
+    Words are runs of letters and digits of any script; ``symbol_ratio`` is the share of characters that are neither these nor blanks or
     line breaks; ``full_lines`` the share of lines (not blank) that end in . ! or ?; ``common`` the share of words
-    among the frequent words of all languages in ``common`` (a fixed list, joined by hand-over of at most 100,000 words). Ratios
-    without anything to count are null. A null text counts as empty. All in the JVM.
+    among the frequent words of the document's language (case and blanks of its label don't matter), or of all languages where the label is null or
+    has no words in ``common`` (``lang, word``, a fixed list: more than ``most`` words are refused). Ratios without anything to
+    count are null. A null text counts as empty. All in the JVM.
     """
-    words = [r.w for r in common.select(F.lower("word").alias("w")).filter(F.col("w").isNotNull()).distinct().limit(100_001).collect()]
-    if len(words) > 100_000:
-        raise ValueError("common: at most 100,000 words")
+    rows = common.select(label("lang").alias("l"), F.lower("word").alias("w")).filter(F.col("w").isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"common: at most {most} words")
+    by_lang: dict[str, list[str]] = {}
+    for r in rows:
+        by_lang.setdefault(r.l or "", []).append(r.w)
     t = F.coalesce(F.col(text), F.lit(""))
-    x = docs.select(F.col(doc_id), t.alias("t")).withColumn("w", F.regexp_extract_all("t", F.lit(_TOKEN), F.lit(0)))
+    x = docs.select(F.col(doc_id), t.alias("t"), label(lang).alias("__lang")).withColumn("w", F.regexp_extract_all("t", F.lit(_TOKEN), F.lit(0)))
     x = x.withColumn("l", F.filter(F.split("t", "\n"), lambda s: F.trim(s) != ""))
     ratio: Callable[[Column, Column], Column] = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     size = F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, w: acc + F.length(w))
-    table = F.create_map(*[y for w in words for y in (F.lit(w), F.lit(True))]) if words else F.lit(None).cast("map<string,boolean>")
-    frequent = F.size(F.filter("w", lambda w: F.coalesce(F.map_contains_key(table, F.lower(w)), F.lit(False)))) if words else F.lit(0)
+
+    def among(ws: list[str]) -> Column:
+        table = F.create_map(*[y for w in sorted(ws) for y in (F.lit(w), F.lit(True))]) if ws else None
+        return F.size(F.filter("w", lambda w: F.coalesce(F.map_contains_key(table, F.lower(w)), F.lit(False)))) if ws else F.lit(0)
+
+    frequent = F.lit(None).cast("int")
+    for name, ws in sorted(by_lang.items()):
+        frequent = F.when(F.col("__lang") == name, among(ws)).otherwise(frequent)
+    frequent = F.coalesce(frequent, among(sorted({w for ws in by_lang.values() for w in ws})))
     return x.select(
         doc_id, F.length("t").cast("bigint").alias("chars"), F.size("w").cast("bigint").alias("words"), F.round(ratio(size, F.size("w")), 6).alias("word_length"),
-        F.round(ratio(F.length(F.regexp_replace("t", "[0-9A-Za-zÀ-ÖØ-öø-ÿ \\t\\n\\r]", "")), F.length("t")), 6).alias("symbol_ratio"),
+        F.round(ratio(F.length(F.regexp_replace("t", "[\\p{L}\\p{N} \\t\\n\\r]", "")), F.length("t")), 6).alias("symbol_ratio"),
         F.size("l").cast("bigint").alias("lines"), F.round(ratio(F.size(F.filter("l", lambda s: F.rtrim(s).rlike("[.!?]$"))), F.size("l")), 6).alias("full_lines"),
         F.round(ratio(frequent, F.size("w")), 6).alias("common"),
     )

@@ -225,14 +225,15 @@ m AS (SELECT t.*, coalesce(s.size, 0) AS size, docs FROM mix_target t LEFT JOIN
 SELECT source, coalesce(docs, 0) AS docs, CASE WHEN docs IS NULL THEN 0 ELSE CAST(least(max_uses, floor(target_share * (SELECT sum(size) FROM m) / size)) AS BIGINT) END AS whole_uses,
   TRUE AS within_a_document FROM m""",
         "p8_statistics": """
-WITH c AS (SELECT list(DISTINCT lower(word)) AS c FROM common_word),
-d AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9A-Za-zÀ-ÖØ-öø-ÿ]+') AS w,
-  list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l FROM documents)
+WITH c AS (SELECT lower(trim(lang)) AS k, list(DISTINCT lower(word)) AS c FROM common_word GROUP BY 1),
+z AS (SELECT list(DISTINCT lower(word)) AS z FROM common_word),
+d AS (SELECT doc_id, text, coalesce(c, z) AS c, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l FROM documents CROSS JOIN z LEFT JOIN c ON k = lower(trim(lang)))
 SELECT doc_id, length(text) AS chars, CAST(len(w) AS BIGINT) AS words,
   round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) END, 6) AS word_length,
-  round(CASE WHEN text <> '' THEN length(regexp_replace(text, '[0-9A-Za-zÀ-ÖØ-öø-ÿ \\t\\n\\r]', '', 'g'))::DOUBLE / length(text) END, 6) AS symbol_ratio,
+  round(CASE WHEN text <> '' THEN length(regexp_replace(text, '[\\p{L}\\p{N} \\t\\n\\r]', '', 'g'))::DOUBLE / length(text) END, 6) AS symbol_ratio,
   CAST(len(l) AS BIGINT) AS lines,
   round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda s: regexp_matches(rtrim(s), '[.!?]$')))::DOUBLE / len(l) END, 6) AS full_lines,
   round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(c, lower(x))))::DOUBLE / len(w) END, 6) AS common
-FROM d, c""",
+FROM d""",
     }

@@ -65,6 +65,49 @@ def test_viterbi_against_all_paths():
         assert tuple(got[doc == d]) == best
 
 
+def test_expectations_against_all_paths():
+    rng = np.random.default_rng(1)
+    tables = quality.start_tables()
+    doc, weight = np.repeat([0, 1, 2], [4, 1, 3]), np.array([1.0, 1, 2, 1, 1, 3, 1, 1])
+    traits = np.stack([rng.choice(np.flatnonzero(quality.FAMILY == f), 8) for f in range(len(quality.START))], axis=1)
+    score = rng.normal(size=(8, 4))
+    got = quality.expectations(score, weight, doc, traits, tables)
+    emitted, firsts, steps = np.zeros((quality.NOTHING, 4)), np.zeros(4), np.zeros((4, 4))
+    for d in range(3):
+        at = np.flatnonzero(doc == d)
+        paths = list(np.ndindex(*[4] * len(at)))
+        p = np.exp([tables.first[x[0]] + sum(score[i, k] for i, k in zip(at, x, strict=True)) + sum(tables.next[a, b] for a, b in zip(x, x[1:], strict=False)) for x in paths])
+        for x, q in zip(paths, p / p.sum(), strict=True):
+            firsts[x[0]] += q
+            for a, b in zip(x, x[1:], strict=False):
+                steps[a, b] += q
+            for i, k in zip(at, x, strict=True):
+                emitted[traits[i], k] += q * weight[i]
+    np.testing.assert_allclose(got, np.concatenate([emitted.ravel(), firsts, steps.ravel()]), atol=1e-9)
+
+
+def test_fitted_tables_are_distributions_and_carry_over(spark):
+    prose, junk = texts()
+    df = spark.createDataFrame(list((prose | junk).items()), "id bigint, text string")
+    tables = quality.fit_tables(quality.line_traits(df, "id", "text"))
+    for f in range(len(quality.START)):
+        np.testing.assert_allclose(np.exp(tables.emission[quality.FAMILY == f]).sum(axis=0), 1)
+    np.testing.assert_allclose(np.exp(tables.next).sum(axis=1), 1)
+    assert not np.allclose(tables.emission, quality.start_tables().emission)
+    some = df.filter("id % 2 = 0")
+    got = {r.id: r.prose for r in quality.line_shares(some, "id", "text", tables).collect()}
+    assert all((got[i] > 0.5) == (i in prose) for i in got)
+
+
+def test_repeated_lines_are_told_in_texts_of_any_length():
+    none = np.zeros(quality.WORDS, dtype=np.int64), np.zeros(quality.PAIRS, dtype=np.int64)
+    texts = ["same line\nsame line\n\nsame line", "a b\nc d\na b", "one", "x\n" * 7, "\n".join("abcdefg")]
+    doc, length, traits = quality.LineReader(*none).traits(texts)
+    again = traits[:, -1] == quality.TRAITS.index("again-yes")
+    assert [set(again[doc == d]) for d in range(5)] == [{True}, {False}, {False}, {True}, {False}]
+    assert length[:3].tolist() == [9, 9, 9]
+
+
 def test_words_of_a_text():
     reader = quality.Reader()
     w = reader.words(*reader.characters("Don't PANIC: cs001 CS777\n<td>panic</td> x_y 12 345")[:3])
@@ -80,5 +123,9 @@ def test_statistics(spark):
     got = {r.id: r for r in quality.text_statistics(df, "id", "text", "lang", common).collect()}
     assert (got[1].chars, got[1].words, got[1].word_length, got[1].lines, got[1].full_lines, got[1].common) == (13, 3, 3.0, 2, 0.5, round(1 / 3, 6))
     assert got[1].symbol_ratio == round(1 / 13, 6)
+    words = spark.createDataFrame([("en", "the"), ("de", "katze"), (None, "sat")], "lang string, word string")
+    rows = [(1, "the Katze sat", " EN"), (2, "the Katze sat", "de"), (3, "the Katze sat", "xx"), (4, "мир 猫", None)]
+    by_lang = {r.id: r for r in quality.text_statistics(spark.createDataFrame(rows, "id bigint, text string, lang string"), "id", "text", "lang", words).collect()}
+    assert [by_lang[i].common for i in (1, 2, 3, 4)] == [round(1 / 3, 6), round(1 / 3, 6), 1.0, 0.0] and by_lang[4].words == 2
     for i in (2, 3):
         assert got[i].words == got[i].chars == got[i].lines == 0 and got[i].word_length is None
