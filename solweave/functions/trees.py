@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +25,7 @@ class Step:
     action: str  # added, removed, renamed, retyped, moved
     old: tuple[str, ...]
     new: tuple[str, ...]
+    cost: float = 1.0
 
 
 def build(paths: list[tuple[str, str | None]]) -> Node:
@@ -68,23 +69,73 @@ def assign(cost: np.ndarray) -> list[int]:
     return out
 
 
-def edit_script(old: Node, new: Node, rename: Callable[[tuple[str, ...], Node, Node], float | None]) -> tuple[float, list[Step]]:
-    """The least cost and the steps that turn ``old`` into ``new``.
+#: The price of giving a node another name: of (old path, new path, old node, new node), or None where that isn't possible.
+Rename = Callable[[tuple[str, ...], tuple[str, ...], Node, Node], float | None]
 
-    Adding or removing a node costs 1, changing its kind 1. ``rename(path, a, b)`` gives the cost of giving
-    a node another name (below 2, or it doesn't pay), or None where that isn't possible. Siblings of the
-    same name are matched with each other; the others by a least-cost assignment. A node that is removed
-    in one place and added with the same name, kind and content under another parent has moved, for a cost of 1.
-    """
-    steps: list[Step] = []
-    cost = _children(old, new, (), (), rename, steps)
-    cost += _moves(old, new, steps)
-    return cost, steps
 
+def edit_script(old: Node, new: Node, rename: Rename) -> tuple[float, list[Step]]:
+    """The least cost and the steps that turn ``old`` into ``new``; the costs of the steps add up to it.
 
-def _children(a: Node, b: Node, pa: tuple[str, ...], pb: tuple[str, ...], rename, steps: list[Step]) -> float:
+    Adding or removing a node costs 1, changing its kind 1, a new name what ``rename`` says, at any depth. Siblings of the
+    same name stay each other; the others are matched by a least-cost assignment. A node may also move, with all below it and under its name, to another
+    parent for 1. All choices of moves are weighed (those that can't pay are passed over), so the minimum is over names, kinds and moves together.
+    """
+    steps: list[Step] = []
+    best = _children(old, new, (), (), rename, steps)
+    found: list[tuple[tuple[str, ...], tuple[str, ...], int]] = []
+    olds, news = dict(_below(old, ())), dict(_below(new, ()))
+    by_name: dict[str, list[tuple[str, ...]]] = {}
+    for q in news:
+        by_name.setdefault(q[-1], []).append(q)
+    for p, x in olds.items():
+        found += [(p, q, x.size()) for q in by_name.get(p[-1], ()) if q[:-1] != p[:-1] and (p not in news or q not in olds) and _same(x, news[q])]
+    found.sort(key=lambda f: (-f[2], f[0], f[1]))
+    gains = np.cumsum([2 * n - 1 for *_, n in found][::-1])[::-1].tolist() + [0]
+
+    def search(i: int, taken: list[tuple[tuple[str, ...], tuple[str, ...]]], a: Node, b: Node, cost: float) -> None:
+        """Weigh the moves from the i-th on; ``cost`` is that of the script with the moves taken."""
+        nonlocal best, steps
+        if cost - gains[i] >= best - 1e-9:
+            return
+        for j in range(i, len(found)):
+            p, q, _ = found[j]
+            if cost - gains[j] >= best - 1e-9:
+                return
+            if any(_inside(p, x) or _inside(x, p) or _inside(q, y) or _inside(y, q) for x, y in taken):
+                continue
+            c, d = _without(a, p), _without(b, q)
+            some: list[Step] = []
+            now = [*taken, (p, q)]
+            total = _children(c, d, (), (), rename, some) + len(now)
+            if total < best - 1e-9:
+                best, steps = total, some + [Step("moved", x, y) for x, y in now]
+            search(j + 1, now, c, d, total)
+
+    search(0, [], old, new, best)
+    return best, steps
+
+
+def _below(node: Node, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], Node]]:
+    for name, c in node.children.items():
+        yield (*path, name), c
+        yield from _below(c, (*path, name))
+
+
+def _inside(p: tuple[str, ...], q: tuple[str, ...]) -> bool:
+    return p[: len(q)] == q
+
+
+def _without(node: Node, path: tuple[str, ...]) -> Node:
+    head, rest = path[0], path[1:]
+    kept = {k: c for k, c in node.children.items() if rest or k != head}
+    if rest:
+        kept[head] = _without(kept[head], rest)
+    return Node(node.name, node.kind, kept)
+
+
+def _children(a: Node, b: Node, pa: tuple[str, ...], pb: tuple[str, ...], rename: Rename, steps: list[Step]) -> float:
     total = 0.0
-    for name in a.children.keys() & b.children.keys():
+    for name in sorted(a.children.keys() & b.children.keys()):
         x, y = a.children[name], b.children[name]
         if x.kind and y.kind and x.kind != y.kind:
             steps.append(Step("retyped", (*pa, name), (*pb, name)))
@@ -92,54 +143,32 @@ def _children(a: Node, b: Node, pa: tuple[str, ...], pb: tuple[str, ...], rename
         total += _children(x, y, (*pa, name), (*pb, name), rename, steps)
     gone = [a.children[k] for k in sorted(a.children.keys() - b.children.keys())]
     come = [b.children[k] for k in sorted(b.children.keys() - a.children.keys())]
-    pairs: list[tuple[Node, Node]] = []
+    taken, given = set(), set()
     if gone and come:
         n = len(gone) + len(come)
         cost = np.zeros((n, n))
         cost[: len(gone), len(come) :] = np.array([g.size() for g in gone], dtype=float)[:, None]
         cost[len(gone) :, : len(come)] = np.array([c.size() for c in come], dtype=float)[None, :]
+        names = np.full((len(gone), len(come)), np.nan)
         for i, g in enumerate(gone):
             for j, c in enumerate(come):
-                price = rename(pa, g, c)
-                cost[i, j] = 1e6 if price is None else price + _children(g, c, (), (), rename, [])
+                price = rename((*pa, g.name), (*pb, c.name), g, c)
+                names[i, j] = np.nan if price is None else price
+                cost[i, j] = 1e6 if price is None else price + _children(g, c, (*pa, g.name), (*pb, c.name), rename, [])
         for i, j in enumerate(assign(cost)[: len(gone)]):
             if j < len(come) and cost[i, j] < gone[i].size() + come[j].size():
-                pairs.append((gone[i], come[j]))
-                total += rename(pa, gone[i], come[j]) or 0.0
-    for g, c in pairs:
-        steps.append(Step("renamed", (*pa, g.name), (*pb, c.name)))
-        total += _children(g, c, (*pa, g.name), (*pb, c.name), rename, steps)
-    taken, given = {id(g) for g, _ in pairs}, {id(c) for _, c in pairs}
-    for g in gone:
-        if id(g) not in taken:
-            steps.append(Step("removed", (*pa, g.name), ()))
-            total += g.size()
-    for c in come:
-        if id(c) not in given:
-            steps.append(Step("added", (), (*pb, c.name)))
-            total += c.size()
+                g, c = gone[i], come[j]
+                taken.add(i)
+                given.add(j)
+                steps.append(Step("renamed", (*pa, g.name), (*pb, c.name), float(names[i, j])))
+                total += float(names[i, j]) + _children(g, c, (*pa, g.name), (*pb, c.name), rename, steps)
+    for side, done, what in ((gone, taken, "removed"), (come, given, "added")):
+        for i, x in enumerate(side):
+            if i not in done:
+                steps.append(Step(what, (*pa, x.name) if what == "removed" else (), (*pb, x.name) if what == "added" else (), float(x.size())))
+                total += x.size()
     return total
 
 
-def _at(root: Node, path: tuple[str, ...]) -> Node:
-    for p in path:
-        root = root.children[p]
-    return root
-
-
 def _same(a: Node, b: Node) -> bool:
     return a.kind == b.kind and a.children.keys() == b.children.keys() and all(_same(a.children[k], b.children[k]) for k in a.children)
-
-
-def _moves(old: Node, new: Node, steps: list[Step]) -> float:
-    saved = 0.0
-    for gone in [s for s in steps if s.action == "removed"]:
-        x = _at(old, gone.old)
-        for come in [s for s in steps if s.action == "added"]:
-            if come.new[-1] == gone.old[-1] and come.new[:-1] != gone.old[:-1] and _same(x, _at(new, come.new)):
-                steps.remove(gone)
-                steps.remove(come)
-                steps.append(Step("moved", gone.old, come.new))
-                saved += 2 * x.size() - 1
-                break
-    return -saved

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solweave.functions import trees
@@ -50,7 +50,9 @@ def traits(v: object, prefix: str = "") -> list[tuple[str, str]]:
     if kind == "text":
         words = [re.sub(r"\d+", "9", w) for w in re.findall(r"[^\W_]+", v)]
         shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d+", "9", v)))
-        return [(prefix + "shape", shape[:24] if len(shape) <= 24 else "long")] + [(prefix + "word", w) for w in words]
+        # Running text is known by the shapes of its words, not by how many follow each other.
+        shape = " ".join(sorted(set(shape.split()))) if shape.count(" ") > 2 else shape
+        return [(prefix + "shape", shape)] + [(prefix + "word", w) for w in words]
     if kind in ("whole", "real"):
         size = "0" if v == 0 else str(math.floor(math.log10(abs(v)))) if math.isfinite(v) else "inf"
         if kind == "whole":
@@ -73,6 +75,14 @@ def _paths(v: object, path: str) -> Iterator[tuple[str, str | None]]:
             yield from _paths(x, f"{path}{SEP}[]")
 
 
+def _members(v: object, path: str) -> Iterator[tuple[str, object]]:
+    """The members of objects below a field, by their paths."""
+    if isinstance(v, dict):
+        for k, x in v.items():
+            yield f"{path}{SEP}{k}", x
+            yield from _members(x, f"{path}{SEP}{k}")
+
+
 def read_object(body: str | None) -> dict | None:
     """The JSON object of a line; None for a line that is cut off or holds none."""
     try:
@@ -111,8 +121,10 @@ def _scan(feed: str, seq: str, file_id: str) -> Callable[[Iterator[pa.RecordBatc
                             kinds[f, s, i, path, kind] += 1
                     else:
                         kinds[f, s, i, name, own] += 1
-                    for family, trait in looks_of(v):
-                        looks[name, own, family, trait] += 1
+                    for path, x in [(name, v), *_members(v, name)]:
+                        own = kind_of(x)
+                        for family, trait in looks_of(x):
+                            looks[path, own, family, trait] += 1
             rows = [(*k, None, None, None, n) for k, n in kinds.items()] + [(None, None, None, None, kind, name, fam, tr, n) for (name, kind, fam, tr), n in looks.items()]
             cols = zip(*rows, strict=True) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES, strict=True)], names=["feed", "seq", "file_id", "path", "kind", "name", "family", "trait", "n"])
@@ -179,12 +191,13 @@ class Drift:
 
     def likeness(self) -> DataFrame:
         """(old, new, kind, alike) of the names that some file drops and brings at once."""
-        top = lambda c: F.filter(c, lambda f: ~f.path.contains(SEP))
         differ = self.pairs.filter(F.col("old") != F.col("new"))
-        names = differ.select(top("old").alias("old"), top("new").alias("new"))
+        names = differ.select(_named("old").alias("old"), _named("new").alias("new"))
         absent = lambda a, b: F.filter(a, lambda f: ~F.exists(b, lambda g: g.path == f.path))
         both = names.select(F.explode(absent(F.col("old"), F.col("new"))).alias("a"), absent(F.col("new"), F.col("old")).alias("come"))
         both = both.select("a", F.explode("come").alias("b")).filter(F.col("a.kind").isNull() | F.col("b.kind").isNull() | (F.col("a.kind") == F.col("b.kind")))
+        depth = lambda c: F.size(F.split(c, SEP))
+        both = both.filter(depth(F.col("a.path")) == depth(F.col("b.path")))
         wanted = both.select(F.col("a.path").alias("old"), F.col("b.path").alias("new"), F.coalesce("a.kind", "b.kind").alias("wanted")).distinct()
 
         wanted = stage(wanted, "wanted")  # pairs of field names: read four times
@@ -212,25 +225,33 @@ class Drift:
     def _together(self, pairs: DataFrame) -> DataFrame:
         """(old, new, together, na, nb): in how many files both names of a pair are, and each of them."""
         # Files with equal sets of names are counted before names are paired.
-        top = F.filter("fields", lambda f: ~f.path.contains(SEP))
-        sets = self.files.select(F.transform(top, lambda f: f.path).alias("names")).groupBy("names").agg(F.count(F.lit(1)).alias("n"))
+        sets = self.files.select(F.transform(_named("fields"), lambda f: f.path).alias("names")).groupBy("names").agg(F.count(F.lit(1)).alias("n"))
         one = sets.select(F.explode("names").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("files"))
         held = sets.select(F.explode("names").alias("old"), "names", "n").join(pairs, "old").filter(F.array_contains("names", F.col("new"))).groupBy("old", "new").agg(F.sum("n").alias("together"))
         x = pairs.join(held, ["old", "new"], "left").join(one.withColumnsRenamed({"name": "old", "files": "na"}), "old").join(one.withColumnsRenamed({"name": "new", "files": "nb"}), "new")
         return x.withColumn("together", F.coalesce("together", F.lit(0)))
 
     def changes(self) -> DataFrame:
-        """Every step of every script: ``feed, file_id, depth, field, to, change``; paths are joined by dots."""
+        """Every step of every script: ``feed, file_id, depth, field, to_depth, to, change``; paths are joined by dots.
+
+        ``depth`` is that of the field before (of the new one for ``added``), ``to_depth`` that of the field after (null if there is none).
+        """
         differ = self.pairs.filter(F.col("old") != F.col("new"))
         alike = stage(self.likeness().filter(F.col("alike") >= ALIKE), "alike")
-        gone = differ.select("feed", "file_id", "new", F.explode("old").alias("a"))
-        gone = gone.filter(~F.col("a.path").contains(SEP) & ~F.exists("new", lambda g: g.path == F.col("a.path")))
+        gone = differ.select("feed", "file_id", "new", F.explode(_named("old")).alias("a"))
+        gone = gone.filter(~F.exists("new", lambda g: g.path == F.col("a.path")))
         cand = gone.select("feed", "file_id", "new", F.col("a.path").alias("old"), F.col("a.kind").alias("ka"))
         cand = cand.join(alike.withColumnRenamed("new", "to"), "old")
         hit = F.exists("new", lambda g: (g.path == F.col("to")) & F.coalesce(F.col("ka"), g.kind).eqNullSafe(F.col("wanted")))
         prices = cand.filter(hit).groupBy("feed", "file_id").agg(F.collect_set(F.struct("old", F.col("to").alias("new"), "alike")).alias("prices"))
         work = differ.select("feed", "file_id", "old", "new").join(prices, ["feed", "file_id"], "left")
-        return work.mapInPandas(_scripts, "feed string, file_id bigint, depth int, field string, to string, change string")
+        return work.mapInPandas(_scripts, "feed string, file_id bigint, depth int, field string, to_depth int, to string, change string")
+
+    def fields(self) -> DataFrame:
+        """The top-level fields of each readable file: ``feed, file_id, field, kind`` (null where no file of the feed tells it)."""
+        x = self.files.select("feed", "file_id", F.explode("fields").alias("f")).filter(~F.col("f.path").contains(SEP))
+        names = F.create_map(*[y for k, v in KINDS.items() for y in (F.lit(k), F.lit(v))])
+        return x.select("feed", "file_id", F.col("f.path").alias("field"), F.element_at(names, F.col("f.kind")).alias("kind"))
 
     def canonical(self, changes: DataFrame, most: int = 10_000) -> dict[str, str]:
         """The name that stands for each field name: the most frequent of those that renames, or like content in different files, link.
@@ -243,7 +264,7 @@ class Drift:
             raise ValueError(f"more than {most} field names")
         renamed = changes.filter((F.col("change") == "renamed") & (F.col("depth") == 1)).groupBy(F.col("field").alias("old"), F.col("to").alias("new")).agg(F.count(F.lit(1)).cast("double").alias("w"))
         # Names of like content that chance would have brought together, but that never are, stand for one field, too.
-        alike = self._alike().groupBy("old", "new").agg(F.max("alike").alias("alike")).filter(F.col("alike") >= SAME)
+        alike = self._alike().filter(~F.col("old").contains(SEP) & ~F.col("new").contains(SEP)).groupBy("old", "new").agg(F.max("alike").alias("alike")).filter(F.col("alike") >= SAME)
         feeds = self.files.select("feed", F.explode("fields").alias("f")).select("feed", F.col("f.path").alias("name")).groupBy("name").agg(F.countDistinct("feed").alias("feeds"))
         size = lambda c: feeds.withColumnsRenamed({"name": c, "feeds": f"feeds_{c}"})
         apart = self._together(alike.select("old", "new")).filter(F.col("together") == 0).join(alike, ["old", "new"]).join(size("old"), "old").join(size("new"), "new")
@@ -270,25 +291,60 @@ class Drift:
                 member[n] = one
         return {n: max(m, key=lambda x: (count[x], x)) for n, m in member.items()}
 
-    def table(self, projection: dict[str, str]) -> DataFrame:
-        """One row per readable line, with a column per canonical name: numbers as they are written, other values as JSON text.
-
-        A canonical name that clashes, without regard to letter case, with a key column or another one gets a trailing ``_``.
+    def projections(self, names: dict[str, str]) -> DataFrame:
+        """The projection of each file, one row each: ``feed, seq, file_id, projection``, the fields of the file that stand for each canonical name."""
+        spark = self.files.sparkSession
+        told = spark.createDataFrame(sorted(names.items()), "field string, canonical string")  # a vocabulary, as large as ``names``
+        x = self.files.select("feed", "seq", "file_id", F.explode("fields").alias("f")).select("feed", "seq", "file_id", F.col("f.path").alias("field")).join(told, "field")
+        x = x.groupBy("feed", "seq", "file_id", "canonical").agg(F.sort_array(F.collect_list(F.struct((F.col("field") != F.col("canonical")).alias("o"), "field"))).alias("l"))
+        x = x.withColumn("l", F.transform("l", lambda e: e.field))
+        return x.groupBy("feed", "seq", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "l"))).alias("projection"))
+
+    def types(self, names: dict[str, str]) -> dict[str, str]:
+        """The SQL type of each canonical name: what holds the kinds it has in all files."""
+        top = self.files.select(F.explode("fields").alias("f")).filter(~F.col("f.path").contains(SEP)).groupBy(F.col("f.path").alias("name"))
+        kinds: dict[str, set] = {}
+        for r in top.agg(F.collect_set("f.kind").alias("kinds")).collect():  # the vocabulary again
+            kinds.setdefault(names.get(r.name, r.name), set()).update(r.kinds)
+        plain = {frozenset(["whole"]): "bigint", frozenset(["real"]): "double", frozenset(["whole", "real"]): "double", frozenset(["bool"]): "boolean"}
+        return {n: plain.get(frozenset(k), "string") for n, k in kinds.items()}
+
+    def table(self, names: dict[str, str]) -> DataFrame:
+        """One row per readable line: the key columns, a column per canonical name, and ``also``.
+
+        Each file's lines go through the projection of the file. A column is a whole number, double or truth value if its fields are that in every file, else text: strings as
+        they are, numbers as they are written, lists and objects as JSON. What has no place, since two fields of a line stand for
+        one canonical name or a line's value isn't of its column's type, is in the map ``also`` under the field's own name, so no value is lost.
+        A canonical name that clashes, without regard to letter case, with a key column, ``also`` or another one gets a trailing ``_``.
         """
         feed, seq, file_id, line_no = self.line_keys
         fields = F.from_json("__body", "map<string,string>")
         x = self.lines.withColumn("__m", fields).filter(F.col("__m").isNotNull())
-        groups: dict[str, list[str]] = {}
-        for name, stands in sorted(projection.items()):
-            groups.setdefault(stands, []).append(name)
-        taken, cols = {feed.lower(), seq.lower(), file_id.lower(), line_no.lower()}, []
-        for stands, names in sorted(groups.items()):
+        per_file = self.projections(names).select(F.col("feed").alias(feed), F.col("seq").alias(seq), F.col("file_id").alias(file_id), F.col("projection").alias("__p"))
+        x = x.join(per_file, [feed, seq, file_id], "left")
+        x = x.withColumn("__used", F.transform_values("__p", lambda _, l: F.get(F.filter(l, lambda f: F.element_at("__m", f).isNotNull()), 0)))
+        types = self.types(names)
+        taken, cols, lost = {feed.lower(), seq.lower(), file_id.lower(), line_no.lower(), "also"}, [], []
+        for stands in sorted(set(names.values())):
             out = stands
             while out.lower() in taken:
                 out += "_"
             taken.add(out.lower())
-            cols.append(F.coalesce(*[F.col("__m")[n] for n in names]).alias(out))
-        return x.select(feed, seq, file_id, F.col("__line").alias(line_no), *cols)
+            used = F.element_at("__used", F.lit(stands))
+            raw = F.element_at("__m", used)
+            kind = types.get(stands, "string")
+            cols.append((raw if kind == "string" else raw.try_cast(kind)).alias(out))
+            if kind != "string":
+                lost.append(F.when(raw.isNotNull() & raw.try_cast(kind).isNull(), used))
+        misfit = F.array_compact(F.array(*lost)) if lost else F.array().cast("array<string>")
+        right = F.coalesce(F.map_values("__used"), F.array().cast("array<string>"))
+        also = F.map_filter("__m", lambda k, v: v.isNotNull() & (~F.coalesce(F.array_contains(right, k), F.lit(False)) | F.array_contains(misfit, k)))
+        return x.select(feed, seq, file_id, F.col("__line").alias(line_no), *cols, also.alias("also"))
+
+
+def _named(fields: str) -> Column:
+    """The fields of a schema that have a name, at any depth: members of lists have none."""
+    return F.filter(fields, lambda f: ~F.array_contains(F.split(f.path, SEP), "[]"))
 
 
 def _scripts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,13 +353,13 @@ def _scripts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for feed, file_id, old, new, prices in zip(pdf["feed"], pdf["file_id"], pdf["old"], pdf["new"], pdf["prices"], strict=True):
             alike = {(p["old"], p["new"]): p["alike"] for p in (prices if prices is not None else [])}
 
-            def rename(path: Sequence[str], a: trees.Node, b: trees.Node, alike: dict = alike) -> float | None:
-                if path or (a.kind and b.kind and a.kind != b.kind) or (a.name, b.name) not in alike:
-                    return None
-                return 1.0 - alike[a.name, b.name]
+            def rename(pa: Sequence[str], pb: Sequence[str], a: trees.Node, b: trees.Node, alike: dict = alike) -> float | None:
+                pair = SEP.join(pa), SEP.join(pb)
+                return None if (a.kind and b.kind and a.kind != b.kind) or pair not in alike else 1.0 - alike[pair]
 
             tree = [trees.build([(f["path"], f["kind"]) for f in side]) for side in (old, new)]
             for s in trees.edit_script(*tree, rename)[1]:
                 at = s.new if s.action == "added" else s.old
-                out.append((feed, file_id, len(at), ".".join(at), ".".join(s.new) or None, s.action))
-        yield pd.DataFrame(out, columns=["feed", "file_id", "depth", "field", "to", "change"])
+                out.append((feed, file_id, len(at), ".".join(at), len(s.new) or None, ".".join(s.new) or None, s.action))
+        frame = pd.DataFrame(out, columns=["feed", "file_id", "depth", "field", "to_depth", "to", "change"])
+        yield frame.astype({"to_depth": "Int32"})

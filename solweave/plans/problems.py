@@ -101,15 +101,38 @@ def _drift(spark: SparkSession, d: str) -> Drift:
     return Drift(_read(spark, d, "header_records"), "feed", "file_seq", "file_id", "line_no", "body")
 
 
+def _top(changes: DataFrame) -> DataFrame:
+    """What the steps are to the top level: a field that goes under another one is removed there, one that comes up is added."""
+    down = (F.col("change") == "moved") & (F.col("depth") == 1)
+    up = (F.col("change") == "moved") & (F.col("to_depth") == 1)
+    rows = F.array(
+        F.when((F.col("depth") == 1) & (F.col("change") != "moved"), F.struct("field", "change")),
+        F.when(down, F.struct("field", F.lit("removed").alias("change"))),
+        F.when(up, F.struct(F.col("to").alias("field"), F.lit("added").alias("change"))),
+    )
+    return changes.select("feed", "file_id", F.inline(F.array_compact(rows)))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Changes of the top-level fields of each file against the one before."""
-    return _drift(spark, d).changes().filter(F.col("depth") == 1).select("feed", "file_id", "field", "change")
+    return _top(_drift(spark, d).changes())
+
+
+def p5_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Top-level fields of each file and their types."""
+    return _drift(spark, d).fields()
+
+
+def p5_gone(spark: SparkSession, d: str) -> DataFrame:
+    """Names that a file no longer has, whether the field was removed or renamed, and fields of another type."""
+    x = _top(_drift(spark, d).changes()).filter("change <> 'added'")
+    return x.select("feed", "file_id", "field", F.when(F.col("change") == "retyped", "retyped").otherwise("gone").alias("change"))
 
 
 def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     """Steps of all scripts by depth, field and kind of change."""
     x = _drift(spark, d).changes()
-    return x.groupBy("depth", "field", "to", "change").agg(F.count(F.lit(1)).alias("files"))
+    return x.groupBy("depth", "field", "to_depth", "to", "change").agg(F.count(F.lit(1)).alias("files"))
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
@@ -118,8 +141,18 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.table(drift.canonical(drift.changes()))
 
 
+def p5_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Values of each feed in the one table."""
+    t = p5_table(spark, d)
+    held = [F.col(c).isNotNull().cast("bigint") for c in t.columns if c not in ("feed", "file_seq", "file_id", "line_no", "also")]
+    total = F.size("also").cast("bigint")
+    for h in held:
+        total = total + h
+    return t.groupBy("feed").agg(F.count(F.lit(1)).alias("lines"), F.sum(total).alias("kept"))
+
+
 def queries():
-    return {"p3_found": p3_found, "p3_series": p3_series, "p3_coverage": p3_coverage, "p3_states": p3_states, "p3_holdout": p3_holdout, "p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_changes": p5_changes, "p5_table": p5_table}
+    return {"p3_found": p3_found, "p3_series": p3_series, "p3_coverage": p3_coverage, "p3_states": p3_states, "p3_holdout": p3_holdout, "p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_changes": p5_changes, "p5_table": p5_table, "p5_fields": p5_fields, "p5_gone": p5_gone, "p5_kept": p5_kept}
 
 
 _GRID = """
@@ -179,8 +212,26 @@ UNION SELECT cell_id FROM n WHERE len >= 6 UNION SELECT cell_id FROM k WHERE val
 UNION SELECT cell_id FROM r WHERE weight < 0 OR (weight > 1 AND NOT isnan(weight))"""
 
 
+_FIELDS = """
+WITH h AS (SELECT DISTINCT feed, file_seq, file_id, line_no, body FROM header_records WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+v AS (SELECT feed, file_seq, file_id, line_no, unnest(json_keys(body)) AS field, body FROM h),
+t AS (SELECT feed, file_seq, file_id, field, CASE json_type(body, '$."' || field || '"') WHEN 'VARCHAR' THEN 'text' WHEN 'BIGINT' THEN 'whole number'
+  WHEN 'UBIGINT' THEN 'whole number' WHEN 'DOUBLE' THEN 'real number' WHEN 'BOOLEAN' THEN 'true/false' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' END AS kind FROM v),
+c AS (SELECT feed, file_seq, file_id, field, kind, count(*) AS n FROM t GROUP BY ALL),
+m AS (SELECT feed, file_seq, file_id, field, CASE WHEN count(*) FILTER (kind = 'whole number') > 0 AND count(*) FILTER (kind = 'real number') > 0 THEN 'real number'
+  ELSE arg_max(kind, n) FILTER (kind IS NOT NULL) END AS kind FROM c GROUP BY ALL),
+f AS (SELECT feed, file_seq, file_id, field, coalesce(kind, last_value(kind IGNORE NULLS) OVER (PARTITION BY feed, field ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS kind FROM m),
+o AS (SELECT feed, file_id, lag(file_id) OVER (PARTITION BY feed ORDER BY file_seq) AS earlier FROM (SELECT DISTINCT feed, file_seq, file_id FROM h))
+"""
+
+
 def oracle_sql():
     return {
+        "p5_fields": _FIELDS + "SELECT feed, file_id, field, kind FROM f",
+        "p5_gone": _FIELDS + """SELECT o.feed, o.file_id, a.field, CASE WHEN b.field IS NULL THEN 'gone' ELSE 'retyped' END AS change
+FROM o JOIN f a ON a.file_id = o.earlier LEFT JOIN f b ON b.file_id = o.file_id AND b.field = a.field WHERE b.field IS NULL OR a.kind <> b.kind""",
+        "p5_kept": _FIELDS + """SELECT feed, lines, kept FROM (SELECT feed, count(*) AS lines FROM h GROUP BY 1)
+JOIN (SELECT feed, count(*) FILTER (json_type(body, '$."' || field || '"') <> 'NULL') AS kept FROM v GROUP BY 1) USING (feed)""",
         "p4_found": _wrong_sql(),
         "p3_found": _GRID + "SELECT solset, ant, pol, chan, slot FROM x",
         "p3_states": _GRID + """,
