@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,43 @@ def select(table: Solutions, **wanted: object) -> Solutions:
     return table.put(df)
 
 
+#: Coordinates that are named in a predicate; more of them are joined.
+MOST_NAMED = 1000
+
+
+def chosen(known: np.ndarray, want: object) -> np.ndarray | None:
+    """The coordinates among ``known`` (in order) that ``want`` selects, by the rules of ``axis_rows``; None if it selects all."""
+    if want is None or (isinstance(want, (list, tuple)) and [x for x in want if x != ""] == []):
+        return None
+    text = known.dtype.kind == "U"
+    if isinstance(want, slice):
+        return known[want]
+    if isinstance(want, str) and text:
+        return known[[re.search(want, k) is not None for k in known.tolist()]]
+    if isinstance(want, Mapping):
+        lo, hi = want.get("min"), want.get("max")
+        first = 0 if lo is None else int(np.searchsorted(known, lo, "left"))
+        end = len(known) if hi is None else int(np.searchsorted(known, hi, "right"))
+        return known[first:end][:: int(want.get("step") or 1)]
+    members = list(want) if isinstance(want, (list, tuple)) else [want]
+    return known[np.isin(known, np.array([str(m) for m in members] if text else [float(m) for m in members]))]
+
+
+def pick(table: Solutions, axis: str, known: np.ndarray, want: object) -> Solutions:
+    """Rows on the selected coordinates of an axis whose coordinates are known, as a predicate on the rows; a selection that selects nothing keeps all."""
+    got = chosen(known, want)
+    if got is None or not len(got) or len(got) == len(known) or axis not in table.axes:
+        return table
+    first = int(np.searchsorted(known, got[0]))
+    ends = got[[0, -1]].tolist()
+    if np.array_equal(known[first : first + len(got)], got):  # a stretch of the axis
+        return table.put(table.df.filter(F.col(axis).between(*ends) if len(got) > 1 else F.col(axis) == ends[0]))
+    if len(got) <= MOST_NAMED:
+        return table.put(table.df.filter(F.col(axis).isin(got.tolist())))
+    kind = dict(table.df.dtypes)[axis]
+    return table.put(table.df.join(table.df.sparkSession.createDataFrame([(g,) for g in got.tolist()], f"`{axis}` {kind}"), axis, "left_semi"))
+
+
 def set_axis_values(table: Solutions, axis: str, new: Mapping[object, object]) -> Solutions:
     """Other names for coordinates; those that aren't listed stay."""
     kind = dict(table.df.dtypes)[axis]

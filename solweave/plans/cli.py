@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     store = Store(spark, a.store, "r" if a.info else "a")
     if a.info:
-        print(store.info(a.filter))
+        print(store.info(a.filter, a.verbose))
     elif a.delete:
         store.delete_table(a.delete)
     elif a.steps:

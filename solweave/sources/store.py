@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import uuid
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from solweave.model import Solutions
-from solweave.operators.cells import flagged_share
-from solweave.operators.selection import select
+from solweave.operators.selection import pick, select
 
 VERSION = "1.0"
 _NAME = re.compile(r"^[A-Za-z0-9_-]+$")
 
+#: Coordinates of an axis that are kept beside the table; those of a longer axis are looked up in the table.
+MOST_COORDINATES = 1_000_000
+
 
 class Store:
     """``root/<solset>/<table>/v-<id>`` holds the rows of a table, ``table.json`` beside it names the current version.
 
     A write goes to a new version and is switched to when it is complete, so a table may be read while it is
     rewritten from itself; the version before is kept until the next write. ``mode``: ``r`` reads, ``a`` also writes and creates.
+
+    Beside the rows stand the coordinates of each axis and the numbers of cells and of flagged ones, so selections become plain predicates on one scan
+    and reports read no rows. Rows are laid out by ranges of the leading axes, so these predicates pass over files and row groups.
     """
 
     def __init__(self, spark: SparkSession, root: str, mode: str = "r") -> None:
         if mode not in ("r", "a"):
             raise ValueError("mode is r or a")
         self.spark, self.root, self.mode = spark, root.rstrip("/"), mode
+        self._seen: dict[str, dict] = {}
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -110,7 +120,9 @@ class Store:
             raise FileExistsError(new)
         to.make_solset(new, self.side(name, "antenna"), self.side(name, "source"))
         for t in self.tables(name):
-            to.write(new, self.table(f"{name}/{t}"), note=f"copied from {name}/{t}")
+            to.write(new, self.table(f"{name}/{t}"))
+            meta = to._meta(f"{new}/{t}") | {"history": [*self._meta(f"{name}/{t}").get("history", []), self._dated(f"copied from {name}/{t}")]}
+            to._put(f"{new}/{t}/table.json", meta)
         return new
 
     def write_side(self, solset: str, side: str, df: DataFrame) -> None:
@@ -149,24 +161,84 @@ class Store:
         self._need(solset)
         version = f"v-{uuid.uuid4().hex}"
         old = self._get(f"{solset}/{table.name}/table.json")
-        lead = [table.axes[0]] if table.axes else []
-        table.df.sortWithinPartitions(*lead).write.parquet(f"{self.root}/{solset}/{table.name}/{version}")
-        meta = {"kind": table.kind, "axes": list(table.axes), "attrs": table.attrs, "version": version, "previous": old.get("version"), "history": old.get("history", [])}
+        path = f"{self.root}/{solset}/{table.name}/{version}"
+        df, axes, seen = table.df, list(table.axes), Observation()
+        if axes:
+            df = df.repartitionByRange(*axes[:2]).sortWithinPartitions(*axes)
+        bad = (F.col("weight") == 0) | F.col("val").isNull()
+        df.observe(seen, F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum(bad.cast("bigint")), F.lit(0)).alias("flagged")).write.parquet(path)
+        meta = {"kind": table.kind, "axes": axes, "attrs": table.attrs, "version": version, "previous": old.get("version"), "history": old.get("history", []), **seen.get}
+        known, meta["lengths"] = self._axes(self.spark.read.schema(table.df.schema).parquet(path), axes)
+        packed = io.BytesIO()
+        np.savez(packed, **known)
+        out = self._fs.create(self._path(f"{path}/_coordinates.npz"), True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        if note:
+            meta["history"] = [*meta["history"], self._dated(note)]
         self._put(f"{solset}/{table.name}/table.json", meta)
         if old.get("previous"):  # the last version but one; plans made before this write may still read the last
             self._delete(solset, table.name, old["previous"])
-        if note:
-            self.add_history(solset, table.name, note)
 
-    def table(self, address: str, **wanted: object) -> Solutions:
-        """The table at ``solset/table``, with a selection if given."""
+    def _axes(self, df: DataFrame, axes: Sequence[str]) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+        """The coordinates of each axis in order, and its length, in one job. Axes of more than ``MOST_COORDINATES`` or of other types than text and numbers are left out."""
+        kinds, parts = dict(df.dtypes), None
+        real, whole, text = ("double", "float"), ("int", "bigint", "smallint", "tinyint"), ("string",)
+        kept = [a for a in axes if kinds[a] in (*real, *whole, *text)]
+        for a in kept:
+            x = df.select(a).filter(F.col(a).isNotNull()).distinct().limit(MOST_COORDINATES + 1)
+            cols = [F.col(a).cast(t).alias(n) if kinds[a] in k else F.lit(None).cast(t).alias(n) for n, t, k in (("real", "double", real), ("whole", "bigint", whole), ("text", "string", text))]
+            one = x.select(F.lit(a).alias("axis"), *cols)
+            parts = one if parts is None else parts.unionByName(one)
+        known: dict[str, np.ndarray] = {}
+        if parts is not None:
+            got = parts.toArrow()
+            names = np.array(got["axis"].to_pylist(), dtype=str)
+            for a in kept:
+                col = "text" if kinds[a] in text else "real" if kinds[a] in real else "whole"
+                values = got[col].filter(pa.array(names == a))
+                known[a] = np.sort(np.array(values.to_pylist(), dtype=str) if col == "text" else values.to_numpy())
+        short = {a: c for a, c in known.items() if len(c) <= MOST_COORDINATES}
+        lengths = {a: len(short[a]) if a in short else df.select(a).distinct().count() for a in axes}
+        return short, lengths
+
+    def _known(self, solset: str, name: str, meta: dict) -> dict[str, np.ndarray]:
+        """The stored coordinates of a version; a version never changes, so they are read once."""
+        path = f"{self.root}/{solset}/{name}/{meta['version']}"
+        got = self._seen.setdefault(path, {})
+        if "axes" not in got:
+            stream = self._fs.open(self._path(f"{path}/_coordinates.npz"))
+            with np.load(io.BytesIO(bytes(stream.readAllBytes()))) as z:
+                got["axes"] = {a: z[a] for a in z.files}
+            stream.close()
+        return got["axes"]
+
+    def _meta(self, address: str) -> dict:
         solset, _, name = address.partition("/")
-        self._need(solset)
         meta = self._get(f"{solset}/{name}/table.json")
         if not meta:
+            self._need(solset)
             raise KeyError(f"no table {address}")
-        df = self.spark.read.parquet(f"{self.root}/{solset}/{name}/{meta['version']}")
+        return meta
+
+    def coordinates(self, address: str, axis: str) -> list:
+        """The coordinates of an axis, in order."""
+        solset, _, name = address.partition("/")
+        known = self._known(solset, name, self._meta(address))
+        return known[axis].tolist() if axis in known else [r[0] for r in self.table(address).axis(axis).orderBy("i").collect()]
+
+    def table(self, address: str, **wanted: object) -> Solutions:
+        """The table at ``solset/table``, with a selection if given."""
+        solset, _, name = address.partition("/")
+        meta = self._meta(address)
+        path = f"{self.root}/{solset}/{name}/{meta['version']}"
+        if "schema" not in self._seen.setdefault(path, {}):
+            self._seen[path]["schema"] = self.spark.read.parquet(path).schema  # a version never changes
+        df = self.spark.read.schema(self._seen[path]["schema"]).parquet(path)
         t = Solutions(df, tuple(meta["axes"]), meta["kind"], name, meta["attrs"])
+        known = self._known(solset, name, meta) if wanted else {}
+        for axis in [a for a in wanted if a in known]:
+            t = pick(t, axis, known[axis], wanted.pop(axis))
         return select(t, **wanted) if wanted else t
 
     def delete_table(self, address: str) -> None:
@@ -185,26 +257,42 @@ class Store:
             self._delete(solset, new)
         self._fs.rename(self._at(solset, name), self._at(solset, new))
 
+    @staticmethod
+    def _dated(entry: str) -> str:
+        return f"{datetime.now():%Y-%m-%d %H:%M:%S}: {entry}"
+
     def add_history(self, solset: str, name: str, entry: str) -> None:
-        meta = self._get(f"{solset}/{name}/table.json")
-        now = self.spark.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss') AS t").first().t
-        meta["history"] = [*meta.get("history", []), f"{now}: {entry}"]
+        meta = self._meta(f"{solset}/{name}")
+        meta["history"] = [*meta.get("history", []), self._dated(entry)]
         self._put(f"{solset}/{name}/table.json", meta)
 
     def history(self, address: str) -> str:
         solset, _, name = address.partition("/")
         return "\n".join(self._get(f"{solset}/{name}/table.json").get("history", []))
 
-    def info(self, pattern: str = "") -> str:
-        """A report on all tables: axes and their lengths, share of flagged or null cells, history."""
+    def info(self, pattern: str = "", verbose: bool = False) -> str:
+        """A report on all tables: antennas and directions, axes and their lengths, share of flagged or null cells, history.
+
+        ``verbose`` lists the coordinates of all axes, the positions and the attributes. Nothing is read but what stands beside the tables.
+        """
         out = []
         for s in self.solsets(pattern):
             out.append(f"Solution set '{s}'")
+            for side, vec in (("source", "dir"), ("antenna", "position")):
+                df = self.side(s, side)
+                if df is None:
+                    continue
+                rows = df.dropDuplicates(["name"]).orderBy("name").limit(MOST_COORDINATES).collect()
+                out.append(f"  {side}s: {', '.join(str(r.name) for r in rows)}")
+                if verbose:
+                    out += [f"    {r.name}: {'unknown' if r[vec] is None else ', '.join(f'{x:.6g}' for x in r[vec])}" for r in rows]
             for t in self.tables(s):
-                x = self.table(f"{s}/{t}")
-                share = flagged_share(x.df and x).first()
-                sizes = x.df.agg(*[F.countDistinct(a).alias(a) for a in x.axes]).first()
-                dims = ", ".join(f"{sizes[a]} {a}" for a in x.axes)
-                out.append(f"  {t} ({x.kind}): {dims}; {share.cells} cells, {share.flagged or 0:.3f}% flagged")
-                out += [f"    {h}" for h in self.history(f"{s}/{t}").split("\n") if h]
+                meta = self._meta(f"{s}/{t}")
+                dims = ", ".join(f"{meta['lengths'][a]} {a}" for a in meta["axes"])
+                cells = meta.get("cells", 0)
+                out.append(f"  {t} ({meta['kind']}): {dims}; {cells} cells, {100 * meta.get('flagged', 0) / max(cells, 1):.3f}% flagged")
+                if verbose:
+                    out += [f"    {a}: [{', '.join(map(str, self.coordinates(f'{s}/{t}', a)))}]" for a in meta["axes"]]
+                    out += [f"    {k} = {v}" for k, v in sorted(meta.get("attrs", {}).items())]
+                out += [f"    {h}" for h in meta.get("history", [])]
         return "\n".join(out)

@@ -45,9 +45,34 @@ def test_names_and_contents(store, spark):
         store.make_table("sol000", t.df.unionByName(t.df), ["ant", "pol", "time"], "amplitude")
 
 
+def test_selections_are_predicates_on_one_scan(store):
+    t = store.table("sol000/amplitude000", ant="CS.*", time={"min": 4, "max": 9}, pol=["YY", "none"])
+    plan = t.df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "PushedFilters: [IsNotNull" in plan and ">= 4)" in plan and plan.count("FileScan") == 1
+    assert t.df.count() == 12
+    assert store.table("sol000/amplitude000", ant="nothing").df.count() == 180  # selects nothing: keeps all
+    assert store.table("sol000/amplitude000", time=slice(-3, None)).df.agg(F.min("time")).first()[0] == 27
+    assert store.table("sol000/amplitude000", time={"min": 3, "step": 10}).df.select("time").distinct().count() == 3
+    assert store.table("sol000/amplitude000", time=[1, 5, 99], ant="RS001").df.count() == 4
+    assert store.coordinates("sol000/amplitude000", "ant") == ["CS001", "CS002", "RS001"] and store.coordinates("sol000/amplitude000", "time") == list(range(30))
+    text = store.info(verbose=True)
+    assert "ant: [CS001, CS002, RS001]" in text and "CS002: 10, 0, 0" in text and "antennas: CS001, CS002, RS001" in text
+
+
+def test_long_axes_are_looked_up(store, monkeypatch):
+    from solweave.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_COORDINATES", 5)
+    store.write("sol000", store.table("sol000/amplitude000"))
+    assert set(store._known("sol000", "amplitude000", store._meta("sol000/amplitude000"))) == {"ant", "pol"}
+    assert store.table("sol000/amplitude000", time={"min": 4, "max": 9}, ant="CS.*").df.count() == 24
+    assert store.coordinates("sol000/amplitude000", "time") == list(range(30))
+
+
 def test_copy(store, spark, tmp_path):
     other = Store(spark, str(tmp_path / "other"), "a")
     store.copy_solset("sol000", other, "copy")
+    assert [h.split(": ", 1)[1] for h in other.history("copy/phase000").split("\n")] == ["created", "copied from sol000/phase000"]
     assert other.tables("copy") == ["amplitude000", "phase000"] and other.table("copy/phase000").kind == "phase"
     with pytest.raises(FileExistsError):
         store.copy_solset("sol000", other, "copy")
