@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,46 @@ class Solutions:
             return self.df.groupBy(name).agg(F.min(f"{name}__i").alias("i"))
         return self.df.select(name).distinct().withColumn("i", (F.row_number().over(Window.orderBy(name)) - 1).cast("int"))
 
+    def axis_values(self, name: str, most: int = 1_000_000) -> list:
+        """The coordinates of an axis in order; more than ``most`` are refused."""
+        if name not in self.axes:
+            raise ValueError(f"{self.name} has no axis {name}")
+        rows = self.axis(name).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"axis {name} has more than {most} coordinates")
+        return [r[name] for r in sorted(rows, key=lambda r: r.i)]
+
+    def axis_length(self, name: str) -> int:
+        return self.df.select(name).distinct().count()
+
+    def axis_type(self, name: str) -> str:
+        return dict(self.df.dtypes)[name]
+
+    def __getattr__(self, name: str) -> list:
+        """``table.time`` gives the coordinates of the axis ``time``."""
+        if name.startswith("_") or name not in self.__dict__.get("axes", ()):
+            raise AttributeError(name)
+        return self.axis_values(name)
+
+    def grids(self, axes: Sequence[str]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+        """For each combination of the other coordinates these, and the values and weights on the grid of ``axes`` (in the table's order): missing cells are NaN with weight 0.
+
+        A group's cells are brought together by the cluster, and the driver holds one group at a time.
+        """
+        inner = [a for a in self.axes if a in axes]
+        keys = self.others(inner)
+        coords = {a: self.axis_values(a) for a in inner}
+        place = {a: {v: i for i, v in enumerate(c)} for a, c in coords.items()}
+        cell = F.struct(*inner, F.col("val").cast("double").alias("val"), F.col("weight").cast("double").alias("weight"))
+        groups = self.df.groupBy(*keys).agg(F.collect_list(cell).alias("cells"))
+        for row in groups.orderBy(*keys).toLocalIterator() if keys else groups.toLocalIterator():
+            shape = [len(coords[a]) for a in inner]
+            val, weight = np.full(shape, np.nan), np.zeros(shape)
+            for c in row.cells:
+                at = tuple(place[a][c[a]] for a in inner)
+                val[at], weight[at] = np.nan if c.val is None else c.val, c.weight or 0.0
+            yield {k: row[k] for k in keys} | coords, val, weight
+
     def fully_flagged(self, axis: str = "ant") -> DataFrame:
         """Coordinates at which every weight is 0."""
         return self.df.groupBy(axis).agg(F.max(F.abs("weight")).alias("w")).filter(F.col("w") == 0).select(axis)
@@ -77,7 +118,7 @@ class Solutions:
         grid = None
         for a in self.axes:
             col = self.df.select(a).distinct()
-            grid = col if grid is None else grid.join(F.broadcast(col) if a != self.axes[0] else col, how="cross")
+            grid = col if grid is None else grid.join(col, how="cross")  # the grid is the product; the planner weighs the sides
         plain = self.df.select(*self.axes, "val", "weight")
         full = grid.join(plain, list(self.axes), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
         return self.put(full)

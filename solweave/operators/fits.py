@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solweave.functions import grids
 from solweave.functions.scalar import LIGHT, TEC3_PHASE, TEC_PHASE, wrap
+from solweave.functions.unwrapping import unwrap_plane, unwrap_trend
 from solweave.model import Solutions, good
 
 #: The noise (SEFD) of low-band stations at 100 frequencies.
@@ -50,7 +52,7 @@ def refine(f: Callable[[np.ndarray], np.ndarray], centre: float, step: float, tu
 
 def _difference_of_pols(table: Solutions) -> DataFrame:
     """(axes without pol, phi, weight): RR - LL, or XX - YY; flagged where either is."""
-    pols = [r.pol for r in table.df.select("pol").distinct().limit(5).collect()]  # a handful
+    pols = table.axis_values("pol", 1000)
     one, two = ("RR", "LL") if "RR" in pols else ("XX", "YY")
     keys = table.others(["pol"])
     pick = lambda p, c: F.max(F.when(F.col("pol") == p, F.col(c)))
@@ -209,7 +211,7 @@ def align_polarisations(table: Solutions, min_freq: float = 0.0, ref_ant: str =
         return pd.DataFrame(np.array(rows).reshape(-1, 2), columns=["d0", "d1"])
 
     fitted = packed.withColumn("r", fit("s.f", "s.m", "s.cv", "s.n")).select(*keys, "r.d0", "r.d1")
-    pols = sorted(r.pol for r in table.df.select("pol").distinct().limit(5).collect())
+    pols = table.axis_values("pol", 1000)
     second = "LL" if "RR" in pols else "YY"
     x = table.df.join(fitted, keys, "left")
     is_ref = F.col("ant") == ref_ant if ref_ant else F.lit(False)
@@ -245,11 +247,11 @@ def simplex(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, scale: np.
     return pts[val.argmin()]
 
 
-def structure_pairs(table: Solutions, antennas: DataFrame, ant: str = "CS", ndiv: int = 1) -> DataFrame:
+def structure_pairs(table: Solutions, antennas: DataFrame, ant: str = "CS", ndiv: int = 1, unwrap: bool = False) -> DataFrame:
     """(ant1, ant2, part, dist, var, n): scatter over time of the phase difference of each pair of core stations, scaled to 150 MHz.
 
-    Polarisations are combined as unit vectors (a cell counts if the first two are unflagged), differences are wrapped around their circular mean and
-    averaged over frequency; the first times beyond a multiple of ``ndiv`` are dropped and the rest cut in ``ndiv`` parts. A cell is
+    Polarisations are combined as unit vectors (a cell counts if the first two are unflagged), differences are wrapped around their circular mean (with ``unwrap``,
+    the phases of each station are unwrapped over frequency and time instead: its plane in one task) and averaged over frequency; the first times beyond a multiple of ``ndiv`` are dropped and the rest cut in ``ndiv`` parts. A cell is
     paired with those of the other matching stations, of which an array has a hundred at most.
     """
     keys = [a for a in table.axes if a != "pol"]
@@ -259,6 +261,8 @@ def structure_pairs(table: Solutions, antennas: DataFrame, ant: str = "CS", ndiv
         x = x.filter((F.col("weight") != 0) & (F.col("k") > 0)).select(*keys, F.atan2("im", "re").alias("val"))
     else:
         x = x.filter((F.col("weight") != 0) & F.col("val").isNotNull()).select(*keys, "val")
+    if unwrap:
+        x = _unwrapped(x, table)
     times = x.select("time").distinct()
     n = times.count()
     per = max(1, n // ndiv)
@@ -271,7 +275,8 @@ def structure_pairs(table: Solutions, antennas: DataFrame, ant: str = "CS", ndiv
     b = x.select(*on, F.col("ant").alias("ant2"), F.col("val").alias("v2"))
     d = a.join(b, on).filter(F.col("ant1") < F.col("ant2")).withColumn("d", F.col("v1") - F.col("v2"))
     centre = d.groupBy("ant1", "ant2").agg(F.atan2(F.avg(F.sin("d")), F.avg(F.cos("d"))).alias("c"))
-    d = d.join(centre, ["ant1", "ant2"]).withColumn("d", wrap(F.col("d") - F.col("c")))
+    if not unwrap:
+        d = d.join(centre, ["ant1", "ant2"]).withColumn("d", wrap(F.col("d") - F.col("c")))
     line = d.groupBy("ant1", "ant2", "part", "time").agg(F.avg("d").alias("d"))
     nu = x.agg(F.avg(F.col("freq").cast("double")).alias("nu")).first().nu if "freq" in keys else 150e6
     var = line.groupBy("ant1", "ant2", "part").agg((F.var_pop("d") * (nu / 150e6) ** 2).alias("var"), F.count(F.lit(1)).alias("n"))
@@ -281,6 +286,27 @@ def structure_pairs(table: Solutions, antennas: DataFrame, ant: str = "CS", ndiv
     return var.join(p, "ant1").join(q, "ant2").select("ant1", "ant2", "part", F.sqrt(gap).alias("dist"), "var", "n")
 
 
+def _unwrapped(x: DataFrame, table: Solutions) -> DataFrame:
+    """Phases of each station (of the columns left in ``x``) around their circular mean, unwrapped over frequency and time."""
+    plane = [a for a in ("freq", "time") if a in x.columns]
+    keys = [c for c in x.columns if c not in (*plane, "val")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        centre = np.angle(np.exp(1j * pdf["val"].to_numpy()).mean())
+        pdf["val"] = _wrap(pdf["val"].to_numpy() - centre)
+        val, place = grids.cube(pdf, plane, "val")
+        if val.ndim == 2:
+            flags = np.isnan(val)
+            val = unwrap_plane(np.where(flags, 0.0, val), flags)
+        else:
+            val = unwrap_trend(val)
+        pdf["val"] = val[place]
+        return pdf
+
+    kinds = dict(x.dtypes)
+    return x.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in x.columns))
+
+
 def structure_function(pairs: DataFrame) -> DataFrame:
     """(part, beta, offset, r_diff, pairs): the power law of the scatter over distance, and the distance at which it is 1."""
     x = pairs.filter((F.col("var") > 0) & (F.col("dist") > 0)).select("part", F.log10("var").alias("y"), F.log10("dist").alias("x"))

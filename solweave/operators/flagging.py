@@ -234,8 +234,8 @@ def extend_flags(table: Solutions, axes: Sequence[str], size: Sequence[int], per
 def flag_stations_relative(table: Solutions, sigma: float = 5.0, threshold: float = 0.5, skip: Sequence[str] = (), skip_international: bool = False) -> Solutions:
     """Flag stations (of amplitudes) that stand out from the others in too many cells.
 
-    In each cell the mean and population deviation over unflagged stations are taken; a station whose share of unflagged cells further than ``sigma``
-    deviations away is above ``threshold`` is flagged altogether. Stations in ``skip``, and with ``skip_international`` those that are neither core nor
+    In each cell the mean and population deviation over unflagged stations are taken; a station is flagged altogether if its unflagged cells further than ``sigma``
+    deviations away are more than the share ``threshold`` of all its cells, flagged ones included. Stations in ``skip``, and with ``skip_international`` those that are neither core nor
     remote, are left alone.
     """
     if not table.is_amplitude:
@@ -244,7 +244,7 @@ def flag_stations_relative(table: Solutions, sigma: float = 5.0, threshold: floa
     x = table.df.withColumn("__v", good())
     stats = x.groupBy(*keys).agg(F.avg("__v").alias("__m"), F.stddev_pop("__v").alias("__s"))
     x = with_stats(x, keys, stats).withColumn("__bad", F.abs(F.col("__v") - F.col("__m")) > sigma * F.col("__s"))
-    share = x.filter(F.col("__v").isNotNull()).groupBy("ant").agg(F.avg(F.col("__bad").cast("double")).alias("__share"))
+    share = x.groupBy("ant").agg(F.avg(F.coalesce(F.col("__bad"), F.lit(False)).cast("double")).alias("__share"))
     dead = share.filter(F.col("__share") > threshold)
     if skip:
         dead = dead.filter(~F.col("ant").isin(list(skip)))
@@ -261,7 +261,7 @@ def flag_stations_residual(
 
     Phases are taken off their circular mean; amplitudes as decimal logarithms. The deviation is the root of the weighted mean square, at most ``max_std``
     (0.1 for phases, 0.01 for amplitudes); it is taken anew without the bad cells up to ``cycles`` times. A share of bad cells above ``most`` flags
-    all, below ``least`` none. Only sums go between cells, so groups of any size are shared by tasks. Null values are flagged first.
+    all, below ``least`` none. A fully flagged polarisation flags all of its station. Only sums go between cells, so groups of any size are shared by tasks. Null values are flagged first.
     """
     keys = [a for a in table.axes if a not in ("time", "freq", "t")]
     cap = max_std if max_std is not None else (0.1 if table.is_phase else 0.01)
@@ -285,7 +285,7 @@ def flag_stations_residual(
     share = x.groupBy(*keys).agg(F.try_divide(F.sum(F.col("__bad").cast("double")), F.sum((F.col("weight") > 0).cast("double"))).alias("__share"))
     x = with_stats(x, keys, share)
     new = F.when(F.col("__share") > most, 0.0).when(F.col("__share") < least, F.col("weight")).when(F.col("__bad"), 0.0).otherwise(F.col("weight"))
-    return table.put(x.withColumn("weight", new))
+    return table.put(_all_pols(table, x.withColumn("weight", new)))
 
 
 def export_station_flags(source: Solutions, target: Solutions) -> Solutions:

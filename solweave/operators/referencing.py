@@ -41,6 +41,11 @@ def auto_reference(table: Solutions, antennas: DataFrame, nearest: int = 10) ->
     return best.ant
 
 
+def least_flagged(table: Solutions) -> str:
+    """The antenna with most unflagged cells; ties go to the name that sorts first."""
+    return table.df.groupBy("ant").agg(F.sum((F.col("weight") != 0).cast("bigint")).alias("n")).orderBy(F.desc("n"), "ant").first().ant
+
+
 def closest_antennas(table: Solutions, antennas: DataFrame) -> DataFrame:
     """(ant, ref): for each antenna of the table its nearest other one that isn't fully flagged; ties go to the name that sorts first.
 
@@ -99,7 +104,7 @@ def reference(
     if direction:
         src = src.filter(F.col("dir") == direction)
     if "pol" in on:
-        pols = [r.pol for r in table.df.select("pol").distinct().limit(5).collect()]  # a handful
+        pols = table.axis_values("pol", 1000)
         if one_pol or len(pols) == 4:
             keep = "XX" if "XX" in pols else "RR" if "RR" in pols else sorted(pols)[0]
             src, on = src.filter(F.col("pol") == keep), [a for a in on if a != "pol"]

@@ -182,7 +182,7 @@ def interpolate(table: Solutions, axis: str, step: str | float, current: str | f
 
     # Grid points and cells of a group in one order: each point looks back and ahead for its brackets.
     groups = df.select(*keys).distinct()
-    wanted = groups.join(F.broadcast(points), how="cross") if keys else points
+    wanted = groups.join(points, how="cross") if keys else points  # every group gets every point; the planner weighs the sides
     none = F.lit(None).cast("double")
     both = df.select(*keys, "__x", "__v", "weight", "__ok", F.lit(False).alias("__g")).unionByName(
         wanted.select(*keys, F.col("g").alias("__x"), none.alias("__v"), none.alias("weight"), F.lit(False).alias("__ok"), F.lit(True).alias("__g"))

@@ -19,7 +19,7 @@ from solweave.operators import cells, fits, flagging, plotting, referencing, smo
 from solweave.operators import residuals as _residuals
 from solweave.sources.store import Store
 
-log = logging.getLogger(__name__)
+log_ = logging.getLogger(__name__)
 
 #: Operations by name: (function, how its result is stored).
 OPERATIONS: dict[str, Callable[..., object]] = {}
@@ -36,9 +36,8 @@ def operation(name: str) -> Callable[[Callable], Callable]:
 
 
 def parse(text: str) -> dict[str, dict[str, str]]:
-    """Sections in order; options before the first one are global (under ``_global``). ``#`` and ``;`` start comments."""
+    """Sections in order; options before the first one are global (under ``_global``). Options are in lower case, as their case doesn't matter. ``#`` and ``;`` start comments."""
     p = configparser.ConfigParser(inline_comment_prefixes=("#", ";"), interpolation=None, strict=False)
-    p.optionxform = str
     p.read_string("[_global]\n" + text)
     return {s: dict(p.items(s)) for s in p.sections()}
 
@@ -67,6 +66,7 @@ def value(text: str) -> object:
 
 def selection_of(axis: str, step: dict[str, str], common: dict[str, str]) -> object:
     """The selection of an axis: a step's own before a global one; lists, regular expressions, ranges and steps."""
+    axis = axis.lower()
     for options in (step, common):
         if axis in options:
             return value(options[axis])
@@ -85,7 +85,7 @@ def run(text: str, store: Store) -> list[tuple[str, str, float]]:
     for name, step in sections.items():
         op = OPERATIONS.get(step.get("operation", name).upper())
         if op is None:
-            log.error("unknown operation in step %s: %s", name, step.get("operation"))
+            log_.error("unknown operation in step %s: %s", name, step.get("operation"))
             continue
         wanted = words(step.get("soltab", common.get("soltab", "")))
         for address in [f"{s}/{t}" for s in store.solsets() for t in store.tables(s)]:
@@ -103,7 +103,7 @@ def run(text: str, store: Store) -> list[tuple[str, str, float]]:
                     store.write(solset, out, note=f"{step.get('operation', name).upper()} {options}")
                 done.append((name, address, time.monotonic() - began))
             except (ValueError, KeyError, RuntimeError) as e:
-                log.error("step %s on %s: %s", name, address, e)
+                log_.error("step %s on %s: %s", name, address, e)
     return done
 
 
@@ -115,16 +115,16 @@ def _merge(table: Solutions, part: Solutions) -> Solutions:
 
 
 def _options(op: Callable, step: dict[str, str], name: str) -> dict[str, object]:
-    known = [p for p in inspect.signature(op).parameters if p not in ("store", "solset", "table")]
+    known = {p.lower(): p for p in inspect.signature(op).parameters if p not in ("store", "solset", "table")}
     out = {}
     for k, v in step.items():
         if k in ("operation", "soltab") or k.split(".")[0] in ("ant", "pol", "dir", "freq", "time"):
             continue
         if k in known:
-            out[k] = value(v)
+            out[known[k]] = value(v)
         else:
             near = difflib.get_close_matches(k, known, 1)
-            log.warning("step %s: unknown option %s%s", name, k, f"; did you mean {near[0]}?" if near else "")
+            log_.warning("step %s: unknown option %s%s", name, k, f"; did you mean {known[near[0]]}?" if near else "")
     return out
 
 
@@ -150,16 +150,21 @@ operation("DUPLICATE")(lambda store, solset, table, soltabOut=None, overwrite=Fa
 operation("DELETEAXIS")(lambda store, solset, table, axisDelete=None, fromCell="first": [cells.delete_axis(table, axisDelete, fromCell)])
 operation("REPLICATEONAXIS")(lambda store, solset, table, axisReplicate=None, fromCell="first", updateWeights=False: [cells.replicate_on_axis(table, axisReplicate, fromCell, updateWeights)])
 operation("FLAG")(lambda store, solset, table, axesToFlag=None, order=None, maxCycles=5, maxRms=5.0, maxRmsNoise=0.0, fixRms=0.0, fixRmsNoise=0.0, windowNoise=11, replace=False, preflagzeros=False, mode="smooth", refAnt="": [
-    flagging.flag(_referenced(store, solset, table, refAnt), _list(axesToFlag), _list(order), maxCycles, maxRms, maxRmsNoise, fixRms, fixRmsNoise, windowNoise, replace, preflagzeros, mode)])
+    _judged(table, flagging.flag(_referenced(store, solset, table, refAnt, "ignore"), _list(axesToFlag), _list(order), maxCycles, maxRms, maxRmsNoise, fixRms, fixRmsNoise, windowNoise, replace, preflagzeros, mode), replace)])
 operation("FLAGEXTEND")(lambda store, solset, table, axesToExt=None, size=None, percent=50.0, maxCycles=3: [flagging.extend_flags(table, _list(axesToExt), _list(size), percent, maxCycles)])
-operation("SMOOTH")(lambda store, solset, table, axesToSmooth=None, size=None, mode="runningmedian", degree=1, replace=False, log=False, refAnt="": [smoothing.smooth(_referenced(store, solset, table, refAnt), _list(axesToSmooth), _list(size), mode, degree, replace, log)])
+operation("SMOOTH")(lambda store, solset, table, axesToSmooth=None, size=None, mode="runningmedian", degree=1, replace=False, log=False, refAnt="": [smoothing.smooth(_referenced(store, solset, table, refAnt, "auto"), _list(axesToSmooth), _list(size), mode, degree, replace, log)])
 operation("REFERENCE")(lambda store, solset, table, refAnt="", refDir="", preservePol=False: [referencing.reference(table, _known(table, "ant", refAnt), _known(table, "dir", refDir), store.side(solset, "antenna"), store.side(solset, "source"), bool(preservePol))])
 operation("RESIDUALS")(lambda store, solset, table, soltabsToSub=None, ratio=False: [_residuals.residuals(table, _sub(store, solset, soltabsToSub), ratio)])
 operation("INTERPOLATE")(lambda store, solset, table, outsoltab=None, axisToRegrid=None, newdelta=None, delta="", maxFlaggedWidth=0, log=False: [
     replace(smoothing.interpolate(table, axisToRegrid, newdelta, delta or "", maxFlaggedWidth, log), name=outsoltab or table.name)])
-operation("TEC")(lambda store, solset, table, soltabOut="tec000", refAnt="", maxResidualFlag=2.5, maxResidualProp=1.0, sensitivity=None: [fits.tec(table, refAnt or "", maxResidualFlag, maxResidualProp, _pairs(sensitivity), name=soltabOut)])
-operation("FARADAY")(lambda store, solset, table, soltabOut="rotationmeasure000", refAnt="", maxResidual=1.0: [fits.faraday(table, refAnt or "", maxResidual, soltabOut)])
-operation("POLALIGN")(lambda store, solset, table, soltabOut="phasediff", minFreq=0.0, refAnt="": [fits.align_polarisations(table, minFreq, refAnt or "", soltabOut)])
+operation("TEC")(lambda store, solset, table, soltabOut="tec000", refAnt="", maxResidualFlag=2.5, maxResidualProp=1.0, sensitivity=None: [fits.tec(*_fixed(store, solset, table, refAnt), maxResidualFlag, maxResidualProp, _pairs(sensitivity), name=soltabOut)])
+operation("FARADAY")(lambda store, solset, table, soltabOut="rotationmeasure000", refAnt="", maxResidual=1.0: [fits.faraday(*_fixed(store, solset, table, refAnt), maxResidual, soltabOut)])
+
+
+@operation("POLALIGN")
+def _polalign(store, solset, table, soltabOut="phasediff", minFreq=0.0, refAnt=""):
+    table, name = _fixed(store, solset, table, refAnt)
+    return [fits.align_polarisations(referencing.reference(table, name or None), minFreq, name, soltabOut)]
 
 
 @operation("CLOCKTEC")
@@ -172,9 +177,9 @@ def _flagstation(store, solset, table, mode="relative", minFlaggedFraction=0.0,
     cap = maxStddev if maxStddev and maxStddev > 0 else None
     if mode == "resid":
         if refAnt and not table.is_phase:
-            log.warning("only phases are referenced: refAnt is ignored for %s", table.name)
+            log_.warning("only phases are referenced: refAnt is ignored for %s", table.name)
             refAnt = ""
-        done = flagging.flag_stations_residual(_referenced(store, solset, table, "closest" if refAnt == "nearest" else refAnt), minFlaggedFraction, maxFlaggedFraction, nSigma, cap)
+        done = flagging.flag_stations_residual(_referenced(store, solset, table, "closest" if refAnt == "nearest" else refAnt, "first"), minFlaggedFraction, maxFlaggedFraction, nSigma, cap)
         out = table.put(table.df.drop("weight").join(done.df.select(*table.axes, "weight"), list(table.axes)))
     elif mode == "bandpass":
         out = flagging.flag_stations_bandpass(table, cap, maxFlaggedFraction, nSigma, amp_range=_list(ampRange) or None, least=minFlaggedFraction, skip=_list(skipAnts), skip_international=skipInternational, telescope=telescope)
@@ -204,17 +209,40 @@ def _directions(store, solset, table, interp_dirs=None, soltabOut=None, prefix="
 
 
 @operation("STRUCTURE")
-def _structure(store, solset, table, refAnt="", ndiv=1):
-    pairs = fits.structure_pairs(_referenced(store, solset, table, refAnt), store.side(solset, "antenna"), ndiv=ndiv)
+def _structure(store, solset, table, doUnwrap=False, refAnt="", plotName="", ndiv=1):
+    table = _referenced(store, solset, table, refAnt or ("auto" if doUnwrap else ""), "auto")
+    pairs = fits.structure_pairs(table, store.side(solset, "antenna"), ndiv=ndiv, unwrap=doUnwrap)
+    if plotName:
+        pairs.write.mode("overwrite").parquet(f"{store.root}/{solset}/_plots/{plotName}")
     for r in fits.structure_function(pairs).collect():  # a row per part
         store.add_history(solset, table.name, f"STRUCTURE part {r.part}: beta={r.beta:.3f}, R_diff={r.r_diff:.3f} m")
     return []
 
 
 @operation("PLOT")
-def _plot(store, solset, table, axesInPlot=None, axisInTable="", axisInCol="", axisDiff="", log="", plotFlag=False, doUnwrap=False, prefix="plot"):
-    rows = plotting.plot_rows(table, _list(axesInPlot), axisInTable or "", axisInCol or "", axisDiff or "", bool(log), plotFlag, doUnwrap)
-    rows.write.mode("overwrite").parquet(f"{store.root}/{solset}/_plots/{prefix}-{table.name}")
+def _plot(store, solset, table, axesInPlot=None, axisInTable="", axisInCol="", axisDiff="", NColFig=0, figSize=None, markerSize=2, minmax=None, log="", plotFlag=False, doUnwrap=False, refAnt="", refDir="", soltabsToAdd=None, makeAntPlot=False, makeMovie=False, prefix=""):
+    """Points for any tool, under ``_plots``; drawn beside them where matplotlib is at hand. The files are a film's frames, in the order of their names."""
+    if soltabsToAdd:
+        log_.warning("soltabsToAdd is ignored")
+    if makeAntPlot and _list(axesInPlot) != ["ant"]:
+        raise ValueError("makeAntPlot needs axesInPlot = [ant]")
+    table = _referenced(store, solset, table, refAnt, "auto")
+    if refDir:
+        names = table.axis_values("dir")
+        if refDir != "center" and refDir not in names:
+            log_.error("no direction %s: using %s", refDir, names[min(1, len(names) - 1)])
+            refDir = names[min(1, len(names) - 1)]
+        table = referencing.reference(table, None, refDir, sources=store.side(solset, "source"))
+    limits = tuple(float(x) for x in _list(minmax)) or None
+    rows = plotting.plot_rows(table, _list(axesInPlot), axisInTable or "", axisInCol or "", axisDiff or "", "Z" in (log or ""), plotFlag, doUnwrap, limits, store.side(solset, "antenna") if makeAntPlot else None)
+    path = f"{store.root}/{solset}/_plots/{prefix or 'plot'}-{table.name}"
+    rows.write.mode("overwrite").parquet(path)
+    kept = store.spark.read.parquet(path)
+    try:
+        for f in [r.file for r in kept.select("file").distinct().orderBy("file").limit(1000).collect()] if "://" not in path else []:
+            plotting.render(kept.filter(F.col("file") == f), f"{path}/_{f}.png", _list(figSize) or (0, 0), markerSize, NColFig)
+    except RuntimeError as e:
+        log_.info("%s", e)
     return []
 
 
@@ -225,8 +253,44 @@ def _beam(store, solset, table):
     return [fill_beam(table)]
 
 
-def _referenced(store: Store, solset: str, table: Solutions, ref: str | None) -> Solutions:
-    return referencing.reference(table, _known(table, "ant", ref), antennas=store.side(solset, "antenna")) if ref else table
+def _reference_name(store: Store, solset: str, table: Solutions, ref: str | None, missing: str) -> str | None:
+    """The reference to use. One that isn't in the table is ``ignore``d, looked for (``auto``), replaced by the ``first`` antenna, or an ``error``."""
+    if not ref or ref in ("auto", "closest", "center") or table.df.filter(F.col("ant") == ref).limit(1).count():
+        return ref or None
+    if missing == "error":
+        raise ValueError(f"{table.name} has no antenna {ref}")
+    use = {"ignore": None, "auto": "auto", "first": table.axis_values("ant")[0] if missing == "first" else None}[missing]
+    log_.warning("no antenna %s in %s: %s", ref, table.name, f"using {use}" if use else "not referenced")
+    return use
+
+
+def _referenced(store: Store, solset: str, table: Solutions, ref: str | None, missing: str = "error") -> Solutions:
+    """The table relative to an antenna; other kinds than phases and what adds up to them, and tables without antennas, stay as they are."""
+    if not ref:
+        return table
+    if "ant" not in table.axes or not (table.is_phase or table.kind in ("tec", "clock", "tec3rd", "rotationmeasure")):
+        log_.error("%s can't be referenced to an antenna: not referenced", table.name)
+        return table
+    ref = _reference_name(store, solset, table, ref, missing)
+    return referencing.reference(table, ref, antennas=store.side(solset, "antenna")) if ref else table
+
+
+def _fixed(store: Store, solset: str, table: Solutions, ref: str | None) -> tuple[Solutions, str]:
+    """The table and the name of its reference antenna, looked for unless it is given and there; none after referencing to the closest ones."""
+    ref = _reference_name(store, solset, table, ref or "auto", "auto")
+    antennas = store.side(solset, "antenna")
+    if ref == "closest":
+        return referencing.reference(table, ref, antennas=antennas), ""
+    if ref == "auto":
+        ref = referencing.auto_reference(table, antennas) if antennas is not None else referencing.least_flagged(table)
+    return table, ref
+
+
+def _judged(table: Solutions, flagged: Solutions, replaced: bool) -> Solutions:
+    """The flags of values that were referenced for the judgement; the stored values stay unless they were to be replaced."""
+    if replaced:
+        return flagged
+    return table.put(table.df.drop("weight").join(flagged.df.select(*table.axes, "weight"), list(table.axes)))
 
 
 def _known(table: Solutions, axis: str, ref: str | None) -> str | None:

@@ -282,7 +282,7 @@ o AS (SELECT c.*, abs(i + a) AS p, abs(j + b) AS q FROM c, range(-1, 2) r1(a), r
 q AS (SELECT o.ant, o.i, o.j, sum(d.bad) / 15 AS share FROM o JOIN c d ON d.ant = o.ant AND d.i = CASE WHEN p >= o.ni THEN 2 * (o.ni - 1) - p ELSE p END AND d.j = CASE WHEN q >= o.nj THEN 2 * (o.nj - 1) - q ELSE q END GROUP BY 1, 2, 3)
 SELECT ant, freq, time, {R('val')} AS val, CASE WHEN share > 0.4 + 1e-12 THEN 0.0 ELSE weight END AS weight FROM c JOIN q USING (ant, i, j) WHERE val IS NOT NULL""")
 _add("flagstation_relative", lambda s, d: flagging.flag_stations_relative(amp(s, d), 1.0, 0.3, skip=["CS0004"]), A + f""", g AS (SELECT pol, time, avg(val) FILTER (weight <> 0) AS m, stddev_pop(val) FILTER (weight <> 0) AS sd FROM li_amp GROUP BY 1, 2),
-b AS (SELECT ant, avg((abs(val - m) > 1.0 * sd)::INT) AS share FROM li_amp JOIN g USING (pol, time) WHERE weight <> 0 GROUP BY 1)
+b AS (SELECT ant, avg(coalesce(weight <> 0 AND abs(val - m) > 1.0 * sd, FALSE)::INT) AS share FROM li_amp LEFT JOIN g USING (pol, time) GROUP BY 1)
 SELECT ant, pol, time, {R('val')} AS val, CASE WHEN share > 0.3 AND ant <> 'CS0004' THEN 0.0 ELSE weight END AS weight FROM li_amp LEFT JOIN b USING (ant)""")
 
 
@@ -297,7 +297,29 @@ SELECT ant, freq, time, {R('val')} AS val, CASE WHEN share > 0.3 THEN 0.0 WHEN s
 
 
 _add("flagstation_resid", lambda s, d: flagging.flag_stations_residual(ph(s, d), 0.02, 0.3, 2.0, 1.5, cycles=3), _resid_sql(3))
-_add("flagstation_export", lambda s, d: flagging.export_station_flags(cells.clip(amp(s, d), ["time"], 10.0 if d else 0, mode="above").put(cells.clip(amp(s, d), ["time"], 9.0, mode="above").df.withColumn("weight", F.when(F.col("pol") == "A", 0.0).otherwise(F.col("weight")))), amp(s, d)),
+def _rows_of(x: Solutions, weights: Solutions) -> Solutions:
+    return x.put(x.df.drop("weight").join(weights.df.select(*x.axes, "weight"), list(x.axes)))
+
+
+def _flag_refant(s: SparkSession, d: str) -> Solutions:
+    t = _t("ev_time", "phase")(s, d)
+    return _rows_of(t, flagging.flag(referencing.reference(t, "CS0003"), ["time"], [0], cycles=1, max_rms=2.0))
+
+
+_add("flag_refant", _flag_refant, cte("ev_time") + f""", x AS (SELECT e.*, e.val - r.val AS y FROM ev_time e LEFT JOIN ev_time r ON r.ant = 'CS0003' AND r.time = e.time),
+q AS (SELECT *, CASE WHEN y IS NULL THEN 0 ELSE weight END AS w FROM x), c AS (SELECT ant, atan2(sum(w * sin(y)), sum(w * cos(y))) AS c FROM q GROUP BY 1),
+y AS (SELECT q.*, {wrapped('y - c')} AS z FROM q JOIN c USING (ant)), m AS (SELECT ant, median(z) FILTER (w > 0) AS m FROM y GROUP BY 1),
+o AS (SELECT y.*, abs({wrapped('z - m')}) AS o FROM y JOIN m USING (ant)), l AS (SELECT ant, 2.0 * 1.4826 * median(o) FILTER (w > 0) AS lim FROM o GROUP BY 1)
+SELECT ant, time, {R('val')} AS val, CASE WHEN lim > 0 AND o > lim THEN 0.0 ELSE w END AS weight FROM o JOIN l USING (ant)""")
+_NEAREST_ANT = """, n AS (SELECT a.name AS ant, arg_min(b.name, (a.x::DOUBLE - b.x) ** 2 + (a.y::DOUBLE - b.y) ** 2 + (a.z::DOUBLE - b.z) ** 2) AS ref
+  FROM antennas a JOIN antennas b ON a.name <> b.name WHERE a.name IN (SELECT ant FROM ev_time) AND b.name IN (SELECT ant FROM ev_time GROUP BY 1 HAVING max(weight) > 0) GROUP BY 1)"""
+_add("flagstation_nearest", lambda s, d: _rows_of(_t("ev_time", "phase")(s, d), flagging.flag_stations_residual(referencing.reference(_t("ev_time", "phase")(s, d), "closest", antennas=proxies.antennas(s, d)), 0.0, 0.9, 1.5, 9.0, cycles=1)),
+     cte("ev_time", "antennas") + _NEAREST_ANT + f""", x AS (SELECT e.*, e.val - r.val AS y FROM ev_time e LEFT JOIN n USING (ant) LEFT JOIN ev_time r ON r.ant = n.ref AND r.time = e.time),
+q AS (SELECT *, CASE WHEN y IS NULL THEN 0 ELSE weight END AS w FROM x), c AS (SELECT ant, atan2(sum(w * sin(y)), sum(w * cos(y))) AS c FROM q GROUP BY 1), y AS (SELECT q.*, {wrapped('y - c')} AS z FROM q JOIN c USING (ant)),
+l AS (SELECT ant, 1.5 * least(sqrt(sum(w * z * z) / nullif(sum(w), 0)), 9.0) AS lim FROM y GROUP BY 1), b AS (SELECT y.*, w > 0 AND abs(z) > lim AS bad FROM y JOIN l USING (ant)),
+s AS (SELECT ant, sum(bad::INT) / nullif(sum((w > 0)::INT), 0) AS share FROM b GROUP BY 1)
+SELECT ant, time, {R('val')} AS val, CASE WHEN share > 0.9 THEN 0.0 WHEN bad THEN 0.0 ELSE w END AS weight FROM b JOIN s USING (ant)""")
+_add("flagstation_export", lambda s, d: flagging.export_station_flags(cells.clip(amp(s, d), ["time"], 10.0, mode="above").put(cells.clip(amp(s, d), ["time"], 9.0, mode="above").df.withColumn("weight", F.when(F.col("pol") == "A", 0.0).otherwise(F.col("weight")))), amp(s, d)),
      A + f", k AS (SELECT ant, pol, CASE WHEN val > 9.0 OR pol = 'A' THEN 0.0 ELSE weight END AS w FROM li_amp), z AS (SELECT ant, pol FROM k GROUP BY 1, 2 HAVING max(w) = 0) SELECT ant, pol, time, {R('val')} AS val, CASE WHEN z.ant IS NOT NULL THEN 0.0 ELSE weight END AS weight FROM li_amp LEFT JOIN z USING (ant, pol)")
 _add("flagstation_bandpass", lambda s, d: flagging.flag_stations_bandpass(Solutions(evamp(s, d).df.withColumn("freq", F.col("freq") * 1e6 + 12e7), ("ant", "freq", "time"), "amplitude")))
 
@@ -398,8 +420,8 @@ def _import(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("import_parameters", _import, _EXP + f" SELECT 'pointing' AS dir, CASE WHEN ij = '0:0' THEN 'XX' ELSE 'YY' END AS pol, ant, time, {R('abs(a)')} AS val, 1.0::DOUBLE AS weight FROM g WHERE weight <> 0")
-_add("plot_rows", lambda s, d: plotting.plot_rows(ph(s, d), ["time"], colour="freq"), cte("ev_ph") + f""", r AS (SELECT *, val % (2 * {PI}) AS y FROM ev_ph), z AS (SELECT min(time) AS t0 FROM ev_ph)
-SELECT concat('ant-', ant) AS file, '' AS panel, colour, {R('(time - t0) / 3600')} AS x, {R(f'CASE WHEN weight <> 0 THEN CASE WHEN y < -{PI} THEN y + 2 * {PI} WHEN y > {PI} THEN y - 2 * {PI} ELSE y END END')} AS val, weight = 0 AS flagged, {R('-' + PI)} AS lo, {R(PI)} AS hi
+_add("plot_rows", lambda s, d: plotting.plot_rows(ph(s, d), ["time"], colour="freq"), cte("ev_ph") + f""", r AS (SELECT *, val % (2 * {PI}) AS y FROM ev_ph), z AS (SELECT min(time) AS t0, max(time) AS t1 FROM ev_ph)
+SELECT concat('ant-', ant) AS file, '' AS panel, colour, {R('(time - t0) / CASE WHEN t1 - t0 > 3600 THEN 3600 WHEN t1 - t0 > 60 THEN 60 ELSE 1 END')} AS x, NULL AS px, NULL AS py, {R(f'CASE WHEN weight <> 0 THEN CASE WHEN y < -{PI} THEN y + 2 * {PI} WHEN y > {PI} THEN y - 2 * {PI} ELSE y END END')} AS val, weight = 0 AS flagged, {R('-' + PI)} AS lo, {R(PI)} AS hi
 FROM (SELECT *, replace(printf('%.2E', freq), 'E+0', 'E') AS colour FROM r) q, z""".replace("SELECT *, replace(printf('%.2E', freq), 'E+0', 'E') AS colour", "SELECT *, concat(cast(freq / 1e8 as varchar), 'E8') AS colour"))
 _add("unwrap_phases", lambda s, d: frames.unwrap(_steps(s, d), "val", ["ant"], "time", "u").select("ant", "time", F.col("u").alias("val")), cte("ev_time") + f""", x AS (SELECT ant, time, {wrapped('20 * val')} AS v FROM ev_time),
 k AS (SELECT *, ceil((v - lag(v) OVER (PARTITION BY ant ORDER BY time) - {PI}) / (2 * {PI})) AS k FROM x)

@@ -45,7 +45,7 @@ def on_grid(table: Solutions, axis: str, grid: DataFrame, kind: str = "linear")
         return _spline_grid(table, axis, points, 2 if kind == "quadratic" else 3)
     cells = table.df.filter(F.col("val").isNotNull()).select(*keys, F.col(axis).cast("double").alias("x"), "val", "weight")
     groups = cells.select(*keys).distinct()
-    wanted = groups.join(F.broadcast(points), how="cross")
+    wanted = groups.join(points, how="cross")  # every group gets every point; the planner weighs the sides
     none = F.lit(None).cast("double")
     both = cells.withColumn("g", F.lit(False)).unionByName(wanted.select(*keys, F.col("g").alias("x"), none.alias("val"), none.alias("weight"), F.lit(True).alias("g")))
     cell = F.when(~F.col("g"), F.struct("x", "val", "weight"))

@@ -125,6 +125,42 @@ def test_steps(store):
     assert "CLIP" in store.history("sol000/amplitude000")
 
 
+def cells_of(store, name):
+    return {(r.ant, r.pol, r.time): (r.val, r.weight) for r in store.table(f"sol000/{name}").df.collect()}
+
+
+def test_flags_of_referenced_values_leave_the_values(store):
+    before = cells_of(store, "phase000")
+    runner.run("[f]\nOPERATION = flag\nSolTab = sol000/phase000\naxesToFLAG = time\norder = 5\nfixrms = 1\nRefAnt = CS002\n", store)
+    after = cells_of(store, "phase000")
+    assert {k: v for k, (v, _) in after.items()} == {k: v for k, (v, _) in before.items()}
+    assert {k[::2] for k, (_, w) in after.items() if w == 0} == {("CS001", 7)}
+
+
+def test_references_that_are_not_there(store):
+    before = cells_of(store, "phase000")
+    assert runner.run("[r]\noperation = REFERENCE\nsoltab = sol000/phase000\nrefAnt = XX999\n", store) == []  # an error
+    assert cells_of(store, "phase000") == before
+    runner.run("[f]\noperation = FLAGSTATION\nmode = resid\nsoltab = sol000/phase000\nrefAnt = XX999\n", store)  # the first antenna
+    assert {k[0] for k, (_, w) in cells_of(store, "phase000").items() if w} >= {"CS001"}
+    runner.run("[s]\noperation = SMOOTH\nsoltab = sol000/phase000\naxesToSmooth = time\nsize = 3\nrefAnt = XX999\n", store)  # looked for
+    means = store.table("sol000/phase000").df.filter("weight > 0").groupBy("ant").agg(F.max(F.abs("val")).alias("m"))
+    assert min(r.m for r in means.collect()) < 1e-9
+
+
+def test_nearest_reference_does_not_flag_everything(store):
+    runner.run("[f]\noperation = FLAGSTATION\nmode = resid\nsoltab = sol000/phase000\nrefAnt = nearest\n", store)
+    got = cells_of(store, "phase000")
+    assert {k[0] for k, (_, w) in got.items() if w == 0 and k[2] != 7} == set()
+    assert {v for k, (v, _) in got.items() if k[2] == 3} == {(10.03) / 7}
+
+
+def test_plot_step(store):
+    runner.run("[p]\noperation = PLOT\nsoltab = sol000/phase000\naxesInPlot = time\naxisInTable = ant\naxisInCol = pol\nrefAnt = CS002\nminmax = [0, 0]\nplotFlag = True\nprefix = x\n", store)
+    rows = store.spark.read.parquet(f"{store.root}/sol000/_plots/x-phase000")
+    assert rows.count() == 180 and rows.filter("panel = 'CS002'").agg(F.max(F.abs("val"))).first()[0] == 0
+
+
 def test_parser():
     s = runner.parse("a = 1 # x\n[one]\nb = [1, two, 3.5] ; y\nc.regexp = CS.*\n[two]\nc.minmaxstep = [1, 5, 2]\nd = False\n")
     assert list(s) == ["_global", "one", "two"] and runner.value(s["one"]["b"]) == [1, "two", 3.5]

@@ -71,7 +71,7 @@ def test_plot_rows(spark):
     t = Solutions.of(spark.createDataFrame(rows, "ant string, pol string, time double, val double, weight double"), ["ant", "pol", "time"])
     got = plotting.plot_rows(t, ["time"], colour="pol").collect()
     assert len(got) == 20 and {r.file for r in got} == {"ant-A", "ant-B"} and {r.colour for r in got} == {"XX", "YY"}
-    assert all((r.val is None) == (r.x == pytest.approx(2 / 3600)) for r in got)
+    assert all((r.val is None) == (r.x == 2.0) for r in got)
     diff = plotting.plot_rows(t, ["time"], panel="ant", diff="pol", show_flagged=True).collect()
     assert len(diff) == 10 and {r.val for r in diff} == {4.0} and {r.file for r in diff} == {"all"}
     ph = Solutions(t.df, t.axes, "phase")
@@ -79,6 +79,41 @@ def test_plot_rows(spark):
     assert len(un) == 10
 
 
+def test_plots_of_planes_places_and_broken_times(spark):
+    t0 = [float(i) for i in range(10)] + [5000.0 + i for i in range(10)] + [9000.0]
+    rows = [(a, x, 1e8 + f * 1e6, 0.7 * x + 0.3 * f, 1.0 if x else 0.0) for a in ("A", "B") for x in t0 for f in range(4)]
+    t = Solutions.of(spark.createDataFrame(rows, "ant string, time double, freq double, val double, weight double"), ["ant", "time", "freq"], "phase")
+    assert plotting.time_breaks(t) == [(9.0, 4991.0), (5009.0, 3991.0)]
+    x = sorted({r.x for r in plotting.plot_rows(t, ["time"], panel="ant", colour="freq").collect()})
+    left = 9000.0 - 4991.0 - 3991.0
+    assert x[9] * 3600 == pytest.approx(9) and x[10] * 3600 == pytest.approx(9 + left / 100) and x[-1] * 3600 == pytest.approx(left + 2 * left / 100)
+    plane = plotting.plot_rows(t.put(t.df.filter("time < 10")), ["time", "freq"], unwrap_phases=True, show_flagged=True).filter("file = 'ant-A' AND NOT flagged").collect()
+    off = {round(r.val - 0.7 * r.x - 0.3 * (r.y - 100), 6) for r in plane}
+    assert len(plane) == 36 and len(off) == 1
+    ants = spark.createDataFrame([("A", [1.0, 2.0, 3.0])], "name string, position array<float>")
+    got = plotting.plot_rows(t, ["ant"], antennas=ants, minmax=(0, 0)).filter("time" if False else "true").collect()
+    assert {(r.x, r.px, r.py) for r in got} == {("A", 2.0, -1.0), ("B", None, None)}
+    for bad in (["ant", "ant"], ["nope"], ["ant", "time", "freq"]):
+        with pytest.raises(ValueError):
+            plotting.plot_rows(t, bad)
+
+
+def test_axes_and_grids(spark):
+    rows = [("A", 2, 1.0, 1.0), ("A", 1, None, 1.0), ("B", 1, 3.0, 0.5)]
+    t = Solutions.of(spark.createDataFrame(rows, "ant string, time int, val double, weight double"), ["ant", "time"])
+    assert t.ant == ["A", "B"] and t.axis_values("time") == [1, 2] and t.axis_length("time") == 2 and t.axis_type("time") == "int"
+    with pytest.raises(AttributeError):
+        t.freq  # noqa: B018
+    with pytest.raises(ValueError):
+        t.axis_values("time", most=1)
+    got = list(t.grids(["time"]))
+    assert [g[0] for g in got] == [{"ant": "A", "time": [1, 2]}, {"ant": "B", "time": [1, 2]}]
+    np.testing.assert_array_equal(got[0][1], [np.nan, 1.0])
+    np.testing.assert_array_equal(got[1][2], [0.5, 0.0])
+    whole = list(t.grids(["ant", "time"]))
+    assert len(whole) == 1 and whole[0][1].shape == (2, 2)
+
+
 def test_medians_of_any_group(spark):
     rng = np.random.default_rng(0)
     rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 1001), ("d", 3000)) for v in rng.normal(size=n)] + [("e", 7.0)] * 500 + [("c", None), ("f", None)]
