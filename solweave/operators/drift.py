@@ -92,47 +92,109 @@ def read_object(body: str | None) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
+#: Different texts and figures that a task counts before it hands them on.
+HELD = 200_000
+
+
+class _Looks:
+    """Counts of what the values of each name and kind look like; texts are counted first and taken apart once each."""
+
+    def __init__(self) -> None:
+        self.texts: dict[str, dict[str, int]] = {}
+        self.rest: Counter = Counter()
+        self.held = 0
+
+    def add(self, name: str, own: str | None, v: object) -> None:
+        if own == "text":
+            seen = self.texts.setdefault(name, {})
+            if v in seen:
+                seen[v] += 1
+            else:
+                seen[v] = 1
+                self.held += 1
+        elif own is not None:
+            for family, trait in traits(v):
+                self.rest[name, own, family, trait] += 1
+
+    def rows(self) -> Iterator[tuple]:
+        for name, seen in self.texts.items():
+            for v, n in seen.items():
+                for family, trait in traits(v):
+                    self.rest[name, "text", family, trait] += n
+        for (name, own, family, trait), n in self.rest.items():
+            yield None, None, None, None, None, own, name, family, trait, n
+        self.__init__()
+
+
 def _scan(feed: str, seq: str, file_id: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts per batch: of kinds at each path of a file, and of traits of each field name and kind."""
+    """One row per thousand lines of a file, with its fields (path, kind) and the counts they come from; and counts of traits of each name and kind.
+
+    Lines come in the order of file, thousand and line; a line that occurs again is passed over.
+    """
+    names = ["feed", "seq", "file_id", "fields", "counts", "kind", "name", "family", "trait", "n"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[object, list[tuple[str, str]]] = {}
-
-        def looks_of(v: object) -> list[tuple[str, str]]:
-            if not isinstance(v, str):
-                return traits(v)
-            got = memo.get(v)
-            if got is None:
-                if len(memo) > 50_000:
-                    memo.clear()
-                got = memo[v] = traits(v)
-            return got
+        looks, group, last, found = _Looks(), None, None, {}
+
+        def packed() -> tuple:
+            """The row of the thousand that is complete."""
+            fields = [(path, _settled(kinds)) for path, kinds in found.items()]
+            counts = [(path, kind, n) for path, kinds in found.items() for kind, n in kinds.items()]
+            return (*group[:3], fields, counts, None, None, None, None, None)
 
         for b in batches:
-            kinds: Counter = Counter()
-            looks: Counter = Counter()
-            for f, s, i, body in zip(*(b[c].to_pylist() for c in (feed, seq, file_id, "__body")), strict=True):
-                found = read_object(body)
-                kinds[f, s, i, "", None] += found is not None
-                for name, v in (found or {}).items():
-                    own = kind_of(v)
-                    if own in ("list", "object"):
-                        for path, kind in set(_paths(v, name)):
-                            kinds[f, s, i, path, kind] += 1
-                    else:
-                        kinds[f, s, i, name, own] += 1
-                    for path, x in [(name, v), *_members(v, name)]:
-                        own = kind_of(x)
-                        for family, trait in looks_of(x):
-                            looks[path, own, family, trait] += 1
-            rows = [(*k, None, None, None, n) for k, n in kinds.items()] + [(None, None, None, None, kind, name, fam, tr, n) for (name, kind, fam, tr), n in looks.items()]
-            cols = zip(*rows, strict=True) if rows else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES, strict=True)], names=["feed", "seq", "file_id", "path", "kind", "name", "family", "trait", "n"])
+            out = []
+            for f, s, i, t, n, body in zip(*(b[c].to_pylist() for c in (feed, seq, file_id, "__thousand", "__line", "__body")), strict=True):
+                now = (f, s, i, t)
+                if now != group:
+                    if found:
+                        out.append(packed())
+                    group, last, found = now, None, {}
+                if n == last:
+                    continue
+                last, line = n, read_object(body)
+                if line is None:
+                    continue
+                found.setdefault("", {None: 0})[None] += 1
+                for name, v in line.items():
+                    own = _KIND.get(type(v), "object")
+                    kinds = found.setdefault(name, {})
+                    kinds[own] = kinds.get(own, 0) + 1
+                    looks.add(name, own, v)
+                    if own == "list" or own == "object":
+                        for path, kind in set(_paths(v, name)) - {(name, own)}:
+                            kinds = found.setdefault(path, {})
+                            kinds[kind] = kinds.get(kind, 0) + 1
+                        for path, x in _members(v, name):
+                            looks.add(path, kind_of(x), x)
+            if looks.held + len(looks.rest) > HELD:
+                out += looks.rows()
+            yield batch(out)
+        out = [packed()] if found else []
+        yield batch(out + list(looks.rows()))
 
     return run
 
 
-_SCAN_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+_KIND = {type(None): None, bool: "bool", str: "text", int: "whole", float: "real", list: "list", dict: "object"}
+
+
+def _settled(kinds: dict[str | None, int]) -> str | None:
+    """The kind of a field from the numbers of its values of each."""
+    if "whole" in kinds and "real" in kinds:
+        return "real"
+    known = [(n, k) for k, n in kinds.items() if k is not None]
+    return max(known)[1] if known else None
+
+
+_SCAN_TYPES = [
+    pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string())])),
+    pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("n", pa.int64())])), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(),
+]
 
 
 class Drift:
@@ -156,33 +218,43 @@ class Drift:
             known = known & F.col(c).isNotNull()
         rows = lines.filter(known).select(F.col(feed).cast("string").alias(feed), F.col(seq).cast("bigint").alias(seq), F.col(file_id).cast("bigint").alias(file_id), F.col(line_no).alias("__line"), F.col(body).alias("__body"))
         # A file's lines stay together, thousand by thousand.
-        rows = rows.withColumn("__thousand", F.floor(F.col("__line") / 1000)).repartition(file_id, "__thousand")
-        self.lines = rows.dropDuplicates([file_id, "__thousand", "__line"]).drop("__thousand")
-        types = "feed string, seq bigint, file_id bigint, path string, kind string, name string, family string, trait string, n bigint"
-        scanned = self.lines.mapInArrow(_scan(feed, seq, file_id), types)
-        self.scan = stage(scanned, "scan")
+        self.rows = rows.withColumn("__thousand", F.floor(F.col("__line") / 1000)).repartition(file_id, "__thousand")
+        in_order = self.rows.sortWithinPartitions(file_id, feed, seq, "__thousand", "__line")
+        types = (
+            "feed string, seq bigint, file_id bigint, fields array<struct<path:string,kind:string>>, counts array<struct<path:string,kind:string,n:bigint>>, "
+            "kind string, name string, family string, trait string, n bigint"
+        )
+        self.scan = stage(in_order.mapInArrow(_scan(feed, seq, file_id), types), "scan")
         self.files = stage(self._files(), "files")
         self.pairs = stage(self._pairs(), "pairs")
 
+    @property
+    def lines(self) -> DataFrame:
+        """Each line once."""
+        return self.rows.dropDuplicates([self.line_keys[2], "__thousand", "__line"]).drop("__thousand")
+
     def _files(self) -> DataFrame:
-        """One row per readable file: its fields as (path, kind)."""
-        of = self.scan.filter(F.col("feed").isNotNull())
-        counted = of.groupBy("feed", "seq", "file_id", "path", "kind").agg(F.sum("n").alias("n"))
-        count = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+        """One row per readable file: its fields as (path, kind), sorted."""
+        ids = ["feed", "seq", "file_id"]
+        parts = self.scan.filter(F.col("feed").isNotNull())
+        one = parts.groupBy(*ids).agg(F.count(F.lit(1)).alias("parts"), F.first("fields").alias("fields"))
+        # Files of more lines than a thousand are put together from their parts' counts.
+        many = parts.join(one.filter("parts > 1").select(*ids), ids, "left_semi").select(*ids, F.inline("counts"))
+        counted = many.groupBy(*ids, "path", "kind").agg(F.sum("n").alias("n"))
+        has = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)) > 0
         best = F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))
-        kind = F.when((count("whole") > 0) & (count("real") > 0), F.lit("real")).otherwise(best)
-        fields = counted.groupBy("feed", "seq", "file_id", "path").agg(kind.alias("kind"), F.sum("n").alias("n"))
-        readable = fields.filter((F.col("path") == "") & (F.col("n") > 0)).select("feed", "seq", "file_id")
-        fields = fields.filter(F.col("path") != "")
-        top = fields.filter(~F.col("path").contains(SEP))
-        deep = fields.filter(F.col("path").contains(SEP))
-        top = before(top, ["feed", "path"], "seq", F.col("kind"), "__earlier", F.floor(F.col("seq") / FILES), known=True)
-        top = top.withColumn("kind", F.coalesce("kind", "__earlier")).drop("__earlier")
-        packed = top.unionByName(deep).groupBy("feed", "seq", "file_id").agg(F.array_sort(F.collect_list(F.struct("path", "kind"))).alias("fields"))
-        # A file whose readable lines are all {} has a schema without fields.
-        none = F.array().cast("array<struct<path:string,kind:string>>")
-        bare = readable.join(packed, ["feed", "seq", "file_id"], "left_anti").select("feed", "seq", "file_id", none.alias("fields"))
-        return packed.unionByName(bare)
+        settled = counted.groupBy(*ids, "path").agg(F.when(has("whole") & has("real"), F.lit("real")).otherwise(best).alias("kind"))
+        large = settled.groupBy(*ids).agg(F.collect_list(F.struct("path", "kind")).alias("fields"))
+        known = one.filter("parts = 1").select(*ids, "fields").unionByName(large)
+        known = stage(known.withColumn("fields", F.array_sort(F.filter("fields", lambda f: f.path != ""))), "known")
+        # A field that is null throughout a file looks back for its kind, along the files of its feed that have it.
+        top = known.select(*ids, F.explode("fields").alias("f")).select(*ids, F.col("f.path").alias("path"), F.col("f.kind").alias("kind")).filter(~F.col("path").contains(SEP))
+        asked = top.filter(F.col("kind").isNull()).select("feed", "path").distinct()
+        line = before(top.join(asked, ["feed", "path"], "left_semi"), ["feed", "path"], "seq", F.col("kind"), "earlier", F.floor(F.col("seq") / FILES), known=True)
+        told = line.filter(F.col("kind").isNull() & F.col("earlier").isNotNull())
+        told = told.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("path", "earlier"))).alias("told"))
+        filled = F.transform("fields", lambda f: F.struct(f.path.alias("path"), F.coalesce(f.kind, F.element_at("told", f.path)).alias("kind")))
+        return known.join(told, ids, "left").select(*ids, F.when(F.col("told").isNull(), F.col("fields")).otherwise(filled).alias("fields"))
 
     def _pairs(self) -> DataFrame:
         """Each file with the fields of the file before."""
