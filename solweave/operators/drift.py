@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -30,34 +29,29 @@ KINDS = {"text": "text", "whole": "whole number", "real": "real number", "bool":
 SEP = "\x1f"
 
 
+_KIND = {type(None): None, bool: "bool", str: "text", int: "whole", float: "real", list: "list", dict: "object"}
+_NUMBER, _LOWER, _UPPER, _WORD = (re.compile(p) for p in (r"\d+", r"[a-z]+", r"[A-Z]+", r"[^\W_]+"))
+
+
 def kind_of(v: object) -> str | None:
-    if v is None:
-        return None
-    if isinstance(v, bool):
-        return "bool"
-    if isinstance(v, str):
-        return "text"
-    if isinstance(v, int):
-        return "whole"
-    if isinstance(v, float):
-        return "real"
-    return "list" if isinstance(v, list) else "object"
+    return _KIND.get(type(v), "object")
 
 
 def traits(v: object, prefix: str = "") -> list[tuple[str, str]]:
     """What a value looks like, as (family, trait): shape and words of texts, size and digits of numbers, the same of members."""
-    kind = kind_of(v)
+    kind = _KIND.get(type(v), "object")
     if kind == "text":
-        words = [re.sub(r"\d+", "9", w) for w in re.findall(r"[^\W_]+", v)]
-        shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d+", "9", v)))
+        plain = _NUMBER.sub("9", v)
+        shape = _LOWER.sub("a", _UPPER.sub("A", plain))
         # Running text is known by the shapes of its words, not by how many follow each other.
         shape = " ".join(sorted(set(shape.split()))) if shape.count(" ") > 2 else shape
-        return [(prefix + "shape", shape)] + [(prefix + "word", w) for w in words]
-    if kind in ("whole", "real"):
+        return [(prefix + "shape", shape)] + [(prefix + "word", w) for w in _WORD.findall(plain)]
+    if kind == "real":
         size = "0" if v == 0 else str(math.floor(math.log10(abs(v)))) if math.isfinite(v) else "inf"
-        if kind == "whole":
-            return [(prefix + "size", size), (prefix + "digit", str(v) if abs(v) < 10 else "-")]
         return [(prefix + "size", size), (prefix + "digit", str(min(9, len(repr(v).partition(".")[2]))))]
+    if kind == "whole":
+        size = "0" if v == 0 else str(math.floor(math.log10(abs(v))))
+        return [(prefix + "size", size), (prefix + "digit", str(v) if abs(v) < 10 else "-")]
     if kind == "list":
         return [(prefix + "length", str(len(v)))] + [t for e in v for t in traits(e, prefix + "member ")]
     if kind == "object":
@@ -97,32 +91,36 @@ HELD = 200_000
 
 
 class _Looks:
-    """Counts of what the values of each name and kind look like; texts are counted first and taken apart once each."""
+    """Counts of what the values of each name and kind look like; texts, lists and objects are counted first and taken apart once each."""
 
     def __init__(self) -> None:
-        self.texts: dict[str, dict[str, int]] = {}
-        self.rest: Counter = Counter()
+        self.seen: dict[tuple[str, str], dict[str, list]] = {}
+        self.rest: dict[tuple[str, str], dict[tuple[str, str], int]] = {}
         self.held = 0
 
     def add(self, name: str, own: str | None, v: object) -> None:
-        if own == "text":
-            seen = self.texts.setdefault(name, {})
-            if v in seen:
-                seen[v] += 1
+        if own == "text" or own == "list" or own == "object":
+            key = v if own == "text" else repr(v)
+            seen = self.seen.setdefault((name, own), {})
+            if key in seen:
+                seen[key][0] += 1
             else:
-                seen[v] = 1
+                seen[key] = [1, v]
                 self.held += 1
         elif own is not None:
-            for family, trait in traits(v):
-                self.rest[name, own, family, trait] += 1
+            rest = self.rest.setdefault((name, own), {})
+            for t in traits(v):
+                rest[t] = rest.get(t, 0) + 1
 
     def rows(self) -> Iterator[tuple]:
-        for name, seen in self.texts.items():
-            for v, n in seen.items():
-                for family, trait in traits(v):
-                    self.rest[name, "text", family, trait] += n
-        for (name, own, family, trait), n in self.rest.items():
-            yield None, None, None, None, None, own, name, family, trait, n
+        for key, seen in self.seen.items():
+            rest = self.rest.setdefault(key, {})
+            for n, v in seen.values():
+                for t in traits(v):
+                    rest[t] = rest.get(t, 0) + n
+        for (name, own), rest in self.rest.items():
+            for (family, trait), n in rest.items():
+                yield None, None, None, None, None, own, name, family, trait, n
         self.__init__()
 
 
@@ -171,7 +169,7 @@ def _scan(feed: str, seq: str, file_id: str) -> Callable[[Iterator[pa.RecordBatc
                             kinds[kind] = kinds.get(kind, 0) + 1
                         for path, x in _members(v, name):
                             looks.add(path, kind_of(x), x)
-            if looks.held + len(looks.rest) > HELD:
+            if looks.held > HELD:
                 out += looks.rows()
             yield batch(out)
         out = [packed()] if found else []
@@ -180,9 +178,6 @@ def _scan(feed: str, seq: str, file_id: str) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-_KIND = {type(None): None, bool: "bool", str: "text", int: "whole", float: "real", list: "list", dict: "object"}
-
-
 def _settled(kinds: dict[str | None, int]) -> str | None:
     """The kind of a field from the numbers of its values of each."""
     if "whole" in kinds and "real" in kinds:
