@@ -220,7 +220,7 @@ class Drift:
             "kind string, name string, family string, trait string, n bigint"
         )
         self.scan = stage(in_order.mapInArrow(_scan(feed, seq, file_id), types), "scan")
-        self.files = stage(self._files(), "files")
+        self.files = stage(self._files().withColumn("names", F.transform(_named("fields"), lambda f: f.path)), "files")
         self.pairs = stage(self._pairs(), "pairs")
 
     @property
@@ -252,16 +252,16 @@ class Drift:
         return known.join(told, ids, "left").select(*ids, F.when(F.col("told").isNull(), F.col("fields")).otherwise(filled).alias("fields"))
 
     def _pairs(self) -> DataFrame:
-        """Each file with the fields of the file before."""
-        x = before(self.files, ["feed"], "seq", F.struct("fields"), "earlier", F.floor(F.col("seq") / FILES))
-        return x.filter(F.col("earlier").isNotNull()).select("feed", "seq", "file_id", F.col("earlier.fields").alias("old"), F.col("fields").alias("new"))
+        """Each file that differs with the fields of the file before, and the names that it no longer has and that came."""
+        x = before(self.files, ["feed"], "seq", F.struct("fields", "names"), "earlier", F.floor(F.col("seq") / FILES))
+        x = x.filter(F.col("earlier").isNotNull() & (F.col("earlier.fields") != F.col("fields")))
+        gone, come = F.array_except("earlier.names", "names"), F.array_except("names", "earlier.names")
+        return x.select("feed", "seq", "file_id", F.col("earlier.fields").alias("old"), F.col("fields").alias("new"), gone.alias("gone"), come.alias("come"))
 
     def likeness(self) -> DataFrame:
         """(old, new, kind, alike) of the names that some file drops and brings at once."""
-        differ = self.pairs.filter(F.col("old") != F.col("new"))
-        names = differ.select(_named("old").alias("old"), _named("new").alias("new"))
-        absent = lambda a, b: F.filter(a, lambda f: ~F.exists(b, lambda g: g.path == f.path))
-        both = names.select(F.explode(absent(F.col("old"), F.col("new"))).alias("a"), absent(F.col("new"), F.col("old")).alias("come"))
+        swapped = self.pairs.filter((F.size("gone") > 0) & (F.size("come") > 0))
+        both = swapped.select(F.explode(_among("old", "gone")).alias("a"), _among("new", "come").alias("come"))
         both = both.select("a", F.explode("come").alias("b")).filter(F.col("a.kind").isNull() | F.col("b.kind").isNull() | (F.col("a.kind") == F.col("b.kind")))
         depth = lambda c: F.size(F.split(c, SEP))
         both = both.filter(depth(F.col("a.path")) == depth(F.col("b.path")))
@@ -292,7 +292,7 @@ class Drift:
     def _together(self, pairs: DataFrame) -> DataFrame:
         """(old, new, together, na, nb): in how many files both names of a pair are, and each of them."""
         # Files with equal sets of names are counted before names are paired.
-        sets = self.files.select(F.transform(_named("fields"), lambda f: f.path).alias("names")).groupBy("names").agg(F.count(F.lit(1)).alias("n"))
+        sets = self.files.select("names").groupBy("names").agg(F.count(F.lit(1)).alias("n"))
         one = sets.select(F.explode("names").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("files"))
         held = sets.select(F.explode("names").alias("old"), "names", "n").join(pairs, "old").filter(F.array_contains("names", F.col("new"))).groupBy("old", "new").agg(F.sum("n").alias("together"))
         x = pairs.join(held, ["old", "new"], "left").join(one.withColumnsRenamed({"name": "old", "files": "na"}), "old").join(one.withColumnsRenamed({"name": "new", "files": "nb"}), "new")
@@ -303,15 +303,14 @@ class Drift:
 
         ``depth`` is that of the field before (of the new one for ``added``), ``to_depth`` that of the field after (null if there is none).
         """
-        differ = self.pairs.filter(F.col("old") != F.col("new"))
         alike = stage(self.likeness().filter(F.col("alike") >= ALIKE), "alike")
-        gone = differ.select("feed", "file_id", "new", F.explode(_named("old")).alias("a"))
-        gone = gone.filter(~F.exists("new", lambda g: g.path == F.col("a.path")))
-        cand = gone.select("feed", "file_id", "new", F.col("a.path").alias("old"), F.col("a.kind").alias("ka"))
+        swapped = self.pairs.filter((F.size("gone") > 0) & (F.size("come") > 0))
+        cand = swapped.select("feed", "file_id", _among("new", "come").alias("new"), F.explode(_among("old", "gone")).alias("a"))
+        cand = cand.select("feed", "file_id", "new", F.col("a.path").alias("old"), F.col("a.kind").alias("ka"))
         cand = cand.join(alike.withColumnRenamed("new", "to"), "old")
         hit = F.exists("new", lambda g: (g.path == F.col("to")) & F.coalesce(F.col("ka"), g.kind).eqNullSafe(F.col("wanted")))
         prices = cand.filter(hit).groupBy("feed", "file_id").agg(F.collect_set(F.struct("old", F.col("to").alias("new"), "alike")).alias("prices"))
-        work = differ.select("feed", "file_id", "old", "new").join(prices, ["feed", "file_id"], "left")
+        work = self.pairs.select("feed", "file_id", "old", "new").join(prices, ["feed", "file_id"], "left")
         return work.mapInPandas(_scripts, "feed string, file_id bigint, depth int, field string, to_depth int, to string, change string")
 
     def fields(self) -> DataFrame:
@@ -409,6 +408,10 @@ class Drift:
         return x.select(feed, seq, file_id, F.col("__line").alias(line_no), *cols, also.alias("also"))
 
 
+def _among(fields: str, names: str) -> Column:
+    return F.filter(fields, lambda f: F.array_contains(F.col(names), f.path))
+
+
 def _named(fields: str) -> Column:
     """The fields of a schema that have a name, at any depth: members of lists have none."""
     return F.filter(fields, lambda f: ~F.array_contains(F.split(f.path, SEP), "[]"))
