@@ -81,3 +81,19 @@ def quantity(text: str) -> float:
 def station_class(ant: Column) -> Column:
     """CS, RS or other."""
     return F.when(ant.contains("CS"), "CS").when(ant.contains("RS"), "RS").otherwise("other")
+
+
+def longitude(x: Column, y: Column) -> Column:
+    """Degrees east of a place given from the earth's centre."""
+    return F.degrees(F.atan2(y, x))
+
+
+def latitude(x: Column, y: Column, z: Column) -> Column:
+    """Geocentric degrees north of a place given from the earth's centre."""
+    return F.degrees(F.atan2(z, F.hypot(x, y)))
+
+
+def first_good(value: Column, weight: Column, axis: Column) -> Column:
+    """The first value along an axis that is neither flagged nor null (an aggregate)."""
+    ok = (weight != 0) & value.isNotNull()
+    return F.min_by(F.when(ok, value), F.when(ok, axis))

@@ -338,7 +338,7 @@ _STATION = "concat('CS', lpad(cast(a as {s}), 4, '0')) AS ant"
 _TEC, _CLOCK, _RM_, _DELAY = "((a * 37) % 41 - 20 + abs(time % 20 - 10)) / 100e0", "((a * 29) % 41 - 20 + abs(time % 20 - 10)) / 10e0", "((a * 17 + time * 5) % 71 - 35) / 100e0", "((a * 13) % 21 - 10) / 10e0"
 
 
-def _simulated(s: SparkSession, d: str, model: str, start: float, step: float, channels: int, pols: tuple[str, ...] = ()) -> Solutions:
+def simulated(s: SparkSession, d: str, model: str, start: float, step: float, channels: int, pols: tuple[str, ...] = ()) -> Solutions:
     """Phases of a known model on the stations and days of the events table."""
     base = proxies.frame(s, d, f"SELECT a, {_STATION}, time, {_TEC} AS tec, {_CLOCK} AS clock, {_RM_} AS rm, {_DELAY} AS delay FROM ({TRUTH}) t")
     x = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(channels - 1)))).withColumn("freq", start + F.col("k") * step)
@@ -357,13 +357,13 @@ def _r3(t: Solutions) -> Solutions:
     return t.put(t.df.withColumn("val", F.round("val", 3) + F.lit(0.0)))
 
 
-_add("tec_fit", lambda s, d: _r3(fits.tec(_simulated(s, d, f"{TEC_PHASE!r}D * tec / freq", 40e6, 5e5, 60))), _truth_sql(f"round({_TEC}, 3) + 0.0"))
-_add("faraday_fit", lambda s, d: _r3(fits.faraday(_simulated(s, d, f"CASE WHEN pol = 'RR' THEN 1 ELSE -1 END * pow({LIGHT!r}D / freq, 2) * rm", 120e6, 12e5, 50, ("RR", "LL")))), _truth_sql(f"round({_RM_}, 3) + 0.0"))
-_add("polalign_fit", lambda s, d: _r3(fits.align_polarisations(_simulated(s, d, "CASE WHEN pol = 'XX' THEN delay * 1e-9D * freq + 0.3D ELSE 0 END", 120e6, 1e6, 40, ("XX", "YY")))).df.groupBy("ant", "pol").agg(F.count(F.lit(1)).alias("cells"), F.max(F.abs("val")).alias("top")).select("ant", "pol", "cells", F.round("top", 2).alias("top")))
+_add("tec_fit", lambda s, d: _r3(fits.tec(simulated(s, d, f"{TEC_PHASE!r}D * tec / freq", 40e6, 5e5, 60))), _truth_sql(f"round({_TEC}, 3) + 0.0"))
+_add("faraday_fit", lambda s, d: _r3(fits.faraday(simulated(s, d, f"CASE WHEN pol = 'RR' THEN 1 ELSE -1 END * pow({LIGHT!r}D / freq, 2) * rm", 120e6, 12e5, 50, ("RR", "LL")))), _truth_sql(f"round({_RM_}, 3) + 0.0"))
+_add("polalign_fit", lambda s, d: _r3(fits.align_polarisations(simulated(s, d, "CASE WHEN pol = 'XX' THEN delay * 1e-9D * freq + 0.3D ELSE 0 END", 120e6, 1e6, 40, ("XX", "YY")))).df.groupBy("ant", "pol").agg(F.count(F.lit(1)).alias("cells"), F.max(F.abs("val")).alias("top")).select("ant", "pol", "cells", F.round("top", 2).alias("top")))
 
 
 def _clocktec(s: SparkSession, d: str) -> DataFrame:
-    sim = _simulated(s, d, f"({TEC_PHASE!r}D * tec / freq + 2 * {PI.replace('e0', 'D')} * clock * 1e-9D * freq) * CASE WHEN a = 1 THEN 0 ELSE 1 END", 40e6, 5e5, 60, ("XX", "YY"))
+    sim = simulated(s, d, f"({TEC_PHASE!r}D * tec / freq + 2 * {PI.replace('e0', 'D')} * clock * 1e-9D * freq) * CASE WHEN a = 1 THEN 0 ELSE 1 END", 40e6, 5e5, 60, ("XX", "YY"))
     out = fits.clock_tec(sim)
     t, c = out["tec000"].df, out["clock000"].df
     x = t.select("ant", "pol", "time", F.col("val").alias("tec"), "weight").join(c.select("ant", "pol", "time", (F.col("val") * 1e9).alias("clock")), ["ant", "pol", "time"])

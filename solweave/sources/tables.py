@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solweave.model import Solutions
@@ -166,11 +167,13 @@ def split(table: Solutions, axis: str, length: float, inclusive: bool = False) -
     return df
 
 
-def parameters_to_tables(rows: DataFrame) -> dict[str, Solutions]:
+def parameters_to_tables(rows: DataFrame, dense: bool = False) -> dict[str, Solutions]:
     """Tables from named parameters: rows of (name, time, freq, val), such as ``Gain:0:0:Real:CS001HBA0:3C196``.
 
-    Gains as Real/Imag become amplitude and phase, Ampl and Phase stay what they are; Clock, TEC, RotationAngle, RotationMeasure and CommonRotationAngle become tables
-    of their kind. Values that aren't finite become 0 (amplitudes 1) and are flagged. Unknown names are left out.
+    With ``dense`` each table holds the whole grid of the coordinates that its parameters have among them; cells of no parameter are flagged.
+
+    Gains as Real/Imag become amplitude and phase, Ampl and Phase stay what they are; Clock, TEC, RotationAngle, RotationMeasure, ScalarPhase, ScalarAmplitude and those with Common become tables
+    of their kind, with the direction ``pointing`` and the frequency 0 where the parameter has none. Values that aren't finite become 0 (amplitudes 1) and are flagged. Unknown names are left out.
     """
     p = F.split("name", ":")
     base = rows.select(p.alias("p"), p[0].alias("what"), "time", "freq", "val").filter(F.col("name").isNotNull())
@@ -187,32 +190,81 @@ def parameters_to_tables(rows: DataFrame) -> dict[str, Solutions]:
 
     def table(df: DataFrame, on: Sequence[str], kind: str) -> Solutions:
         finite = F.col("val").isNotNull() & ~F.isnan("val") & (F.abs("val") < float("inf"))
-        empty = 1.0 if kind == "amplitude" else 0.0
+        empty = 1.0 if kind.endswith("amplitude") else 0.0
         df = df.select(*on, F.when(finite, F.col("val")).otherwise(empty).alias("val"), F.when(finite, 1.0).otherwise(0.0).alias("weight"))
         return Solutions(df, tuple(on), kind, f"{kind}000")
 
     out = {"amplitude000": table(g.select(*axes, amp.alias("val")).filter(F.col("val").isNotNull()), axes, "amplitude")}
     out["phase000"] = table(g.select(*axes, phase.alias("val")).filter(F.col("val").isNotNull()), axes, "phase")
     plain = {"Clock": "clock", "TEC": "tec", "RotationAngle": "rotation", "CommonRotationAngle": "rotation", "RotationMeasure": "rotationmeasure"}
-    for what, kind in plain.items():
-        x = base.filter((F.col("what") == what) & (n >= 2)).select(F.element_at("p", 2).alias("ant"), "time", "val")
-        known = out.get(f"{kind}000")
-        t = table(x.dropDuplicates(["ant", "time"]), ["ant", "time"], kind)
-        out[f"{kind}000"] = t if known is None else known.put(known.df.unionByName(t.df))
-    return out
+    plain |= {f"{c}Scalar{w}": f"scalar{w.lower()}" for c in ("", "Common") for w in ("Phase", "Amplitude")}
+    for kind in dict.fromkeys(plain.values()):
+        x = base.filter(F.col("what").isin([w for w, k in plain.items() if k == kind]) & (n >= 2))
+        # A rotation of 0 was never solved for.
+        val = F.when(F.col("val") != 0, F.col("val")) if kind.startswith("rotation") else F.col("val")
+        on = ["ant", "freq", "time"] if kind == "clock" else ["dir", "ant", "freq", "time"]
+        freq = F.coalesce(F.col("freq").cast("double"), F.lit(0.0))
+        x = x.select(F.coalesce(F.get("p", F.lit(2)), F.lit("pointing")).alias("dir"), F.element_at("p", 2).alias("ant"), freq.alias("freq"), "time", val.alias("val"))
+        out[f"{kind}000"] = table(x.dropDuplicates(on), on, kind)
+    return {k: t.densify() for k, t in out.items()} if dense else out
+
+
+def parameter_grid(rows: DataFrame) -> DataFrame:
+    """(name, time, freq, val) from stored grids: rows of (name, startx, endx, starty, endy, ntime, nfreq, values), values time by time.
+
+    Coordinates are the middles of ``ntime`` and ``nfreq`` equal cells between the ends. Values that are missing at the end of the list are null.
+    """
+    x = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("ntime") - 1)).alias("__i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nfreq") - 1)).alias("__j"))
+    middle = lambda a, z, n, i: F.col(a) + (F.col(i) + 0.5) * (F.col(z) - F.col(a)) / F.col(n)
+    return x.select("name", middle("starty", "endy", "ntime", "__i").alias("time"), middle("startx", "endx", "nfreq", "__j").alias("freq"), F.get("values", F.col("__i") * F.col("nfreq") + F.col("__j")).alias("val"))
+
 
+def tables_to_parameters(amplitude: Solutions | None = None, phase: Solutions | None = None, polar: bool = False, others: Sequence[Solutions] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """(name, time[, freq], val) of tables as named parameters; values are null where flagged, for gains where either table is.
 
-def tables_to_parameters(amplitude: Solutions, phase: Solutions) -> DataFrame:
-    """(name, time, freq, val): Real = A cos(phi) and Imag = A sin(phi) of every cell; null where either is flagged."""
-    on = [a for a in amplitude.axes if a in phase.axes]
-    a = amplitude.df.select(*amplitude.axes, F.col("val").alias("a"), F.col("weight").alias("wa"))
-    p = phase.df.select(*phase.axes, F.col("val").alias("p"), F.col("weight").alias("wp"))
-    x = a.join(p, on).withColumn("ok", (F.col("wa") != 0) & (F.col("wp") != 0))
-    parts = F.array(F.struct(F.lit("Real").alias("part"), (F.col("a") * F.cos("p")).alias("v")), F.struct(F.lit("Imag").alias("part"), (F.col("a") * F.sin("p")).alias("v")))
-    x = x.withColumn("q", F.explode(parts))
+    Amplitude and phase become Real = A cos(phi) and Imag = A sin(phi), or with ``polar`` (or where one is missing) Ampl and Phase, under ``Gain`` or, with directions, ``DirectionalGain``
+    unless the only direction is ``pointing``. ``others`` are clock, tec, rotation and rotationmeasure tables: ``Clock:ant``, ``TEC:ant[:dir]``, ``RotationAngle:ant[:dir]`` (``CommonRotationAngle:ant`` without
+    directions) and ``RotationMeasure:ant[:dir]``; polarised clocks get the indices of a gain.
+
+    ``wanted`` (name, start, end, freqs) selects entries: the cells of those names between start and end, 0.1 s more on either side, at
+    the listed frequencies (null: all). Entries that no table has are left out; those of tables without frequencies are repeated for each.
+    """
     index = lambda i: F.when(F.substring("pol", i, 1).isin("X", "R"), "0").otherwise("1")
-    name = F.concat_ws(":", F.lit("Gain"), index(1), index(2), F.col("q.part"), "ant", *(["dir"] if "dir" in amplitude.axes else []))
-    return x.select(name.alias("name"), "time", *(["freq"] if "freq" in amplitude.axes else []), F.when(F.col("ok"), F.col("q.v")).alias("val"))
+
+    def named(t: Solutions, head: Column, part: Column | None, val: Column) -> DataFrame:
+        words = [head, *([index(1), index(2)] if "pol" in t.axes else []), *([part] if part is not None else []), F.col("ant")]
+        words += [F.when(F.col("dir") != "pointing", F.col("dir"))] if "dir" in t.axes else []  # nulls are passed over
+        freq = F.col("freq").cast("double") if "freq" in t.axes else F.lit(None).cast("double")
+        return t.df.select(F.concat_ws(":", *words).alias("name"), F.col("time"), freq.alias("freq"), val.alias("val"))
+
+    kept = F.when(F.col("weight") != 0, F.col("val"))
+    parts: list[DataFrame] = []
+    gains = [t for t in (amplitude, phase) if t is not None]
+    head = lambda t: F.when(F.col("dir") != "pointing", "DirectionalGain").otherwise("Gain") if "dir" in t.axes else F.lit("Gain")
+    if len(gains) == 2 and not polar:
+        on = [a for a in amplitude.axes if a in phase.axes]
+        p = phase.df.select(*phase.axes, F.col("val").alias("__p"), F.col("weight").alias("__w"))
+        both = amplitude.df.join(p, on)
+        wide = amplitude if set(phase.axes) <= set(amplitude.axes) else phase
+        ok = (F.col("weight") != 0) & (F.col("__w") != 0)
+        for part, f in (("Real", F.cos), ("Imag", F.sin)):
+            parts.append(named(replace(wide, df=both), head(wide), F.lit(part), F.when(ok, F.col("val") * f("__p"))))
+    else:
+        parts += [named(t, head(t), F.lit("Ampl" if t.is_amplitude else "Phase"), kept) for t in gains]
+    heads = {"clock": "Clock", "tec": "TEC", "rotation": "RotationAngle", "rotationmeasure": "RotationMeasure"}
+    for t in others:
+        if t.kind not in heads:
+            raise ValueError(f"{t.name}: a {t.kind} table has no parameters")
+        name = "CommonRotationAngle" if t.kind == "rotation" and "dir" not in t.axes else heads[t.kind]
+        parts.append(named(t, F.lit(name), None, kept))
+    out = reduce(DataFrame.unionByName, parts)
+    if wanted is not None:
+        w = wanted.select(F.col("name"), F.col("start").cast("double").alias("__a"), F.col("end").cast("double").alias("__z"), F.col("freqs").cast("array<double>").alias("__f"))
+        x = out.join(w, "name").filter(F.col("time").between(F.col("__a") - 0.1, F.col("__z") + 0.1))
+        x = x.filter(F.col("freq").isNull() | F.col("__f").isNull() | F.array_contains("__f", F.col("freq")))
+        one = F.when(F.col("freq").isNull() & F.col("__f").isNotNull(), F.col("__f")).otherwise(F.array("freq"))
+        out = x.select("name", "time", F.explode(one).alias("freq"), "val")
+    return out if wanted is not None or any("freq" in t.axes for t in [*gains, *others]) else out.drop("freq")
 
 
 def directions(names: DataFrame, field: tuple[float, float], patches: DataFrame) -> DataFrame:

@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Leave a folder to be deleted when the interpreter ends."""
+    _staged.append((spark, path))
+
+
 def stage(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
