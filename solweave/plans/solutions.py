@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,7 +230,14 @@ _add("smooth_runningmedian_2d", lambda s, d: smoothing.smooth(evamp(s, d), ["fre
 t AS (SELECT ant, time, row_number() OVER (PARTITION BY ant ORDER BY time) AS j FROM (SELECT DISTINCT ant, time FROM ev_amp)), c AS (SELECT e.*, i, j FROM ev_amp e JOIN f USING (ant, freq) JOIN t USING (ant, time)),
 m AS (SELECT x.ant, x.freq, x.time, median(y.val) AS v FROM c x LEFT JOIN c y ON y.ant = x.ant AND abs(y.i - x.i) <= 1 AND abs(y.j - x.j) <= 2 AND y.weight <> 0 GROUP BY 1, 2, 3)
 SELECT ant, freq, time, {_keep('v')} AS val, weight FROM c JOIN m USING (ant, freq, time)""")
-_add("smooth_savgol", lambda s, d: smoothing.smooth(evamp(s, d), ["time"], [7], mode="savitzky-golay", degree=2))
+_HAT = np.vander(np.arange(7), 3) @ np.linalg.pinv(np.vander(np.arange(7), 3))  # the quadratic fit to seven points, at each of them
+_add("smooth_savgol", lambda s, d: smoothing.smooth(evamp(s, d), ["time"], [7], mode="savitzky-golay", degree=2), cte("ev_amp") + f""", h(o, k, c) AS (VALUES {', '.join(f'({o}, {k}, {float(_HAT[o, k])!r}::DOUBLE)' for o in range(7) for k in range(7))}),
+e AS (SELECT *, CASE WHEN weight <> 0 THEN val END AS g, row_number() OVER (PARTITION BY ant, freq ORDER BY time) AS i, count(*) OVER (PARTITION BY ant, freq) AS n FROM ev_amp),
+b AS (SELECT *, last_value(CASE WHEN g IS NOT NULL THEN i END IGNORE NULLS) OVER w AS p, last_value(g IGNORE NULLS) OVER w AS pv, first_value(CASE WHEN g IS NOT NULL THEN i END IGNORE NULLS) OVER z AS q, first_value(g IGNORE NULLS) OVER z AS qv
+  FROM e WINDOW w AS (PARTITION BY ant, freq ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY ant, freq ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+y AS (SELECT *, CASE WHEN p IS NULL THEN qv WHEN q IS NULL OR p = q THEN pv ELSE pv + (qv - pv) * (i - p) / (q - p) END AS y, greatest(1, least(i - 3, n - 6)) AS s FROM b),
+m AS (SELECT y.ant, y.freq, y.i, sum(c * x.y) AS m FROM y JOIN y x ON x.ant = y.ant AND x.freq = y.freq AND x.i BETWEEN y.s AND y.s + 6 JOIN h ON h.o = y.i - y.s AND h.k = x.i - y.s GROUP BY 1, 2, 3)
+SELECT ant, freq, time, {R('CASE WHEN g IS NOT NULL AND n >= 7 THEN m ELSE val END')} AS val, weight FROM y LEFT JOIN m USING (ant, freq, i)""")
 
 # regridding ----------------------------------------------------------------------------------------
 _GRID = """, b AS (SELECT min(time)::DOUBLE AS a, max(time)::DOUBLE AS z FROM {src}), g AS (SELECT a + 0.25 + i * 1.5 AS x FROM b, range(0, 100000) r(i) WHERE a + 0.25 + i * 1.5 < z + 0.25 + 0.75),
@@ -359,7 +367,6 @@ def _r3(t: Solutions) -> Solutions:
 
 _add("tec_fit", lambda s, d: _r3(fits.tec(simulated(s, d, f"{TEC_PHASE!r}D * tec / freq", 40e6, 5e5, 60))), _truth_sql(f"round({_TEC}, 3) + 0.0"))
 _add("faraday_fit", lambda s, d: _r3(fits.faraday(simulated(s, d, f"CASE WHEN pol = 'RR' THEN 1 ELSE -1 END * pow({LIGHT!r}D / freq, 2) * rm", 120e6, 12e5, 50, ("RR", "LL")))), _truth_sql(f"round({_RM_}, 3) + 0.0"))
-_add("polalign_fit", lambda s, d: _r3(fits.align_polarisations(simulated(s, d, "CASE WHEN pol = 'XX' THEN delay * 1e-9D * freq + 0.3D ELSE 0 END", 120e6, 1e6, 40, ("XX", "YY")))).df.groupBy("ant", "pol").agg(F.count(F.lit(1)).alias("cells"), F.max(F.abs("val")).alias("top")).select("ant", "pol", "cells", F.round("top", 2).alias("top")))
 
 
 def _clocktec(s: SparkSession, d: str) -> DataFrame:
