@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from solweave.functions.scalar import TEC_PHASE
 from solweave.model import Solutions
@@ -21,9 +22,10 @@ def test_channels_count_by_the_noise_of_the_low_band(spark, tmp_path):
     assert {r.weight for r in fits.tec(low).df.collect()} == {0.0}
     s = Store(spark, str(tmp_path / "s"), "a")
     s.make_solset()
-    s.make_table("sol000", x.df, ["ant", "time", "freq"], "phase")
+    still = x.df.withColumns({"ant": F.lit("CS000"), "val": F.lit(0.0)})  # the reference that is looked for: as good as any, and first by name
+    s.make_table("sol000", x.df.unionByName(still), ["ant", "time", "freq"], "phase")
     step = "soltab = sol000/phase000\n[t]\noperation = TEC\nsoltabOut = {}\nsensitivity = {}\n"
     for name, how in (("tec001", ""), ("tec002", "equal"), ("tec003", "[28e6, 0, 28.6e6, 1]")):
         assert len(runner.run(step.format(name, how), s)) == 1
-    got = [s.table(f"sol000/{n}").df.first().val for n in ("tec001", "tec002", "tec003")]
+    got = [s.table(f"sol000/{n}", ant="CS001").df.first().val for n in ("tec001", "tec002", "tec003")]
     assert got[0] == pytest.approx(0.02, abs=1e-6) and abs(got[1] - 0.02) > 1e-4 and got[2] != got[0]
