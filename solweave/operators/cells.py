@@ -37,7 +37,8 @@ def clip(table: Solutions, axes: Sequence[str] | None = None, level: float = 5.0
     df = table.df.withColumn("__x", x)
     use = df.select(*keys, F.when(F.col("weight") != 0, F.col("__x")).alias("__u"))
     stats = use.groupBy(*keys).agg(F.stddev_pop("__u").alias("__s"))
-    df = with_stats(with_stats(df, keys, stats), keys, group_medians(use, keys, "__u", "__m")) if not keys else df.join(stats, keys, "left").join(group_medians(use, keys, "__u", "__m"), keys, "left")
+    middle = group_medians(use, keys, "__u", "__m")
+    df = with_stats(with_stats(df, keys, stats), keys, middle) if not keys else df.join(stats.join(middle, keys, "left"), keys, "left")  # figures first: rows are joined once
     bad = F.abs(F.col("__x") - F.col("__m")) > level * F.col("__s")
     return table.put(df.withColumn("weight", F.when(bad, 0.0).otherwise(F.col("weight"))))
 

@@ -357,7 +357,7 @@ def interpolate_directions(table: Solutions, sources: DataFrame, wanted: Sequenc
 
 def clock_tec(
     table: Solutions, fit_third: bool = False, combine_pols: bool = False, flag_channels: bool = True, cut: float = 5.0, chi2_cut: float = 3000.0, names: Sequence[str] = ("tec000", "clock000", "phase_offset000", "tec3rd000"),
-    antennas: DataFrame | None = None, remove_wraps: bool = True, circular: bool = False,
+    antennas: DataFrame | None = None, remove_wraps: bool = True, circular: bool = False, reverse: bool = False, invert_offset: bool = False,
 ) -> dict[str, Solutions]:
     """Separate phases of each station and polarisation into clock (seconds), electron content (and its third-order term) and a constant offset.
 
@@ -368,12 +368,13 @@ def clock_tec(
 
     With ``remove_wraps`` and the positions of ``antennas``, whole turns of stations are found from a linear screen of electron content over longitude and latitude
     (``screen_turns``), and all spectra are solved again from there; then only this second fit is held to ``chi2_cut``. The stations of a polarisation are one group in it.
-    Without positions each station stands alone. ``circular`` with ``combine_pols`` adds the phases of both polarisations, searches twice as far and halves the results.
+    Without positions each station stands alone. Where the first station isn't a low-band one, a first clock of stations off the core is found from the mean spectrum of a hundred
+    times from the middle on (``start_clock``) and taken off before. ``reverse`` goes back in time, ``invert_offset`` turns the sign of the offsets. ``circular`` with ``combine_pols`` adds the phases of both polarisations, searches twice as far and halves the results.
     """
     axes = [a for a in ("ant", "pol") if a in table.axes]
     x = table.df.filter((F.col("weight") != 0) & F.col("val").isNotNull())
     if "pol" in table.axes:
-        pols = sorted(r.pol for r in x.select("pol").distinct().limit(5).collect())
+        pols = table.axis_values("pol", 1000)
         if len(pols) == 4:
             x = x.filter(F.col("pol").isin(pols[0], pols[3]))
         if combine_pols and not circular:
@@ -397,13 +398,18 @@ def clock_tec(
         bad = spread.join(F.broadcast(usual), how="cross").filter(F.col("s") >= cut * F.col("m"))
         x = x.join(bad.select("freq"), "freq", "left_anti")
 
+    first_clock = _first_clocks(x, axes) if "LBA" not in (x.agg(F.min("ant").alias("a")).first().a or "") else None
+    if first_clock is not None:
+        x = x.join(first_clock, axes, "left").withColumn("__c", F.coalesce("__c", F.lit(0.0)))
+        x = x.withColumn("val", wrap(F.col("val") - 2e-9 * np.pi * F.col("__c") * F.col("freq").cast("double"))).drop("__c")
+
     def solver(cut_at: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             begin = pdf[["__tec", "__clock", "__third"][: 2 + fit_third]].iloc[0].to_numpy(float) if "__tec" in pdf else None
             begin = None if begin is None or np.isnan(begin).any() else begin
             shift = float(np.nan_to_num(pdf["__shift"].iloc[0])) if "__shift" in pdf else 0.0
             rows, last = [], begin
-            for t, part in pdf.sort_values(["time", "freq"], kind="stable").groupby("time", sort=False):
+            for t, part in pdf.sort_values(["time", "freq"], ascending=[not reverse, True], kind="stable").groupby("time", sort=False):
                 nu, phi = part["freq"].to_numpy(float), part["val"].to_numpy(float) + shift
                 if len(nu) < 8:
                     rows.append((t, None, None, None, None, 0.0))
@@ -448,14 +454,16 @@ def clock_tec(
     grid = table.df.select(*axes, "time").distinct()
     fitted = grid.join(fitted, [*axes, "time"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     full = (*axes, "time")
+    model = x.join(fitted.filter(F.col("weight") > 0), [*axes, "time"])
+    nu = F.col("freq").cast("double")
+    resid = F.col("val") - TEC_PHASE * F.col("tec") / nu - 2e-9 * np.pi * F.col("clock") * nu
+    off = model.groupBy(*axes).agg((F.atan2(F.sum(F.sin(resid)), F.sum(F.cos(resid))) / (-part_of if invert_offset else part_of)).alias("val"))
+    if first_clock is not None:
+        fitted = fitted.join(first_clock, axes, "left").withColumn("clock", F.col("clock") + F.coalesce("__c", F.lit(0.0)))
     out = {
         names[0]: Solutions(fitted.select(*full, (F.col("tec") / part_of).alias("val"), "weight"), full, "tec", names[0]),
         names[1]: Solutions(fitted.select(*full, (F.col("clock") * 1e-9 / part_of).alias("val"), "weight"), full, "clock", names[1]),
     }
-    model = x.join(fitted.filter(F.col("weight") > 0), [*axes, "time"])
-    nu = F.col("freq").cast("double")
-    resid = F.col("val") - TEC_PHASE * F.col("tec") / nu - 2e-9 * np.pi * F.col("clock") * nu
-    off = model.groupBy(*axes).agg((F.atan2(F.sum(F.sin(resid)), F.sum(F.cos(resid))) / part_of).alias("val"))
     stations = table.df.select(*axes).distinct().join(off, axes, "left")
     out[names[2]] = Solutions(stations.select(*axes, "val", F.when(F.col("val").isNotNull(), 1.0).otherwise(0.0).alias("weight")), tuple(axes), "phase_offset", names[2])
     if fit_third:
@@ -463,6 +471,35 @@ def clock_tec(
     return out
 
 
+#: Times from the middle on whose mean spectrum tells a first clock.
+FIRST_TIMES = 100
+
+
+def start_clock(nu: np.ndarray, phi: np.ndarray) -> float:
+    """The clock (ns) that a spectrum of wrapped phases follows best: of delays from -25 to 26 turns across the band, a tenth of a turn apart, the one that
+    leaves the phases closest together, and then by a straight line through what it leaves."""
+    trial = np.arange(-25, 26, 0.1) * 1e9 / np.ptp(nu)
+    left = np.exp(1j * (phi - 2e-9 * np.pi * trial[:, None] * nu)).mean(axis=1)
+    best = int(np.abs(left).argmax())
+    rest = _wrap(phi - 2e-9 * np.pi * trial[best] * nu - np.angle(left[best]))
+    return float(trial[best] + np.polyfit(nu - nu.mean(), rest, 1)[0] / (2e-9 * np.pi))
+
+
+def _first_clocks(x: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """(axes, __c): the first clock of each station off the core."""
+    far = x.filter(~F.col("ant").contains("CS"))
+    middle = x.select("time").distinct().agg(F.percentile_approx("time", 0.5).alias("t")).first().t
+    times = x.select("time").distinct().filter(F.col("time") >= middle).orderBy("time").limit(FIRST_TIMES)
+    mean = far.join(times, "time").groupBy(*axes, "freq").agg(F.atan2(F.sum(F.sin("val")), F.sum(F.cos("val"))).alias("m"))
+    packed = _per_spectrum(mean, axes, "m")
+
+    @F.pandas_udf("double")
+    def fit(nu: pd.Series, phi: pd.Series) -> pd.Series:
+        return pd.Series([start_clock(np.asarray(f), np.asarray(p)) if len(f) > 2 else 0.0 for f, p in zip(nu, phi, strict=True)], dtype=float)
+
+    return packed.select(*axes, fit("f", "v").alias("__c"))
+
+
 #: Misfit (square degrees per channel) allowed before the turns of the stations are settled.
 FIRST_CUT = 30_000.0
 

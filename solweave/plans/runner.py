@@ -168,8 +168,8 @@ def _polalign(store, solset, table, soltabOut="phasediff", minFreq=0.0, refAnt="
 
 
 @operation("CLOCKTEC")
-def _clocktec(store, solset, table, tecsoltabOut="tec000", clocksoltabOut="clock000", offsetsoltabOut="phase_offset000", tec3rdsoltabOut="tec3rd000", flagBadChannels=True, flagCut=5.0, chi2cut=3000.0, combinePol=False, fit3rdorder=False, removePhaseWraps=True, circular=False):
-    return list(fits.clock_tec(table, fit3rdorder, combinePol, flagBadChannels, flagCut, chi2cut, (tecsoltabOut, clocksoltabOut, offsetsoltabOut, tec3rdsoltabOut), store.side(solset, "antenna"), removePhaseWraps, circular).values())
+def _clocktec(store, solset, table, tecsoltabOut="tec000", clocksoltabOut="clock000", offsetsoltabOut="phase_offset000", tec3rdsoltabOut="tec3rd000", flagBadChannels=True, flagCut=5.0, chi2cut=3000.0, combinePol=False, fit3rdorder=False, removePhaseWraps=True, circular=False, reverse=False, invertOffset=False, nproc=None):
+    return list(fits.clock_tec(table, fit3rdorder, combinePol, flagBadChannels, flagCut, chi2cut, (tecsoltabOut, clocksoltabOut, offsetsoltabOut, tec3rdsoltabOut), store.side(solset, "antenna"), removePhaseWraps, circular, reverse, invertOffset).values())
 
 
 @operation("FLAGSTATION")

@@ -70,3 +70,20 @@ def test_circular_polarisations_are_added(spark):
     out = fits.clock_tec(Solutions.of(df, ["ant", "pol", "time", "freq"], "phase"), combine_pols=True, circular=True)
     assert {r.ant: (round(r.val, 4), r.weight) for r in out["tec000"].df.collect()} == {"RS000": (0.0, 1.0), "RS001": (0.03, 1.0)}
     assert {r.ant: round(r.val * 1e9, 3) for r in out["clock000"].df.collect()} == {"RS000": 0.0, "RS001": 2.0}
+
+
+def test_a_first_clock_off_the_core(spark):
+    assert fits.start_clock(FREQS, np.angle(np.exp(1j * (2e-9 * np.pi * 431.7 * FREQS + 0.4)))) == pytest.approx(431.7, abs=1e-6)
+    rows = []
+    for ant, clock in (("CS001HBA", 0.0), ("RS001HBA", 250.0), ("RS002HBA", -333.0)):
+        for t in range(12):
+            phi = TEC_PHASE * 0.03 * (clock != 0) / FREQS + 2e-9 * np.pi * (clock + 0.2 * t * (clock != 0)) * FREQS + 0.5 * (clock != 0)
+            rows += [(ant, float(t), float(f), float(np.angle(np.exp(1j * p))), 1.0) for f, p in zip(FREQS, phi, strict=True)]
+    x = Solutions.of(spark.createDataFrame(rows, "ant string, time double, freq double, val double, weight double"), ["ant", "time", "freq"], "phase")
+    out = fits.clock_tec(x, flag_channels=False)
+    clock = {(r.ant, r.time): 1e9 * r.val for r in out["clock000"].df.filter("weight > 0").collect()}
+    slope = clock["RS001HBA", 10.0] - clock["RS001HBA", 2.0]
+    assert abs(clock["RS001HBA", 5.0] - 251.0) < 8 and abs(clock["RS002HBA", 5.0] + 332.0) < 8 and slope == pytest.approx(1.6, abs=0.2)
+    back = fits.clock_tec(x, flag_channels=False, reverse=True, invert_offset=True)
+    a, b = ({r.ant: r.val for r in o["phase_offset000"].df.collect()} for o in (out, back))
+    assert a["RS001HBA"] == pytest.approx(-b["RS001HBA"], abs=0.05)
