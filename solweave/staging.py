@@ -44,6 +44,12 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete the tables staged so far. Results that still read them must have been written before."""
+    _drop_staged()
+    _staged.clear()
+
+
 @atexit.register
 def _drop_staged() -> None:
     for spark, path in _staged:

@@ -169,3 +169,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["-q", root, str(steps)]) == 0 and s.table("sol000/amplitude000").df.agg(F.min("val")).first()[0] == 2.0
     assert cli.main(["-i", root]) == 0 and "amplitude000" in capsys.readouterr().out
     assert cli.main(["-q", "-d", "sol000/amplitude000", root]) == 0 and s.tables("sol000") == []
+
+
+def test_staged_tables_can_be_let_go(spark, tmp_path):
+    import os
+
+    from solweave import staging
+
+    folder = staging.shared_dir(spark)
+    rows = staging.stage(spark.range(10), "held")
+    assert rows.count() == 10 and any(n.startswith("staged-held") for n in os.listdir(folder.removeprefix("file:")))
+    staging.release()
+    assert not any(n.startswith("staged-held") for n in os.listdir(folder.removeprefix("file:")))
