@@ -239,7 +239,7 @@ def _plot(store, solset, table, axesInPlot=None, axisInTable="", axisInCol="", a
     rows.write.mode("overwrite").parquet(path)
     kept = store.spark.read.parquet(path)
     try:
-        for f in [r.file for r in kept.select("file").distinct().orderBy("file").limit(1000).collect()] if "://" not in path else []:
+        for f in [r.file for r in kept.select("file").distinct().orderBy("file").toLocalIterator()] if "://" not in path else []:
             plotting.render(kept.filter(F.col("file") == f), f"{path}/_{f}.png", _list(figSize) or (0, 0), markerSize, NColFig)
     except RuntimeError as e:
         log_.info("%s", e)

@@ -282,7 +282,7 @@ class Store:
                 df = self.side(s, side)
                 if df is None:
                     continue
-                rows = df.dropDuplicates(["name"]).orderBy("name").limit(MOST_COORDINATES).collect()
+                rows = list(df.dropDuplicates(["name"]).orderBy("name").toLocalIterator())
                 out.append(f"  {side}s: {', '.join(str(r.name) for r in rows)}")
                 if verbose:
                     out += [f"    {r.name}: {'unknown' if r[vec] is None else ', '.join(f'{x:.6g}' for x in r[vec])}" for r in rows]
